@@ -29,7 +29,9 @@ def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = "WITH " + STAR_CTES + "\n" + sql
+            body = sql.lstrip()
+            sep = "\n" if body.upper().startswith("SELECT") else ",\n"
+            ORACLE[name] = "WITH " + STAR_CTES.rstrip() + sep + body
         return fn
     return deco
 
@@ -155,3 +157,110 @@ def lookback_cutoff(spark, sf_dir):
         F.max("ts").alias("newest_ts"),
         (F.max("ts") - F.expr("INTERVAL 30 DAYS")).alias("cutoff_ts"),
         F.count_if(lookback_predicate(tx, 30)).alias("rows_in_window"))
+
+
+# ---------------------------------------------------------------- segments
+from salescope.operators import segments as seg  # noqa: E402
+from salescope.operators.features import min_max_scale  # noqa: E402
+
+# Fixed centres (scaled space) for the assignment variants.
+CENTRES = [[0.8, 0.8, 0.5, 0.8], [0.6, 0.5, 0.5, 0.6],
+           [0.4, 0.5, 0.5, 0.4], [0.2, 0.2, 0.5, 0.2]]
+
+
+def store_metrics_sql(days=0, category=None) -> str:
+    return f"""
+SELECT s.store_id, s.store_location,
+       coalesce(cast(sum(t.revenue) AS double) / count(t.revenue), 0.0) AS avg_revenue,
+       cast(sum(t.revenue) AS double) AS total_revenue,
+       coalesce(s.store_rating, 0.0) AS store_rating,
+       coalesce(avg(t.discount_percentage), 0.0) AS avg_discount,
+       cast(count(t.revenue) AS double) AS transaction_count
+{JOINED} {where(days, None, category)}
+GROUP BY s.store_id, s.store_location, s.store_rating"""
+
+
+def scaled_sql(days=0, category=None) -> str:
+    feats = seg.FEATURES
+    bounds = ", ".join(f"min({f}) AS {f}_min, max({f}) AS {f}_max" for f in feats)
+    scaled = ", ".join(
+        f"coalesce((m.{f} - b.{f}_min) / nullif(b.{f}_max - b.{f}_min, 0), 0.0) AS {f}_scaled"
+        for f in feats)
+    return f"""m AS ({store_metrics_sql(days, category)}),
+b AS (SELECT {bounds} FROM m)
+SELECT m.*, {scaled} FROM m, b"""
+
+
+def centres_sql() -> str:
+    vals = ", ".join("(" + ", ".join([str(i)] + [f"CAST({v} AS DOUBLE)" for v in c]) + ")"
+                     for i, c in enumerate(CENTRES))
+    return f"c(cluster_id, {', '.join(f + '_c' for f in seg.FEATURES)}) AS (VALUES {vals})"
+
+
+def label_sql(col: str) -> str:
+    cases = " ".join(f"WHEN {k} THEN '{v}'" for k, v in seg.SEGMENT_LABELS.items())
+    return f"CASE {col} {cases} ELSE concat('Cluster ', CAST({col} AS VARCHAR)) END"
+
+
+def assign_sql(days=0, category=None) -> str:
+    dist = " + ".join(f"(x.{f}_scaled - c.{f}_c) * (x.{f}_scaled - c.{f}_c)" for f in seg.FEATURES)
+    base = scaled_sql(days, category)
+    head, tail = base.rsplit("SELECT m.*", 1)
+    return f"""{head}, x AS (SELECT m.*{tail}),
+{centres_sql()},
+a AS (SELECT x.store_id, x.store_location, x.avg_revenue, x.store_rating,
+             first(c.cluster_id ORDER BY {dist}, c.cluster_id) AS cluster_id
+      FROM x, c GROUP BY x.store_id, x.store_location, x.avg_revenue, x.store_rating)"""
+
+
+def _fixed_assign(spark, sf_dir, days=0, category=None):
+    m = seg.store_metrics(star_from_tpch(spark, sf_dir), FilterSpec(days=days, category=category))
+    a = seg.assign_to_centres(min_max_scale(m, seg.FEATURES), CENTRES)
+    return a.withColumn("cluster_label", seg.label_expr(a["cluster_id"]))
+
+
+@register("store_metrics", store_metrics_sql())
+def store_metrics(spark, sf_dir):
+    return seg.store_metrics(star_from_tpch(spark, sf_dir), FilterSpec())
+
+
+@register("store_metrics_filtered", store_metrics_sql(365, CATEGORY))
+def store_metrics_filtered(spark, sf_dir):
+    return seg.store_metrics(star_from_tpch(spark, sf_dir), FilterSpec(365, STORE, CATEGORY))
+
+
+@register("store_metrics_scaled", scaled_sql(365))
+def store_metrics_scaled(spark, sf_dir):
+    m = seg.store_metrics(star_from_tpch(spark, sf_dir), FilterSpec(days=365))
+    return min_max_scale(m, seg.FEATURES)
+
+
+@register("assign_to_centroids", assign_sql() + f"""
+SELECT store_id, store_location, cluster_id, {label_sql('cluster_id')} AS cluster_label FROM a""")
+def assign_to_centroids(spark, sf_dir):
+    return _fixed_assign(spark, sf_dir).select("store_id", "store_location", "cluster_id",
+                                               "cluster_label")
+
+
+@register("segment_summary_fixed_centroids", assign_sql(0, CATEGORY) + f"""
+SELECT {label_sql('cluster_id')} AS cluster_label, count(store_id) AS store_count,
+       round(avg(avg_revenue), 6) AS avg_revenue, round(avg(store_rating), 6) AS avg_rating
+FROM a GROUP BY 1""")
+def segment_summary_fixed_centroids(spark, sf_dir):
+    return seg.summarize(_fixed_assign(spark, sf_dir, 0, CATEGORY))
+
+
+@register("segment_stores")
+def segment_stores(spark, sf_dir):
+    return seg.segment_stores(star_from_tpch(spark, sf_dir), n_clusters=4).assignments
+
+
+@register("segment_summary")
+def segment_summary(spark, sf_dir):
+    return seg.segment_stores(star_from_tpch(spark, sf_dir), n_clusters=4, days=365).summary
+
+
+@register("cluster_centers")
+def cluster_centers(spark, sf_dir):
+    return seg.segment_stores(star_from_tpch(spark, sf_dir), n_clusters=3,
+                              category=CATEGORY).centers
