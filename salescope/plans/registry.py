@@ -264,3 +264,116 @@ def segment_summary(spark, sf_dir):
 def cluster_centers(spark, sf_dir):
     return seg.segment_stores(star_from_tpch(spark, sf_dir), n_clusters=3,
                               category=CATEGORY).centers
+
+
+# ---------------------------------------------------------------- drivers / explain
+from salescope.functions.text import feature_display_name  # noqa: E402
+from salescope.operators import drivers as drv  # noqa: E402
+
+# The level domains of the encoded columns in the driver tables
+# (market segments, order priorities, part types), used by the SQL oracle.
+LEVELS = {
+    "customer_type": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+    "payment_mode": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"],
+    "category": ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"],
+}
+_DRIVER_CACHE: dict = {}
+
+
+def _driver_model(spark, sf_dir, days=365):
+    key = (spark.sparkContext.applicationId, sf_dir, days)
+    if key not in _DRIVER_CACHE:
+        _DRIVER_CACHE[key] = drv.fit_drivers(star_from_tpch(spark, sf_dir), FilterSpec(days=days))
+    return _DRIVER_CACHE[key]
+
+
+def title_sql(expr: str) -> str:
+    return ("array_to_string(list_transform(regexp_extract_all(" + expr +
+            r", '(\p{L}+|[^\p{L}]+)'), lambda x: upper(x[1]) || lower(x[2:])), '')")
+
+
+def onehot_sql() -> str:
+    cols = ["t.discount_percentage", "CAST(t.promotion_applied AS INTEGER) AS promotion_applied",
+            "CAST(t.holiday_flag AS INTEGER) AS holiday_flag",
+            "CAST(t.revenue AS DOUBLE) AS revenue", "s.store_rating"]
+    src = {"customer_type": "t.customer_type", "payment_mode": "t.payment_mode",
+           "category": "p.category"}
+    for c, levels in LEVELS.items():
+        for lv in levels[1:]:
+            cols.append(f"CASE WHEN {src[c]} = '{lv}' THEN 1 ELSE 0 END AS \"{c}_{lv}\"")
+    return f"SELECT {', '.join(cols)} {JOINED}"
+
+
+@register("onehot_drop_first", onehot_sql())
+def onehot_drop_first(spark, sf_dir):
+    m, _ = drv.driver_matrix(drv.driver_rows(star_from_tpch(spark, sf_dir), FilterSpec()))
+    return m
+
+
+def display_sql() -> str:
+    parts = []
+    for c, src in (("customer_type", "t.customer_type"), ("payment_mode", "t.payment_mode"),
+                   ("category", "p.category")):
+        parts.append(f"SELECT DISTINCT '{c}' AS source, {src} AS level, '{c}_' || {src} AS feature "
+                     f"{JOINED}")
+    name = "f.feature"
+    plain = title_sql(f"replace({name}, '_', ' ')")
+    head = f"regexp_extract({name}, '^(.*)_([^_]*)$', 1)"
+    tail = f"regexp_extract({name}, '^(.*)_([^_]*)$', 2)"
+    split = f"{title_sql(f'replace({head}, {chr(39)}_{chr(39)}, {chr(39)} {chr(39)})')} || ' = ' || {title_sql(tail)}"
+    return (f"f AS ({' UNION '.join(parts)})\n"
+            f"SELECT f.source, f.level, f.feature, CASE WHEN length({name}) - length(replace({name}, '_', '')) > 1 "
+            f"THEN {split} ELSE {plain} END AS display_name FROM f")
+
+
+@register("display_names", display_sql())
+def display_names(spark, sf_dir):
+    from pyspark.sql import functions as F
+    rows = drv.driver_rows(star_from_tpch(spark, sf_dir), FilterSpec())
+    parts = [rows.select(F.lit(c).alias("source"), F.col(c).alias("level")).distinct()
+             for c in drv.CATEGORICAL]
+    f = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    f = f.withColumn("feature", F.concat_ws("_", "source", "level"))
+    return f.withColumn("display_name", feature_display_name(F.col("feature")))
+
+
+@register("category_revenue_share", f"""
+r AS (SELECT p.category AS category, cast(sum(t.revenue) AS double) AS revenue {JOINED} GROUP BY 1),
+k AS (SELECT category, revenue, row_number() OVER (ORDER BY revenue DESC, category) AS "Rank" FROM r)
+SELECT category, revenue, "Rank",
+       CASE WHEN sum(revenue) OVER () > 0 THEN round(revenue * 100 / sum(revenue) OVER (), 1) ELSE 0.0 END
+         AS pct_contribution
+FROM k WHERE "Rank" <= 10""")
+def category_revenue_share(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from salescope.operators.filters import enriched
+    f = enriched(star_from_tpch(spark, sf_dir), FilterSpec(), ["category", "revenue"])
+    r = f.groupBy("category").agg(F.sum("revenue").cast("double").alias("revenue"))
+    return drv.rank_and_share(r, "revenue", "category", 10)
+
+
+@register("driver_importance")
+def driver_importance(spark, sf_dir):
+    return drv.global_importance(_driver_model(spark, sf_dir))
+
+
+@register("split_importance")
+def split_importance(spark, sf_dir):
+    from salescope.operators.trees import split_importance as si
+    return si(_driver_model(spark, sf_dir).trees)
+
+
+@register("explain_entries")
+def explain_entries(spark, sf_dir):
+    return drv.sorted_entries(drv.explain_entries(_driver_model(spark, sf_dir)))
+
+
+@register("explain_summary")
+def explain_summary(spark, sf_dir):
+    return drv.explain_summary(drv.explain_entries(_driver_model(spark, sf_dir)))
+
+
+@register("shap_values")
+def shap_values(spark, sf_dir):
+    dm = _driver_model(spark, sf_dir)
+    return dm.explainer.shap_wide(dm.matrix)
