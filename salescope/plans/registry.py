@@ -377,3 +377,95 @@ def explain_summary(spark, sf_dir):
 def shap_values(spark, sf_dir):
     dm = _driver_model(spark, sf_dir)
     return dm.explainer.shap_wide(dm.matrix)
+
+
+# ---------------------------------------------------------------- forecast
+import math  # noqa: E402
+
+from salescope.operators import forecast as fcst  # noqa: E402
+
+PANEL_KEYS = ["store_location", "category"]
+
+
+def daily_sql(keys: list[str], days=0, store=None, category=None) -> str:
+    k = "".join(f"{'s.' if c == 'store_location' else 'p.'}{c}, " for c in keys)
+    g = ", ".join([str(i + 1) for i in range(len(keys) + 1)])
+    return f"""
+SELECT {k}cast(t.ts AS date) AS ds, cast(sum(t.revenue) AS double) AS y,
+       bool_or(t.holiday_flag) AS holiday_flag
+{JOINED} {where(days, store, category)} GROUP BY {g}"""
+
+
+@register("forecast_daily_series", daily_sql([]))
+def forecast_daily_series(spark, sf_dir):
+    return fcst.daily_series(star_from_tpch(spark, sf_dir), FilterSpec())
+
+
+@register("forecast_daily_series_panel", daily_sql(PANEL_KEYS))
+def forecast_daily_series_panel(spark, sf_dir):
+    return fcst.daily_series(star_from_tpch(spark, sf_dir), FilterSpec(), PANEL_KEYS)
+
+
+@register("forecast_future_frame", f"""
+d AS ({daily_sql([])}),
+cal AS (SELECT month(ds) AS m, day(ds) AS dd, bool_or(holiday_flag) AS is_h FROM d GROUP BY 1, 2),
+f AS (SELECT (SELECT max(ds) FROM d) + CAST(i AS INTEGER) AS ds FROM range(1, 61) r(i)),
+j AS (SELECT f.ds, CAST(cal.is_h AS DOUBLE) AS h FROM f LEFT JOIN cal
+      ON month(f.ds) = cal.m AND day(f.ds) = cal.dd)
+SELECT ds, coalesce(first_value(h IGNORE NULLS) OVER (ORDER BY ds ROWS BETWEEN CURRENT ROW
+       AND UNBOUNDED FOLLOWING), 0.0) AS holiday_flag FROM j""")
+def forecast_future_frame(spark, sf_dir):
+    daily = fcst.daily_series(star_from_tpch(spark, sf_dir), FilterSpec())
+    return fcst.future_frame(daily, [], 60, fcst.holiday_calendar(daily))
+
+
+def seasonal_sql() -> str:
+    cols = []
+    for name, period, order in (("yearly", fcst.YEARLY_PERIOD, fcst.YEARLY_ORDER),
+                                ("weekly", fcst.WEEKLY_PERIOD, fcst.WEEKLY_ORDER)):
+        for k in range(1, order + 1):
+            arg = f"({2.0 * math.pi * k!r} * CAST(ds - DATE '1970-01-01' AS DOUBLE)) / {float(period)!r}"
+            cols.append(f"round(sin({arg}), 6) AS {name}_sin{k}")
+            cols.append(f"round(cos({arg}), 6) AS {name}_cos{k}")
+    return f"d AS ({daily_sql([])})\nSELECT ds, {', '.join(cols)} FROM d"
+
+
+@register("forecast_seasonal_features", seasonal_sql())
+def forecast_seasonal_features(spark, sf_dir):
+    from pyspark.sql import functions as F
+    daily = fcst.daily_series(star_from_tpch(spark, sf_dir), FilterSpec())
+    return daily.select("ds", *fcst.seasonal_features(F.col("ds"), digits=6))
+
+
+def _forecast(spark, sf_dir, **kw):
+    return fcst.revenue_forecast(star_from_tpch(spark, sf_dir), **kw)
+
+
+@register("forecast_revenue")
+def forecast_revenue(spark, sf_dir):
+    return _forecast(spark, sf_dir, steps=30)["predictions"]
+
+
+@register("forecast_panel")
+def forecast_panel(spark, sf_dir):
+    return _forecast(spark, sf_dir, steps=30, keys=PANEL_KEYS)["predictions"]
+
+
+@register("forecast_summary")
+def forecast_summary(spark, sf_dir):
+    return _forecast(spark, sf_dir, steps=30)["summary"]
+
+
+@register("forecast_summary_filtered")
+def forecast_summary_filtered(spark, sf_dir):
+    return _forecast(spark, sf_dir, steps=60, store=STORE, category=CATEGORY)["summary"]
+
+
+@register("forecast_predictions_tail")
+def forecast_predictions_tail(spark, sf_dir):
+    return _forecast(spark, sf_dir, steps=30, category=CATEGORY)["predictions_tail"]
+
+
+@register("forecast_chart_series")
+def forecast_chart_series(spark, sf_dir):
+    return _forecast(spark, sf_dir, steps=30, store=STORE)["chart"]
