@@ -469,3 +469,149 @@ def forecast_predictions_tail(spark, sf_dir):
 @register("forecast_chart_series")
 def forecast_chart_series(spark, sf_dir):
     return _forecast(spark, sf_dir, steps=30, store=STORE)["chart"]
+
+
+# ---------------------------------------------------------------- ETL
+from salescope.operators import clean as cln  # noqa: E402
+from salescope.operators import star_build as sb  # noqa: E402
+from salescope.sources.raw import DIRTY_SQL, dirty_sales  # noqa: E402
+
+_ETL_CACHE: dict = {}
+
+
+def _etl(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ETL_CACHE:
+        cr = cln.clean_sales(dirty_sales(spark, sf_dir))
+        _ETL_CACHE[key] = (cr, sb.load_star(cr.rows))
+    return _ETL_CACHE[key]
+
+
+def _std(col: str) -> str:
+    t = title_sql(f"regexp_replace(coalesce({col}, 'Unknown'), '^\\s+|\\s+$', '', 'g')")
+    return f"CASE WHEN {t} IN ('Nan', 'None', '') THEN 'Unknown' ELSE {t} END"
+
+
+DATA_COLS = ['"Date"', '"Store_Location"', '"Store_Rating"', '"Product_Category"',
+             '"Product_Subcategory"', '"Brand"', '"Stock_On_Hand"', '"Unit_Price"',
+             '"Discount_Percentage"', '"Revenue"', '"Promotion_Applied"']
+TEXT = {'"Store_Location"', '"Product_Category"', '"Product_Subcategory"', '"Brand"',
+        '"Promotion_Applied"'}
+
+
+def etl_ctes() -> str:
+    s1 = ", ".join(f"{_std(c)} AS {c}" if c in TEXT else c for c in DATA_COLS)
+    s3 = ", ".join('coalesce("Store_Rating", (SELECT m FROM med)) AS "Store_Rating"'
+                   if c == '"Store_Rating"' else
+                   'coalesce("Discount_Percentage", 0.0) AS "Discount_Percentage"'
+                   if c == '"Discount_Percentage"' else c for c in DATA_COLS)
+    cols = ", ".join(DATA_COLS)
+    return DIRTY_SQL.strip() + f""",
+s1 AS (SELECT _row, {s1} FROM dirty),
+s2 AS (SELECT *, "Date" IS NULL OR "Revenue" IS NULL AS crit,
+              NOT ("Date" IS NULL OR "Revenue" IS NULL)
+              AND NOT (coalesce("Revenue" >= 0, false) AND coalesce("Unit_Price" >= 0, false)) AS anom
+       FROM s1),
+kept AS (SELECT * FROM s2 WHERE NOT crit AND NOT anom),
+med AS (SELECT median("Store_Rating") AS m FROM kept),
+s3 AS (SELECT _row, "Store_Rating" IS NULL AS fill_r, "Discount_Percentage" IS NULL AS fill_d, {s3}
+       FROM kept),
+clean AS (SELECT min(_row) AS _row, {cols} FROM s3 GROUP BY {cols}),
+dim_s AS (SELECT row_number() OVER (ORDER BY f, "Store_Location") AS store_id,
+                 "Store_Location" AS store_location, store_rating
+          FROM (SELECT "Store_Location", arg_min("Store_Rating", _row) AS store_rating,
+                       min(_row) AS f FROM clean GROUP BY 1)),
+dim_p AS (SELECT row_number() OVER (ORDER BY f, "Product_Category", "Unit_Price",
+                 "Product_Subcategory", "Brand", "Stock_On_Hand") AS product_id,
+                 "Product_Category" AS category, "Product_Subcategory" AS subcategory,
+                 "Brand" AS brand, CAST("Unit_Price" AS DOUBLE) AS unit_price,
+                 coalesce(CAST("Stock_On_Hand" AS INTEGER), 0) AS stock_on_hand
+          FROM (SELECT "Product_Category", "Unit_Price", "Product_Subcategory", "Brand",
+                       "Stock_On_Hand", min(_row) AS f FROM clean GROUP BY ALL)),
+look AS (SELECT category, subcategory, brand, unit_price, max(product_id) AS product_id
+         FROM dim_p GROUP BY ALL),
+facts AS (SELECT CAST(c."Date" AS TIMESTAMP) AS ts, s.store_id, l.product_id,
+                 coalesce(c."Discount_Percentage", 0.0) AS discount_percentage,
+                 CAST(CAST(c."Revenue" AS DECIMAL(17,4)) AS DOUBLE) AS revenue,
+                 'Unknown' AS customer_type, 'Unknown' AS payment_mode,
+                 lower(trim(c."Promotion_Applied")) IN ('true', 'yes', 'y', '1', 't') AS promotion_applied,
+                 false AS holiday_flag
+          FROM clean c JOIN dim_s s ON c."Store_Location" = s.store_location
+          JOIN look l ON c."Product_Category" IS NOT DISTINCT FROM l.category
+                     AND c."Product_Subcategory" IS NOT DISTINCT FROM l.subcategory
+                     AND c."Brand" IS NOT DISTINCT FROM l.brand
+                     AND CAST(c."Unit_Price" AS DOUBLE) IS NOT DISTINCT FROM l.unit_price)"""
+
+
+def etl_sql(select: str) -> str:
+    return etl_ctes() + "\n" + select
+
+
+@register("clean_rows", etl_sql("SELECT * FROM clean"))
+def clean_rows(spark, sf_dir):
+    return _etl(spark, sf_dir)[0].rows
+
+
+@register("clean_report", etl_sql("""
+SELECT * FROM (
+  SELECT n_in, n_out, unnest([
+    {'step': 'input', 'rows_removed': 0, 'cells_filled': 0},
+    {'step': 'standardize_strings', 'rows_removed': 0, 'cells_filled': 0},
+    {'step': 'drop_missing_critical', 'rows_removed': n_crit, 'cells_filled': 0},
+    {'step': 'drop_anomalies', 'rows_removed': n_anom, 'cells_filled': 0},
+    {'step': 'impute_median_rating', 'rows_removed': 0, 'cells_filled': n_r},
+    {'step': 'impute_zero_discount', 'rows_removed': 0, 'cells_filled': n_d},
+    {'step': 'drop_exact_duplicates', 'rows_removed': n_kept - n_out, 'cells_filled': 0}],
+    recursive := true)
+  FROM (SELECT (SELECT count(*) FROM s2) AS n_in,
+               (SELECT count(*) FILTER (WHERE crit) FROM s2) AS n_crit,
+               (SELECT count(*) FILTER (WHERE anom) FROM s2) AS n_anom,
+               (SELECT count(*) FILTER (WHERE fill_r) FROM s3) AS n_r,
+               (SELECT count(*) FILTER (WHERE fill_d) FROM s3) AS n_d,
+               (SELECT count(*) FROM s3) AS n_kept,
+               (SELECT count(*) FROM clean) AS n_out))"""))
+def clean_report(spark, sf_dir):
+    return _etl(spark, sf_dir)[0].report
+
+
+@register("median_impute", etl_sql("SELECT m AS median FROM med"))
+def median_impute(spark, sf_dir):
+    return _etl(spark, sf_dir)[0].median_rating
+
+
+@register("store_dimension", etl_sql("SELECT * FROM dim_s"))
+def store_dimension(spark, sf_dir):
+    return _etl(spark, sf_dir)[1].star.stores
+
+
+@register("product_dimension", etl_sql("SELECT * FROM dim_p"))
+def product_dimension(spark, sf_dir):
+    return _etl(spark, sf_dir)[1].star.products
+
+
+@register("fact_rows", etl_sql("SELECT * FROM facts"))
+def fact_rows(spark, sf_dir):
+    from pyspark.sql import functions as F
+    tx = _etl(spark, sf_dir)[1].star.transactions
+    return tx.drop("transaction_id").withColumn("revenue", F.col("revenue").cast("double"))
+
+
+@register("rejected_rows", etl_sql("""
+SELECT c.*, 'unknown_store' AS reject_reason FROM clean c WHERE c."Store_Location" NOT IN
+  (SELECT store_location FROM dim_s) AND false"""))
+def rejected_rows(spark, sf_dir):
+    return _etl(spark, sf_dir)[1].rejected
+
+
+def _rule_sql(rules) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{n}' AS rule, count(*) FILTER (WHERE NOT coalesce({p}, false)) AS failures FROM facts"
+        for n, p in rules)
+
+
+@register("validate_rows", etl_sql(_rule_sql(sb.TRANSACTION_RULES)))
+def validate_rows(spark, sf_dir):
+    from pyspark.sql import functions as F
+    tx = _etl(spark, sf_dir)[1].star.transactions
+    return sb.validation_summary(tx.withColumn("revenue", F.col("revenue").cast("double")),
+                                 sb.TRANSACTION_RULES)
