@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
@@ -101,14 +102,16 @@ def segment_stores(star: Star, n_clusters: int = 4, days: int = 0,
         raise ValueError("no data for segmentation")
     if n_clusters > n:
         raise ValueError(f"n_clusters={n_clusters} exceeds {n} stores")
-    best = None
-    for i in range(n_init):
-        model = KMeans(k=n_clusters, seed=seed + i, maxIter=max_iter,
-                       featuresCol="features", predictionCol="raw_cluster").fit(scaled)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    cost, model = best
+    def fit(i):
+        m = KMeans(k=n_clusters, seed=seed + i, maxIter=max_iter,
+                   featuresCol="features", predictionCol="raw_cluster").fit(scaled)
+        return m.summary.trainingCost, i, m
+
+    # Restarts are independent Spark jobs: submit them together so the
+    # scheduler overlaps them instead of running n_init chains back to back.
+    with ThreadPoolExecutor(max_workers=max(1, min(n_init, 16))) as pool:
+        fits = list(pool.map(fit, range(n_init)))
+    cost, _, model = min(fits, key=lambda r: (r[0], r[1]))
     centres = [list(map(float, c)) for c in model.clusterCenters()]
     # Rank ids by centroid avg_revenue (descending), ties by old id.
     order = sorted(range(len(centres)), key=lambda i: (-centres[i][0], i))
