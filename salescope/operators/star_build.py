@@ -153,7 +153,13 @@ def build_facts(clean: DataFrame, stores: DataFrame, products: DataFrame) -> Loa
     return LoadResult(Star(stores, products, facts), rejected)
 
 
-def load_star(clean: DataFrame) -> LoadResult:
+def load_star(clean: DataFrame, materialize: bool = True) -> LoadResult:
+    """Dimensions, facts and rejects from cleaned rows.  The cleaned rows feed
+    four builds, so by default they are written once to the shared
+    checkpoint folder first."""
+    if materialize:
+        checkpoint_dir(clean.sparkSession)
+        clean = clean.checkpoint(eager=True)
     stores = build_stores(clean)
     products = build_products(clean)
     return build_facts(clean, stores, products)

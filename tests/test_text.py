@@ -10,7 +10,8 @@ def one(spark, expr, value, typ="string"):
 
 def test_title_case_matches_python(spark):
     for s in ["e-wallet o'brien", "small ring", "ECONOMY", "4-not specified",
-              "supplier#000000001", "brand#13", "  padded  ", "mixed CASE words"]:
+              "supplier#000000001", "brand#13", "  padded  ", "mixed CASE words", "a, b",
+              "3rd street", "x  y", "O'NEIL-SMITH jr.", "tab\there", "abc1", "__x__y"]:
         assert one(spark, title_case, s) == s.title(), s
 
 
