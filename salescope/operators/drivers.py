@@ -74,6 +74,12 @@ def fit_drivers(star: Star, spec: FilterSpec, rounds: int = 30, step_size: float
     # Training makes one pass per tree level per round and SHAP one more:
     # write the matrix once to the shared checkpoint folder, which also cuts
     # the join lineage (a lost executor re-reads, it does not re-join).
+    # Boosting and SHAP parallelise over partitions: if the join left fewer
+    # partitions than task slots, rebalance first (never triggers on a large
+    # input, which already has more partitions than slots).
+    slots = matrix.sparkSession.sparkContext.defaultParallelism
+    if matrix.rdd.getNumPartitions() < slots:
+        matrix = matrix.repartition(slots)
     matrix = matrix.checkpoint(eager=True)
     if matrix.isEmpty():
         raise ValueError("no data for the selected filters")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from salescope.operators.features import assemble, min_max_bounds, min_max_scale
 from salescope.operators.filters import FilterSpec, enriched
+from salescope.session import checkpoint_dir
 from salescope.sources.star import Star
 
 FEATURES = ["avg_revenue", "store_rating", "avg_discount", "transaction_count"]
@@ -94,8 +95,11 @@ def segment_stores(star: Star, n_clusters: int = 4, days: int = 0,
     has the highest centroid revenue before labelling."""
     if n_clusters < 1:
         raise ValueError("n_clusters must be >= 1")
-    metrics = store_metrics(star, FilterSpec(days=days, category=category))
-    # One row per store: cached because every restart scans it.
+    # One row per store, read by the bounds, every restart and the
+    # assignment: written once to the shared checkpoint folder so the fact
+    # join and aggregation run a single time.
+    checkpoint_dir(star.transactions.sparkSession)
+    metrics = store_metrics(star, FilterSpec(days=days, category=category)).checkpoint(eager=True)
     scaled = assemble(min_max_scale(metrics, FEATURES), SCALED).persist()
     n = scaled.count()
     if n == 0:

@@ -33,11 +33,15 @@ from salescope.session import ship_package
 @dataclass
 class Leaf:
     features: np.ndarray     # distinct split features on the path (|S|,)
-    cond_feat: np.ndarray    # per split on the path: feature index
-    cond_thr: np.ndarray     # threshold
-    cond_left: np.ndarray    # True when the path goes left (x <= thr)
-    cond_slot: np.ndarray    # position of the split's feature within `features`
-    table: np.ndarray        # (2^|S|, |S|) contributions, weight included
+    slots: list              # per feature slot: [(node position, goes_left), ...]
+    table_t: np.ndarray      # (|S|, 2^|S|) contributions, tree weight included
+
+
+@dataclass
+class Tree:
+    node_feat: np.ndarray    # internal nodes of the tree: split feature
+    node_thr: np.ndarray     # and threshold (row goes left when x <= thr)
+    leaves: list
 
 
 def _leaf_table(v: float, cold: np.ndarray) -> np.ndarray:
@@ -64,13 +68,17 @@ def _leaf_table(v: float, cold: np.ndarray) -> np.ndarray:
 
 
 def build_leaves(nodes: pd.DataFrame, weights: list[float]):
-    """Leaf tables for the whole ensemble and the base value
-    (Σ tree weight × cover-weighted mean leaf value)."""
-    leaves: list[Leaf] = []
+    """Per-tree split arrays and leaf tables for the whole ensemble, and the
+    base value (Σ tree weight × cover-weighted mean leaf value)."""
+    trees: list[Tree] = []
     base = 0.0
     for tree_id, t in nodes.groupby("tree_id"):
         w = float(weights[int(tree_id)])
         t = t.set_index("node_id")
+        internal = [int(i) for i in t.index if int(t.loc[i, "left"]) >= 0]
+        pos = {nid: k for k, nid in enumerate(internal)}
+        tree = Tree(np.array([int(t.loc[i, "feature"]) for i in internal], dtype=np.int64),
+                    np.array([float(t.loc[i, "threshold"]) for i in internal]), [])
         root = int(t.index.min())
         root_cover = float(t.loc[root, "cover"])
         stack = [(root, [])]
@@ -83,37 +91,46 @@ def build_leaves(nodes: pd.DataFrame, weights: list[float]):
                 feats = sorted({p[0] for p in path})
                 slot = {f: k for k, f in enumerate(feats)}
                 cold = np.ones(len(feats))
-                for f, _thr, _left, ratio in path:
+                conds = [[] for _ in feats]
+                for f, node, left, ratio in path:
                     cold[slot[f]] *= ratio
-                leaves.append(Leaf(
-                    np.array(feats, dtype=np.int64),
-                    np.array([p[0] for p in path], dtype=np.int64),
-                    np.array([p[1] for p in path], dtype=np.float64),
-                    np.array([p[2] for p in path], dtype=bool),
-                    np.array([slot[p[0]] for p in path], dtype=np.int64),
-                    _leaf_table(v, cold)))
+                    conds[slot[f]].append((pos[node], left))
+                if feats:
+                    tree.leaves.append(Leaf(np.array(feats, dtype=np.int64), conds,
+                                            np.ascontiguousarray(_leaf_table(v, cold).T)))
                 continue
-            f, thr, cover = int(n["feature"]), float(n["threshold"]), float(n["cover"])
+            f, cover = int(n["feature"]), float(n["cover"])
             for child, left in ((int(n["left"]), True), (int(n["right"]), False)):
                 ratio = float(t.loc[child, "cover"]) / cover if cover > 0 else 0.0
-                stack.append((child, path + [(f, thr, left, ratio)]))
-    return leaves, base
-
-
-def shap_matrix(x: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
-    """SHAP values (rows × features) for a dense batch."""
-    phi = np.zeros_like(x, dtype=np.float64)
-    n = x.shape[0]
-    for lf in leaves:
-        s = len(lf.features)
-        if s == 0:
-            continue
-        hot = np.ones((n, s), dtype=bool)
-        for f, thr, left, k in zip(lf.cond_feat, lf.cond_thr, lf.cond_left, lf.cond_slot):
-            hot[:, k] &= (x[:, f] <= thr) == left
-        pattern = hot @ (1 << np.arange(s))
-        phi[:, lf.features] += lf.table[pattern]
-    return phi
+                stack.append((child, path + [(f, nid, left, ratio)]))
+        trees.append(tree)
+    return trees, base
+
+
+def shap_matrix(x: np.ndarray, trees: list[Tree]) -> np.ndarray:
+    """SHAP values (rows × features) for a dense batch.
+
+    Works on feature-major, contiguous arrays: each internal node is compared
+    once per row, each leaf ANDs its path decisions into a hot pattern and
+    gathers its contributions from its table.
+    """
+    n, m = x.shape
+    xt = np.ascontiguousarray(x.T)
+    phi = np.zeros((m, n))
+    for tree in trees:
+        go_left = xt[tree.node_feat] <= tree.node_thr[:, None]
+        go_right = ~go_left
+        for lf in tree.leaves:
+            pattern = np.zeros(n, dtype=np.int64)
+            for k, conds in enumerate(lf.slots):
+                node, left = conds[0]
+                hot = go_left[node] if left else go_right[node]
+                for node, left in conds[1:]:
+                    hot = hot & (go_left[node] if left else go_right[node])
+                pattern |= hot.astype(np.int64) << k
+            for k, f in enumerate(lf.features):
+                phi[f] += lf.table_t[k][pattern]
+    return phi.T
 
 
 class TreeExplainer:
