@@ -63,19 +63,34 @@ def anomalous(df: DataFrame) -> Column:
     return ~ok
 
 
-def exact_median(df: DataFrame, col: str) -> DataFrame:
+def exact_median(df: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
     """One-row frame with the exact median of a column (mean of the two middle
-    values for an even count).
-
-    Rows are first reduced to (value, count) pairs by a partially aggregated
-    group-by, so no task ever holds the raw rows; only the distinct values
-    (bounded for a 2-decimal rating) are ranked.
+    values for an even count), computed without any single-task step.
+
+    1. A partially aggregated group-by reduces rows to (value, count) pairs.
+    2. The pairs are range-partitioned by value; each partition's total goes
+       into a table with one row per partition (the only global ranking).
+    3. Running counts are computed inside each partition and shifted by the
+       partition's offset, giving every value its rank interval.
+    4. The value(s) whose interval holds the middle rank(s) are averaged.
     """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vc = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(
         F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = vc.withColumn("hi", F.sum("n").over(w)).withColumn("lo", F.col("hi") - F.col("n"))
-    total = vc.agg(F.sum("n")).scalar()
+    ranged = (vc.repartitionByRange(n_parts, "v")
+                .withColumn("_p", F.spark_partition_id())
+                .checkpoint(eager=True))
+    per_part = ranged.groupBy("_p").agg(F.sum("n").alias("_pn"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select("_p", F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    # offsets has one row per partition: a proven bound, so broadcast.
+    cum = (ranged.join(F.broadcast(offsets), "_p")
+                 .withColumn("hi", F.col("_off") + F.sum("n").over(inside))
+                 .withColumn("lo", F.col("hi") - F.col("n")))
+    total = per_part.agg(F.sum("_pn")).scalar()
     k1 = F.floor((total - 1) / 2)   # 0-based ranks of the middle value(s)
     k2 = F.floor(total / 2)
     pick = cum.filter(((F.col("lo") <= k1) & (k1 < F.col("hi")))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salescope.sources.star import Star
+from salescope.sources.star import JOINED_ATTRIBUTES, Star
 
 MAX_OVERVIEW_DAYS = 9999
 
@@ -62,6 +62,15 @@ def lookback_predicate(transactions: DataFrame, days: int) -> Column | None:
     return F.col("ts") >= cutoff
 
 
+def fact_rows(star: Star, columns: list[str] | None = None) -> DataFrame:
+    """The fact frame to read: the narrow one when the requested columns do
+    not include an attribute that needs a lookup join."""
+    if star.narrow is not None and columns is not None \
+            and not set(columns) & set(JOINED_ATTRIBUTES):
+        return star.narrow
+    return star.transactions
+
+
 def enriched(star: Star, spec: FilterSpec, columns: list[str] | None = None) -> DataFrame:
     """Facts joined to both dimensions with the spec's predicates applied.
 
@@ -69,11 +78,11 @@ def enriched(star: Star, spec: FilterSpec, columns: list[str] | None = None) ->
     planner can shrink (and, when small enough, broadcast) that side; the
     look-back predicate lands on the fact scan.
     """
-    tx = star.transactions
+    tx = fact_rows(star, columns)
     stores = star.stores
     products = star.products
     preds = []
-    lb = lookback_predicate(tx, spec.days)
+    lb = lookback_predicate(fact_rows(star, ["ts"]), spec.days)
     if lb is not None:
         preds.append(lb)
     if spec.store:

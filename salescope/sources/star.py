@@ -27,6 +27,14 @@ class Star(NamedTuple):
     stores: DataFrame
     products: DataFrame
     transactions: DataFrame
+    # Optional: the same fact rows without the attributes that need extra
+    # joins (customer_type, payment_mode).  Queries that do not read those
+    # columns use it and skip the joins.
+    narrow: DataFrame | None = None
+
+
+# Fact attributes that come from joined tables in the driver-table mapping.
+JOINED_ATTRIBUTES = ("customer_type", "payment_mode")
 
 
 def stores_view(supplier: DataFrame) -> DataFrame:
@@ -47,24 +55,9 @@ def products_view(part: DataFrame) -> DataFrame:
         F.col("p_size").alias("stock_on_hand"))
 
 
-def transactions_view(lineitem: DataFrame, orders: DataFrame,
-                      customer: DataFrame) -> DataFrame:
-    """One transaction per line item.
-
-    Revenue stays an exact decimal so sums are order independent (the same
-    total on every engine and every partitioning); it is cast to double only
-    when a result leaves the library.  The order and customer joins supply
-    ``payment_mode`` and ``customer_type``; both are shuffle joins on their
-    keys at scale (AQE turns them into broadcasts when a side is small).
-    """
-    li = lineitem.select("l_orderkey", "l_linenumber", "l_shipdate", "l_suppkey",
-                         "l_partkey", "l_discount", "l_extendedprice", "l_returnflag")
-    o = orders.select("o_orderkey", "o_custkey", "o_orderpriority")
-    c = customer.select("c_custkey", "c_mktsegment")
-    j = (li.join(o, li.l_orderkey == o.o_orderkey, "inner")
-           .join(c, F.col("o_custkey") == c.c_custkey, "inner"))
+def _fact_columns(extra: list) -> list:
     one = F.lit(1).cast("decimal(3,2)")
-    return j.select(
+    return [
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("transaction_id"),
         F.col("l_shipdate").alias("ts"),
         F.col("l_suppkey").alias("store_id"),
@@ -72,20 +65,48 @@ def transactions_view(lineitem: DataFrame, orders: DataFrame,
         F.round(F.col("l_discount") * 100, 2).alias("discount_percentage"),
         (F.col("l_extendedprice").cast("decimal(12,2)")
          * (one - F.col("l_discount").cast("decimal(3,2)"))).alias("revenue"),
-        F.col("c_mktsegment").alias("customer_type"),
-        F.col("o_orderpriority").alias("payment_mode"),
+        *extra,
         (F.col("l_returnflag") == "R").alias("promotion_applied"),
         ((F.month("l_shipdate") == 12) & (F.dayofmonth("l_shipdate") >= 24))
-        .alias("holiday_flag"))
+        .alias("holiday_flag")]
+
+
+LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_shipdate", "l_suppkey", "l_partkey",
+                "l_discount", "l_extendedprice", "l_returnflag"]
+
+
+def transactions_view(lineitem: DataFrame, orders: DataFrame,
+                      customer: DataFrame) -> DataFrame:
+    """One transaction per line item.
+
+    Revenue stays an exact decimal so sums are order independent (the same
+    total on every engine and every partitioning); it is cast to double only
+    when a result leaves the library.  ``payment_mode`` and ``customer_type``
+    are attributes looked up by primary key (left joins: a lookup never drops
+    or repeats a fact).  Both are shuffle joins on their keys at scale; AQE
+    turns them into broadcasts when a side is small.
+    """
+    li = lineitem.select(*LINE_COLUMNS)
+    o = orders.select("o_orderkey", "o_custkey", "o_orderpriority")
+    c = customer.select("c_custkey", "c_mktsegment")
+    j = (li.join(o, li.l_orderkey == o.o_orderkey, "left")
+           .join(c, F.col("o_custkey") == c.c_custkey, "left"))
+    return j.select(*_fact_columns([F.col("c_mktsegment").alias("customer_type"),
+                                    F.col("o_orderpriority").alias("payment_mode")]))
+
+
+def transactions_narrow(lineitem: DataFrame) -> DataFrame:
+    """The same fact rows without the two looked-up attributes: no join."""
+    return lineitem.select(*LINE_COLUMNS).select(*_fact_columns([]))
 
 
 def star_from_tpch(spark: SparkSession, sf_dir: str) -> Star:
+    li = table(spark, sf_dir, "lineitem")
     return Star(
         stores_view(table(spark, sf_dir, "supplier")),
         products_view(table(spark, sf_dir, "part")),
-        transactions_view(table(spark, sf_dir, "lineitem"),
-                          table(spark, sf_dir, "orders"),
-                          table(spark, sf_dir, "customer")))
+        transactions_view(li, table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")),
+        transactions_narrow(li))
 
 
 def read_star(spark: SparkSession, path: str) -> Star:
