@@ -89,9 +89,20 @@ def fit_drivers(star: Star, spec: FilterSpec, rounds: int = 30, step_size: float
     return DriverModel(matrix, meta, tm, TreeExplainer(tm))
 
 
-def shap_stats(dm: DriverModel) -> DataFrame:
-    """feature_index, feature, source, level, mean_shap, mean_abs_shap over all rows."""
-    st = dm.explainer.feature_stats(dm.matrix)
+def hash_sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """A repeatable sample of n rows: the n smallest hashes of (row, seed).
+
+    Planned as a top-k (each task keeps n candidates), so it needs no global
+    sort and gives the same rows on every run and partitioning."""
+    h = F.xxhash64(*[F.col(c) for c in df.columns], F.lit(seed))
+    return df.withColumn("_h", h).orderBy("_h").limit(n).drop("_h")
+
+
+def shap_stats(dm: DriverModel, sample_rows: int | None = None, seed: int = 42) -> DataFrame:
+    """feature_index, feature, source, level, mean_shap, mean_abs_shap over all
+    rows (default) or over a repeatable sample of ``sample_rows`` rows."""
+    rows = dm.matrix if not sample_rows else hash_sample(dm.matrix, sample_rows, seed)
+    st = dm.explainer.feature_stats(rows)
     return dm.feature_frame().join(st.drop("feature"), "feature_index")
 
 
@@ -116,11 +127,11 @@ def global_importance(dm: DriverModel, top: int = TOP_N) -> DataFrame:
     return rank_and_share(s, "SHAP_Importance", "Feature", top).orderBy("Rank")
 
 
-def explain_entries(dm: DriverModel) -> DataFrame:
+def explain_entries(dm: DriverModel, sample_rows: int | None = None) -> DataFrame:
     """One row per feature: rounded signed / absolute mean SHAP, share of the
     average order value, booster or reducer, and the sentence."""
     avg_rev = dm.matrix.agg(F.avg(TARGET)).scalar()
-    s = shap_stats(dm)
+    s = shap_stats(dm, sample_rows)
     pct = F.when(F.coalesce(avg_rev, F.lit(0.0)) != 0,
                  F.round(F.col("mean_abs_shap") / avg_rev * 100, 1)).otherwise(F.lit(0.0))
     s = s.withColumn("pct_of_avg_revenue", pct)
@@ -173,9 +184,10 @@ def analyze_drivers(star: Star, spec: FilterSpec = FilterSpec(), **fit_args) ->
     return {"model": dm, "global_importance": imp}
 
 
-def shap_explainability(star: Star, spec: FilterSpec = FilterSpec(), **fit_args) -> dict:
+def shap_explainability(star: Star, spec: FilterSpec = FilterSpec(),
+                        sample_rows: int | None = None, **fit_args) -> dict:
     dm = fit_drivers(star, spec, **fit_args)
-    entries = explain_entries(dm)
+    entries = explain_entries(dm, sample_rows)
     return {"model": dm, "entries": sorted_entries(entries),
             "summary": explain_summary(entries),
             "importance": global_importance(dm, top=None)}

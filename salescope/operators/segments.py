@@ -87,12 +87,21 @@ class SegmentResult:
     inertia: float
 
 
+def default_estimator(k: int, seed: int, max_iter: int):
+    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features",
+                  predictionCol="raw_cluster")
+
+
 def segment_stores(star: Star, n_clusters: int = 4, days: int = 0,
                    category: str | None = None, n_init: int = 10, seed: int = 42,
-                   max_iter: int = 300) -> SegmentResult:
+                   max_iter: int = 300, make_estimator=default_estimator) -> SegmentResult:
     """Fit k-means ``n_init`` times (seeds seed..seed+n_init-1, k-means||
     initialisation), keep the lowest cost, then rename clusters so that id 0
-    has the highest centroid revenue before labelling."""
+    has the highest centroid revenue before labelling.
+
+    ``make_estimator(k, seed, max_iter)`` may return any MLlib clustering
+    estimator whose model has ``clusterCenters()`` and ``summary.trainingCost``
+    (e.g. ``BisectingKMeans``)."""
     if n_clusters < 1:
         raise ValueError("n_clusters must be >= 1")
     # One row per store, read by the bounds, every restart and the
@@ -107,8 +116,7 @@ def segment_stores(star: Star, n_clusters: int = 4, days: int = 0,
     if n_clusters > n:
         raise ValueError(f"n_clusters={n_clusters} exceeds {n} stores")
     def fit(i):
-        m = KMeans(k=n_clusters, seed=seed + i, maxIter=max_iter,
-                   featuresCol="features", predictionCol="raw_cluster").fit(scaled)
+        m = make_estimator(n_clusters, seed + i, max_iter).fit(scaled)
         return m.summary.trainingCost, i, m
 
     # Restarts are independent Spark jobs: submit them together so the

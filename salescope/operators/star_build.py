@@ -165,6 +165,18 @@ def load_star(clean: DataFrame, materialize: bool = True) -> LoadResult:
     return build_facts(clean, stores, products)
 
 
+def load_report(lr: LoadResult) -> DataFrame:
+    """(table, rows): row counts of the loaded star and of the rejects."""
+    st = lr.star
+    return st.stores.agg(F.count(F.lit(1)).alias("stores")).select(
+        "stores",
+        st.products.agg(F.count(F.lit(1))).scalar().alias("products"),
+        st.transactions.agg(F.count(F.lit(1))).scalar().alias("transactions"),
+        lr.rejected.agg(F.count(F.lit(1))).scalar().alias("rejected")).select(
+        F.expr("stack(4, 'stores', stores, 'products', products, 'transactions', "
+               "transactions, 'rejected', rejected) AS (table, rows)"))
+
+
 # ------------------------------------------------------------------ validation
 # Row rules of the three tables (name, predicate).
 STORE_RULES = [

@@ -1,4 +1,5 @@
-"""Boosted regression trees with MLlib, and their node tables.
+"""Tree ensembles with MLlib (boosted trees or a random forest), and their
+node tables.
 
 The fitted ensemble is small (rounds × 2^(depth+1) nodes at most), so its
 node table can be read to the driver; everything that grows with the data
@@ -10,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +23,9 @@ MAX_DEPTH = 8
 
 @dataclass
 class TreeModel:
-    model: GBTRegressionModel
+    model: object            # GBTRegressionModel or RandomForestRegressionModel
     features: list[str]
-    path: str  # saved copy in the shared checkpoint folder
+    path: str                # saved copy in the shared checkpoint folder
     spark: object = None
 
     def node_frame(self) -> DataFrame:
@@ -46,7 +47,12 @@ class TreeModel:
 
     @property
     def weights(self) -> list[float]:
-        return list(self.model.treeWeights)
+        """Per-tree factors of the ensemble sum: boosting weights, or 1/n for
+        a forest (its prediction is the mean of its trees)."""
+        w = list(self.model.treeWeights)
+        if type(self.model).__name__.startswith("RandomForest"):
+            return [1.0 / len(w)] * len(w)
+        return w
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         return self.model.setPredictionCol(out).transform(
@@ -57,8 +63,9 @@ class TreeModel:
 def fit_trees(df: DataFrame, features: list[str], label: str, rounds: int = 30,
               step_size: float = 0.1, max_depth: int = 5, seed: int = 42,
               feature_fraction: str = "0.8", min_instances: int = 20,
-              max_bins: int = 32) -> TreeModel:
-    """Gradient-boosted regression trees (squared loss).
+              max_bins: int = 32, algorithm: str = "gbt") -> TreeModel:
+    """Gradient-boosted regression trees (squared loss), or with
+    ``algorithm="forest"`` a random forest of ``rounds`` trees.
 
     Input rows are assembled once and cached for the sequential rounds; node
     ids are checkpointed every 10 rounds into the shared checkpoint folder so
@@ -70,12 +77,16 @@ def fit_trees(df: DataFrame, features: list[str], label: str, rounds: int = 30,
     data = assemble(df.select(*features, F.col(label).cast("double").alias("label")),
                     features, "_features").select("_features", "label").persist()
     try:
-        gbt = GBTRegressor(featuresCol="_features", labelCol="label", maxIter=rounds,
-                           stepSize=step_size, maxDepth=max_depth, seed=seed,
-                           featureSubsetStrategy=feature_fraction,
-                           minInstancesPerNode=min_instances, maxBins=max_bins,
-                           checkpointInterval=10, cacheNodeIds=True)
-        model = gbt.fit(data)
+        common = dict(featuresCol="_features", labelCol="label", maxDepth=max_depth, seed=seed,
+                      featureSubsetStrategy=feature_fraction, minInstancesPerNode=min_instances,
+                      maxBins=max_bins, checkpointInterval=10, cacheNodeIds=True)
+        if algorithm == "gbt":
+            est = GBTRegressor(maxIter=rounds, stepSize=step_size, **common)
+        elif algorithm == "forest":
+            est = RandomForestRegressor(numTrees=rounds, **common)
+        else:
+            raise ValueError(f"unknown algorithm {algorithm!r}")
+        model = est.fit(data)
     finally:
         data.unpersist()
     path = scratch_path(df.sparkSession, "trees")

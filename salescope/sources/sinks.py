@@ -48,10 +48,13 @@ def save_trees(tm, path: str) -> None:
 
 
 def load_trees(spark: SparkSession, path: str):
-    from pyspark.ml.regression import GBTRegressionModel
+    from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
 
     from salescope.operators.trees import TreeModel
-    model = GBTRegressionModel.load(os.path.join(path, "model"))
+    mpath = os.path.join(path, "model")
+    meta = spark.read.json(os.path.join(mpath, "metadata")).first()["class"]
+    cls = RandomForestRegressionModel if "RandomForest" in meta else GBTRegressionModel
+    model = cls.load(mpath)
     feats = json.loads(spark.read.json(os.path.join(path, "features")).first()["features"])
     return TreeModel(model, feats, os.path.join(path, "model"), spark)
 

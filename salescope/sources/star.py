@@ -110,11 +110,13 @@ def star_from_tpch(spark: SparkSession, sf_dir: str) -> Star:
 
 
 def read_star(spark: SparkSession, path: str) -> Star:
-    """Read a star written by :func:`salescope.sources.sinks.write_star`."""
+    """Read a star written by :func:`salescope.sources.sinks.write_star`.
+
+    The fact table keeps its ``sale_date`` partition column, so look-back
+    filters prune whole partitions (see ``filters.lookback_predicate``)."""
     tx = spark.read.parquet(os.path.join(path, "transactions"))
     return Star(spark.read.parquet(os.path.join(path, "stores")),
-                spark.read.parquet(os.path.join(path, "products")),
-                tx.drop("sale_date") if "sale_date" in tx.columns else tx)
+                spark.read.parquet(os.path.join(path, "products")), tx)
 
 
 # SQL text of the same views, used as CTEs by the DuckDB oracle.

@@ -70,3 +70,15 @@ def test_additivity_distributed(tiny):
     assert err < 1e-8
     st = ex.feature_stats(df).collect()
     assert len(st) == 3 and all(r.mean_abs_shap >= abs(r.mean_shap) for r in st)
+
+
+def test_forest_additivity(spark, tiny):
+    from pyspark.sql import functions as F
+    df, _ = tiny
+    tm = fit_trees(df, ["a", "b", "c"], "y", rounds=5, max_depth=3, min_instances=1,
+                   algorithm="forest", feature_fraction="all")
+    ex = TreeExplainer(tm)
+    w = ex.shap_wide(tm.predict(df))
+    err = w.select(F.max(F.abs(F.col("shap_a") + F.col("shap_b") + F.col("shap_c")
+                               + F.lit(ex.base_value) - F.col("prediction")))).first()[0]
+    assert err < 1e-8
