@@ -83,3 +83,20 @@ def test_forecast_shapes_and_band(ref_star):
 def test_forecast_rejects_zero_steps(ref_star):
     with pytest.raises(ValueError):
         fc.revenue_forecast(ref_star, steps=0)
+
+
+def test_batched_fit_equals_per_group_fit(ref_star, spark):
+    daily = fc.daily_series(ref_star, FilterSpec(), ["store_location", "category"])
+    # small Arrow batches force series to straddle batch boundaries
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        a = fc.forecast(daily, ["store_location", "category"], 7).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    b = fc.forecast(daily, ["store_location", "category"], 7, fit_fn=fc.fit_predict).toPandas()
+    key = ["series", "ds"]
+    a, b = a.sort_values(key).reset_index(drop=True), b.sort_values(key).reset_index(drop=True)
+    assert len(a) == 15 * 97
+    import numpy as np
+    np.testing.assert_allclose(a["yhat"], b["yhat"], rtol=1e-9)
+    np.testing.assert_allclose(a["yhat_upper"], b["yhat_upper"], rtol=1e-9)
