@@ -22,21 +22,20 @@ class EncodedColumn:
 
 
 def category_levels(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct non-null levels of each string column, in one job.
+    """Sorted distinct non-null levels of each string column.
 
-    The level lists define the output schema, so they come to the driver;
-    they are bounded by the columns' cardinality, checked against MAX_LEVELS
-    (an error rather than a silent cap).
+    The level lists define the output schema, so they come to the driver.
+    Each column's levels are found with a distinct (a shuffle aggregate, no
+    per-task set) stopped after MAX_LEVELS + 1 values, so a column with too
+    many levels raises instead of flooding the driver; nothing is capped.
     """
-    if not cols:
-        return {}
-    row = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in cols]).first()
     out = {}
     for c in cols:
-        levels = list(row[c] or [])
-        if len(levels) > MAX_LEVELS:
-            raise ValueError(f"{c} has {len(levels)} levels (> {MAX_LEVELS})")
-        out[c] = levels
+        vals = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct()
+                .limit(MAX_LEVELS + 1).collect()]
+        if len(vals) > MAX_LEVELS:
+            raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
+        out[c] = sorted(vals)
     return out
 
 

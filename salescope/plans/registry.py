@@ -615,3 +615,33 @@ def validate_rows(spark, sf_dir):
     tx = _etl(spark, sf_dir)[1].star.transactions
     return sb.validation_summary(tx.withColumn("revenue", F.col("revenue").cast("double")),
                                  sb.TRANSACTION_RULES)
+
+
+# ---------------------------------------------------------------- more model views
+@register("load_report", etl_sql("""
+SELECT 'stores' AS "table", count(*) AS "rows" FROM dim_s
+UNION ALL SELECT 'products', count(*) FROM dim_p
+UNION ALL SELECT 'transactions', count(*) FROM facts
+UNION ALL SELECT 'rejected', 0"""))
+def load_report(spark, sf_dir):
+    return sb.load_report(_etl(spark, sf_dir)[1])
+
+
+@register("local_explanation")
+def local_explanation(spark, sf_dir):
+    from pyspark.sql import functions as F
+    dm = _driver_model(spark, sf_dir)
+    # The matrix is checkpointed, so these row ids are stable across runs.
+    rows = dm.matrix.withColumn("row_id", F.monotonically_increasing_id())
+    return drv.local_explanation(dm, rows, "row_id")
+
+
+@register("gain_importance")
+def gain_importance(spark, sf_dir):
+    from salescope.operators.trees import gain_importance as gi
+    return gi(_driver_model(spark, sf_dir).trees)
+
+
+@register("explain_entries_sampled")
+def explain_entries_sampled(spark, sf_dir):
+    return drv.sorted_entries(drv.explain_entries(_driver_model(spark, sf_dir), sample_rows=2000))
