@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from salescope.functions.text import feature_display_name, money, title_case  # noqa: F401
 from salescope.operators.features import EncodedColumn, bools_to_int, one_hot_drop_first
 from salescope.operators.filters import FilterSpec, enriched
-from salescope.operators.shap import TreeExplainer
+from salescope.operators.shap import TreeExplainer, index_lookup
 from salescope.operators.trees import TreeModel, fit_trees
 from salescope.session import checkpoint_dir
 from salescope.sources.star import Star
@@ -103,7 +103,11 @@ def shap_stats(dm: DriverModel, sample_rows: int | None = None, seed: int = 42)
     rows (default) or over a repeatable sample of ``sample_rows`` rows."""
     rows = dm.matrix if not sample_rows else hash_sample(dm.matrix, sample_rows, seed)
     st = dm.explainer.feature_stats(rows)
-    return dm.feature_frame().join(st.drop("feature"), "feature_index")
+    idx = F.col("feature_index")
+    return st.select("feature_index", "feature",
+                     index_lookup([m.source for m in dm.meta], idx).alias("source"),
+                     index_lookup([m.level for m in dm.meta], idx).alias("level"),
+                     "mean_shap", "mean_abs_shap")
 
 
 def rank_and_share(df: DataFrame, value: str, name: str, top: int | None = TOP_N) -> DataFrame:

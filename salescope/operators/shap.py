@@ -133,6 +133,12 @@ def shap_matrix(x: np.ndarray, trees: list[Tree]) -> np.ndarray:
     return phi.T
 
 
+def index_lookup(values: list, index):
+    """``values[index]`` as an expression over a literal map."""
+    m = F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(i), F.lit(v))])
+    return F.element_at(m, index.cast("int"))
+
+
 class TreeExplainer:
     """Distributed SHAP for a :class:`TreeModel`."""
 
@@ -174,15 +180,13 @@ class TreeExplainer:
 
         parts = df.select(*names).mapInPandas(
             kernel, "feature_index long, sum_shap double, sum_abs double, n long")
-        spark = df.sparkSession
-        fnames = spark.createDataFrame(list(enumerate(names)), "feature_index long, feature string")
         agg = (parts.groupBy("feature_index")
                .agg((F.sum("sum_shap") / F.sum("n")).alias("mean_shap"),
                     (F.sum("sum_abs") / F.sum("n")).alias("mean_abs_shap")))
-        return fnames.join(agg, "feature_index", "left").select(
-            "feature_index", "feature",
-            F.coalesce("mean_shap", F.lit(0.0)).alias("mean_shap"),
-            F.coalesce("mean_abs_shap", F.lit(0.0)).alias("mean_abs_shap"))
+        # Feature names are model metadata (one per feature): a literal map,
+        # not a join.
+        return agg.select("feature_index", index_lookup(names, F.col("feature_index"))
+                          .alias("feature"), "mean_shap", "mean_abs_shap")
 
     def shap_long(self, df: DataFrame, id_col: str) -> DataFrame:
         """Per-row attributions in long form (id, feature, shap_value) plus

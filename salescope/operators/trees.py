@@ -96,13 +96,20 @@ def fit_trees(df: DataFrame, features: list[str], label: str, rounds: int = 30,
 
 def split_importance(tm: TreeModel) -> DataFrame:
     """Number of splits per feature (features never split on count 0)."""
-    spark = tm.spark
-    names = spark.createDataFrame(list(enumerate(tm.features)), "feature_index int, Feature string")
     counts = (tm.node_frame().filter(F.col("left") >= 0)
               .groupBy(F.col("feature").alias("feature_index"))
               .agg(F.count(F.lit(1)).alias("Importance")))
-    return (names.join(counts, "feature_index", "left")
-            .select("Feature", F.coalesce("Importance", F.lit(0)).alias("Importance"))
+    # Features never split on are absent from the node table; every feature
+    # gets a row from the (bounded) feature list, counts come from a literal map.
+    spark = tm.spark
+    rows = spark.range(len(tm.features)).select(F.col("id").cast("int").alias("feature_index"))
+    have = {r.feature_index: r.Importance for r in counts.collect()}
+    m = F.create_map(*[x for k, v in have.items() for x in (F.lit(k), F.lit(v))]) if have \
+        else F.create_map().cast("map<int,bigint>")
+    from salescope.operators.shap import index_lookup
+    return (rows.select(index_lookup(tm.features, F.col("feature_index")).alias("Feature"),
+                        F.coalesce(F.element_at(m, F.col("feature_index")), F.lit(0))
+                        .cast("long").alias("Importance"))
             .orderBy(F.desc("Importance"), "Feature"))
 
 
