@@ -79,6 +79,12 @@ def ship_package(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
+    # On a cluster the package is normally shipped with --py-files; then
+    # there is nothing to do.
+    shipped = spark.conf.get("spark.submit.pyFiles", "") or ""
+    if "salescope" in shipped:
+        _SHIPPED.add(app)
+        return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
     fd, zpath = tempfile.mkstemp(prefix="salescope-", suffix=".zip")
