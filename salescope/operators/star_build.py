@@ -105,9 +105,12 @@ def product_lookup(products: DataFrame) -> DataFrame:
 
 
 def parse_ts(df: DataFrame) -> Column:
-    """Date, else Timestamp, else the load time."""
-    cands = [F.try_to_timestamp(F.col(c)) for c in ("Date", "Timestamp") if c in df.columns]
-    return F.coalesce(*cands) if cands else F.current_timestamp()
+    """Date, else Timestamp, else the load time, as a wall-clock timestamp
+    (timestamp_ntz: the same type as the star's ``ts`` and independent of the
+    session time zone)."""
+    cands = [F.try_to_timestamp(F.col(c)).cast("timestamp_ntz")
+             for c in ("Date", "Timestamp") if c in df.columns]
+    return F.coalesce(*cands) if cands else F.localtimestamp()
 
 
 @dataclass
