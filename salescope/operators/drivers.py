@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salescope.functions.text import feature_display_name, money, title_case  # noqa: F401
+from salescope.functions.text import feature_display_name, money
 from salescope.operators.features import EncodedColumn, bools_to_int, one_hot_drop_first
 from salescope.operators.filters import FilterSpec, enriched
 from salescope.operators.shap import TreeExplainer, index_lookup

@@ -22,20 +22,28 @@ class EncodedColumn:
 
 
 def category_levels(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct non-null levels of each string column.
+    """Sorted distinct non-null levels of each string column, in one job.
 
     The level lists define the output schema, so they come to the driver.
-    Each column's levels are found with a distinct (a shuffle aggregate, no
-    per-task set) stopped after MAX_LEVELS + 1 values, so a column with too
-    many levels raises instead of flooding the driver; nothing is capped.
+    (column, value) pairs go through one distinct (a shuffle aggregate, no
+    per-task set) stopped after (MAX_LEVELS + 1) × columns pairs: if that
+    many arrive, some column has more than MAX_LEVELS levels and this raises
+    instead of flooding the driver.  Nothing is capped.
     """
-    out = {}
-    for c in cols:
-        vals = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct()
-                .limit(MAX_LEVELS + 1).collect()]
-        if len(vals) > MAX_LEVELS:
+    if not cols:
+        return {}
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in cols]))
+        .alias("p")).select("p.k", "p.v").where(F.col("v").isNotNull()).distinct()
+    cap = (MAX_LEVELS + 1) * len(cols)
+    got = pairs.limit(cap).collect()
+    out = {c: [] for c in cols}
+    for r in got:
+        out[r.k].append(r.v)
+    for c, vals in out.items():
+        if len(vals) > MAX_LEVELS or len(got) >= cap:
             raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
-        out[c] = sorted(vals)
+        vals.sort()
     return out
 
 

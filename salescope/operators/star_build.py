@@ -4,7 +4,6 @@ keys, key lookups, fact projection, rejects and row validation."""
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F

@@ -74,3 +74,18 @@ def test_validation_and_downcast(spark):
     assert bad.first().failed_rules == ["store_location_required", "store_rating_range"]
     d = downcast(df)
     assert dict(d.dtypes)["store_id"] == "tinyint" and dict(d.dtypes)["store_rating"] == "float"
+
+
+def test_defaults_when_columns_are_missing(spark, tmp_path):
+    p = os.path.join(str(tmp_path), "bare.csv")
+    with open(p, "w") as f:
+        f.write("Date,Revenue\n2024-02-01,12.5\n2024-02-02,7.5\n")
+    cr = clean_sales(read_sales_csv(spark, p))
+    lr = load_star(cr.rows)
+    s = lr.star.stores.collect()
+    pr = lr.star.products.collect()
+    assert [(x.store_location, x.store_rating) for x in s] == [("Default_Location", 0.0)]
+    assert [(x.category, x.unit_price, x.stock_on_hand) for x in pr] == [("Default", 10.0, 0)]
+    tx = lr.star.transactions.orderBy("ts").collect()
+    assert len(tx) == 2 and tx[0].customer_type == "Unknown" and tx[0].promotion_applied is False
+    assert float(tx[0].revenue) == 12.5
