@@ -479,11 +479,25 @@ from salescope.sources.raw import DIRTY_SQL, dirty_sales  # noqa: E402
 _ETL_CACHE: dict = {}
 
 
+class _Etl:
+    """The cleaning result and, built on first use, the loaded star."""
+
+    def __init__(self, cr):
+        self.cr = cr
+        self._lr = None
+
+    def __getitem__(self, i):
+        if i == 0:
+            return self.cr
+        if self._lr is None:
+            self._lr = sb.load_star(self.cr.rows)
+        return self._lr
+
+
 def _etl(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _ETL_CACHE:
-        cr = cln.clean_sales(dirty_sales(spark, sf_dir))
-        _ETL_CACHE[key] = (cr, sb.load_star(cr.rows))
+        _ETL_CACHE[key] = _Etl(cln.clean_sales(dirty_sales(spark, sf_dir)))
     return _ETL_CACHE[key]
 
 
