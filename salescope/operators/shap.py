@@ -133,6 +133,15 @@ def shap_matrix(x: np.ndarray, trees: list[Tree]) -> np.ndarray:
     return phi.T
 
 
+MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+
+
+def table_bytes(trees: list) -> int:
+    return int(sum(t.node_feat.nbytes + t.node_thr.nbytes
+                   + sum(lf.table_t.nbytes + lf.features.nbytes for lf in t.leaves)
+                   for t in trees))
+
+
 def index_lookup(values: list, index):
     """``values[index]`` as an expression over a literal map."""
     m = F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(i), F.lit(v))])
@@ -147,7 +156,13 @@ class TreeExplainer:
         ship_package(tm.spark)
         leaves, base = build_leaves(tm.nodes(), tm.weights)
         self.base_value = float(base)
-        # Broadcast once: size is bounded by rounds × leaves × 2^depth.
+        # Broadcast once.  The size is bounded by the model (trees × leaves ×
+        # 2^depth × depth doubles), never by the data; checked all the same.
+        size = table_bytes(leaves)
+        if size > MAX_BROADCAST_BYTES:
+            raise ValueError(f"SHAP tables take {size} bytes (> {MAX_BROADCAST_BYTES}); "
+                             "use fewer rounds or shallower trees")
+        self.table_bytes = size
         self._bc = tm.spark.sparkContext.broadcast(leaves)
 
     def _dense(self, pdf: pd.DataFrame) -> np.ndarray:
