@@ -100,3 +100,19 @@ def test_batched_fit_equals_per_group_fit(ref_star, spark):
     import numpy as np
     np.testing.assert_allclose(a["yhat"], b["yhat"], rtol=1e-9)
     np.testing.assert_allclose(a["yhat_upper"], b["yhat_upper"], rtol=1e-9)
+
+
+def test_drivers_and_explanation(ref_star):
+    from salescope.operators import drivers as drv
+    out = drv.shap_explainability(ref_star, FilterSpec(), rounds=10, max_depth=3)
+    imp = out["importance"].collect()
+    assert len(imp) > 0
+    # revenue depends on the product (category) and the day only
+    assert imp[0].Feature.startswith("category_")
+    assert abs(sum(r.pct_contribution for r in imp) - 100) < 1.0
+    entries = out["entries"].collect()
+    assert {e.side for e in entries} <= {"booster", "reducer"}
+    s = out["summary"].first()
+    assert s.booster_count + s.reducer_count == len(entries)
+    assert s.summary.startswith("Analysis identified") or s.summary.startswith("Insufficient")
+    assert all(e.interpretation.endswith("of average order value).") for e in entries)
