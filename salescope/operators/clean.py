@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from salescope.functions.text import strip_all, title_case
 from salescope.session import checkpoint_dir
+from salescope.session import materialize as write_staging
 
 CRITICAL = ("Date", "Timestamp", "Revenue")
 NON_NEGATIVE = ("Revenue", "Unit_Price")
@@ -110,18 +111,17 @@ def clean_sales(raw: DataFrame, materialize: bool = True) -> CleanResult:
     """Run the cleaning steps; ``rows`` keeps ``_row`` as the first position
     at which each distinct cleaned row appeared.
 
-    With ``materialize`` the standardised, flagged input is written once to
-    the shared checkpoint folder (the job's staging copy): the rows, the
-    median and the report are all derived from it instead of re-reading and
-    re-standardising the raw input, and a lost executor re-reads rather than
-    recomputes.
+    With ``materialize`` the standardised, flagged input is written once as a
+    Parquet staging table in the shared checkpoint folder: the rows, the
+    median and the report are all derived from it (each reading only the
+    columns it needs) instead of re-reading and re-standardising the raw
+    input, and a lost executor re-reads rather than recomputes.
     """
     std = standardize_strings(raw)
     flagged = std.withColumn("_crit", critical_missing(std)).withColumn(
         "_anom", ~F.col("_crit") & anomalous(std))
     if materialize:
-        checkpoint_dir(raw.sparkSession)
-        flagged = flagged.checkpoint(eager=True)
+        flagged = write_staging(flagged, "clean-flagged")
     kept = flagged.filter(~F.col("_crit") & ~F.col("_anom"))
     data_cols = [c for c in raw.columns if c != ORDER]
     if MEDIAN_FILL in raw.columns:

@@ -13,7 +13,7 @@ from salescope.operators.features import EncodedColumn, bools_to_int, one_hot_dr
 from salescope.operators.filters import FilterSpec, enriched
 from salescope.operators.shap import TreeExplainer, index_lookup
 from salescope.operators.trees import TreeModel, fit_trees
-from salescope.session import checkpoint_dir
+from salescope.session import materialize
 from salescope.sources.star import Star
 
 DRIVER_COLUMNS = ["discount_percentage", "customer_type", "payment_mode",
@@ -70,17 +70,16 @@ def fit_drivers(star: Star, spec: FilterSpec, rounds: int = 30, step_size: float
                 max_depth: int = 5, seed: int = 42) -> DriverModel:
     rows = driver_rows(star, spec)
     matrix, meta = driver_matrix(rows)
-    checkpoint_dir(matrix.sparkSession)
     # Training makes one pass per tree level per round and SHAP one more:
-    # write the matrix once to the shared checkpoint folder, which also cuts
-    # the join lineage (a lost executor re-reads, it does not re-join).
+    # write the matrix once as Parquet in the shared checkpoint folder, which
+    # also cuts the join lineage (a lost executor re-reads, it does not re-join).
     # Boosting and SHAP parallelise over partitions: if the join left fewer
     # partitions than task slots, rebalance first (never triggers on a large
     # input, which already has more partitions than slots).
     slots = matrix.sparkSession.sparkContext.defaultParallelism
     if matrix.rdd.getNumPartitions() < slots:
         matrix = matrix.repartition(slots)
-    matrix = matrix.checkpoint(eager=True)
+    matrix = materialize(matrix, "driver-matrix")
     if matrix.isEmpty():
         raise ValueError("no data for the selected filters")
     features = [m.name for m in meta]

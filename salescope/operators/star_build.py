@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from salescope.functions.flags import parse_flag
 from salescope.session import checkpoint_dir
+from salescope.session import materialize as write_staging
 from salescope.sources.star import REVENUE_TYPE, Star
 
 ORDER = "_row"
@@ -157,11 +158,10 @@ def build_facts(clean: DataFrame, stores: DataFrame, products: DataFrame) -> Loa
 
 def load_star(clean: DataFrame, materialize: bool = True) -> LoadResult:
     """Dimensions, facts and rejects from cleaned rows.  The cleaned rows feed
-    four builds, so by default they are written once to the shared
-    checkpoint folder first."""
+    four builds, so by default they are written once as a Parquet staging
+    table in the shared checkpoint folder first."""
     if materialize:
-        checkpoint_dir(clean.sparkSession)
-        clean = clean.checkpoint(eager=True)
+        clean = write_staging(clean, "clean-rows")
     stores = build_stores(clean)
     products = build_products(clean)
     return build_facts(clean, stores, products)
