@@ -36,6 +36,10 @@ def test_star_roundtrip_and_pruning(spark, tmp_path):
     assert a.transaction_count == b.transaction_count and a.total_revenue == b.total_revenue
     plan = ov.revenue_trend(st, FilterSpec(days=30))._jdf.queryExecution().executedPlan().toString()
     assert "sale_date" in plan and "PartitionFilters" in plan
+    from salescope.sources.schema import create_star_tables
+    names = create_star_tables(spark, path)
+    assert spark.table(names[2]).count() == recent.count()
+    assert spark.table(names[0]).count() == rep["stores"]
 
 
 def test_tree_model_roundtrip(spark, tmp_path):
