@@ -659,3 +659,9 @@ def gain_importance(spark, sf_dir):
 @register("explain_entries_sampled")
 def explain_entries_sampled(spark, sf_dir):
     return drv.sorted_entries(drv.explain_entries(_driver_model(spark, sf_dir), sample_rows=2000))
+
+
+@register("forecast_coefficients")
+def forecast_coefficients(spark, sf_dir):
+    daily = fcst.daily_series(star_from_tpch(spark, sf_dir), FilterSpec(), PANEL_KEYS)
+    return fcst.fit_coefficients(daily, PANEL_KEYS)

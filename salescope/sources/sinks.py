@@ -67,5 +67,16 @@ def load_trees(spark: SparkSession, path: str):
 
 
 def save_forecast(pred: DataFrame, path: str) -> None:
-    """Persist forecast output partitioned by series."""
-    pred.write.mode("overwrite").partitionBy("series").parquet(path)
+    """Persist forecast output (predictions) as Parquet."""
+    pred.write.mode("overwrite").parquet(path)
+
+
+def save_forecaster(coefs: DataFrame, path: str) -> None:
+    """Persist fitted forecast parameters (one row per series, from
+    ``forecast.fit_coefficients``)."""
+    coefs.write.mode("overwrite").parquet(path)
+
+
+def load_forecaster(spark: SparkSession, path: str) -> DataFrame:
+    """Coefficient table for ``forecast.predict_with_coefficients``."""
+    return spark.read.parquet(path)

@@ -116,3 +116,21 @@ def test_drivers_and_explanation(ref_star):
     assert s.booster_count + s.reducer_count == len(entries)
     assert s.summary.startswith("Analysis identified") or s.summary.startswith("Insufficient")
     assert all(e.interpretation.endswith("of average order value).") for e in entries)
+
+
+def test_saved_coefficients_reproduce_forecast(ref_star, spark, tmp_path):
+    keys = ["store_location", "category"]
+    daily = fc.daily_series(ref_star, FilterSpec(), keys)
+    pred = fc.forecast(daily, keys, 7).toPandas()
+    path = str(tmp_path / "coef")
+    fc.fit_coefficients(daily, keys).write.parquet(path)
+    coefs = spark.read.parquet(path)
+    assert coefs.count() == 15
+    dates = fc.model_input(daily, keys, 7).select("series", "ds", "holiday_flag")
+    again = fc.predict_with_coefficients(coefs, dates).toPandas()
+    key = ["series", "ds"]
+    a = pred.sort_values(key).reset_index(drop=True)
+    b = again.sort_values(key).reset_index(drop=True)
+    import numpy as np
+    np.testing.assert_allclose(a["yhat"], b["yhat"], rtol=1e-9)
+    np.testing.assert_allclose(a["yhat_lower"], b["yhat_lower"], rtol=1e-9)
