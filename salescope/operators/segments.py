@@ -85,6 +85,25 @@ class SegmentResult:
     summary: DataFrame
     centers: DataFrame
     inertia: float
+    scaled_centres: list | None = None   # ranked, in scaled space
+    bounds: dict | None = None           # feature -> (min, max) of the fit data
+
+
+def scale_with(df: DataFrame, bounds: dict, cols: list[str] = FEATURES) -> DataFrame:
+    """Min-max scale with fixed bounds (those of the data a model was fitted on)."""
+    out = []
+    for c in cols:
+        lo, hi = bounds[c]
+        width = (hi - lo) if hi is not None and lo is not None else 0.0
+        out.append((F.lit(0.0) if not width else (F.col(c) - F.lit(lo)) / F.lit(width))
+                   .alias(c + "_scaled"))
+    return df.select("*", *out)
+
+
+def assign_saved(metrics: DataFrame, centres: list, bounds: dict) -> DataFrame:
+    """Assign per-store metrics to a saved model's clusters and label them."""
+    a = assign_to_centres(scale_with(metrics, bounds), centres)
+    return a.withColumn("cluster_label", label_expr(F.col("cluster_id")))
 
 
 def default_estimator(k: int, seed: int, max_iter: int):
@@ -141,4 +160,5 @@ def segment_stores(star: Star, n_clusters: int = 4, days: int = 0,
     centers = spark.createDataFrame(
         centre_rows, "cluster_id int, " + ", ".join(f"{f} double" for f in FEATURES))
     centers = centers.withColumn("cluster_label", label_expr(F.col("cluster_id")))
-    return SegmentResult(assignments, summarize(assigned), centers, float(cost))
+    bounds = {f: (b[f"{f}_min"], b[f"{f}_max"]) for f in FEATURES}
+    return SegmentResult(assignments, summarize(assigned), centers, float(cost), ranked, bounds)

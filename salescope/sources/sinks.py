@@ -41,9 +41,23 @@ def write_frames(frames: dict[str, DataFrame], path: str, mode: str = "overwrite
 
 
 def save_segments(result, path: str) -> None:
-    """Persist a segmentation: centres (original units) and assignments."""
+    """Persist a segmentation: centres (original units), assignments, and the
+    model itself (scaled centres and scaler bounds) so new data can be
+    assigned later with ``load_segments``."""
+    spark = result.centers.sparkSession
     result.centers.write.mode("overwrite").parquet(os.path.join(path, "centers"))
     result.assignments.write.mode("overwrite").parquet(os.path.join(path, "assignments"))
+    model = {"centres": result.scaled_centres, "bounds": result.bounds}
+    spark.createDataFrame([(json.dumps(model),)], "model string") \
+        .write.mode("overwrite").json(os.path.join(path, "model"))
+
+
+def load_segments(spark: SparkSession, path: str) -> dict:
+    """{'centres': ranked scaled centres, 'bounds': feature -> (min, max)};
+    use with ``segments.assign_saved``."""
+    m = json.loads(spark.read.json(os.path.join(path, "model")).first()["model"])
+    m["bounds"] = {k: tuple(v) for k, v in m["bounds"].items()}
+    return m
 
 
 def save_trees(tm, path: str) -> None:

@@ -54,3 +54,16 @@ def test_tree_model_roundtrip(spark, tmp_path):
     p2 = [r.prediction for r in back.predict(df).orderBy("a", "b").collect()]
     assert p1 == p2
     assert os.path.isdir(os.path.join(path, "model"))
+
+
+def test_segment_model_roundtrip(spark, tmp_path, ref_star):
+    from salescope.operators import segments as seg
+    from salescope.sources.sinks import load_segments, save_segments
+    r = seg.segment_stores(ref_star, n_clusters=2, n_init=2)
+    path = str(tmp_path / "seg")
+    save_segments(r, path)
+    m = load_segments(spark, path)
+    metrics = seg.store_metrics(ref_star, FilterSpec())
+    again = {x.store_id: x.cluster_id for x in seg.assign_saved(metrics, m["centres"], m["bounds"]).collect()}
+    first = {x.store_id: x.cluster_id for x in r.assignments.collect()}
+    assert again == first
