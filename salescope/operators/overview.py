@@ -82,3 +82,55 @@ def overview(star: Star, spec: FilterSpec = FilterSpec(days=30)) -> dict[str, Da
         "top_categories": top_categories(star, spec),
         "filters": filter_options(star),
     }
+
+
+def overview_one_pass(star: Star, spec: FilterSpec = FilterSpec(days=30),
+                      n: int = TOP_N) -> dict[str, DataFrame]:
+    """The same KPI, trend and top-list frames from ONE scan of the facts.
+
+    A single grouping-sets aggregate over (day), (store), (category) and ()
+    carries one conditional sum per consumer, which is how the cross-filter
+    exemptions are kept: the trend and KPIs need both the store and category
+    predicates, the store list only the category one, the category list
+    only the store one.  Partial aggregation runs before the shuffle; the
+    result has one row per day, store and category, and is persisted so the
+    four frames read it instead of the facts.
+    """
+    check_overview_days(spec.days)
+    f = enriched(star, FilterSpec(days=spec.days),
+                 ["ts", "revenue", "transaction_id", "store_location", "category"])
+    s_ok = (F.col("store_location") == spec.store) if spec.store else F.lit(True)
+    c_ok = (F.col("category") == spec.category) if spec.category else F.lit(True)
+    both = s_ok & c_ok
+    g = (f.select(F.to_date("ts").alias("date"), "store_location", "category", "revenue",
+                  "transaction_id", both.alias("_both"), s_ok.alias("_s"), c_ok.alias("_c"))
+          .groupingSets([["date"], ["store_location"], ["category"], []],
+                        "date", "store_location", "category")
+          .agg(F.grouping_id().alias("_gid"),
+               F.sum(F.when(F.col("_both"), F.col("revenue"))).alias("rev_both"),
+               F.count(F.when(F.col("_both"), F.col("transaction_id"))).alias("n_both"),
+               F.count(F.when(F.col("_both"), F.col("revenue"))).alias("nrev_both"),
+               F.sum(F.when(F.col("_c"), F.col("revenue"))).alias("rev_c"),
+               F.sum(F.when(F.col("_s"), F.col("revenue"))).alias("rev_s"))
+          .persist())
+    # grouping_id bits: date, store_location, category (1 = rolled up).
+    by_date, by_store, by_cat, total = 3, 5, 6, 7
+    store_n = star.stores.agg(F.count(F.lit(1))).scalar()
+    product_n = star.products.agg(F.count(F.lit(1))).scalar()
+    tot = g.filter(F.col("_gid") == total)
+    rev = F.col("rev_both").cast("double")
+    kpi = tot.select(
+        F.coalesce(rev, F.lit(0.0)).alias("total_revenue"),
+        F.col("n_both").alias("transaction_count"),
+        F.round(F.coalesce(rev / F.col("nrev_both"), F.lit(0.0)), 2).alias("avg_order_value"),
+        store_n.alias("store_count"), product_n.alias("product_count"))
+    trend = (g.filter((F.col("_gid") == by_date) & F.col("rev_both").isNotNull())
+              .select("date", rev.alias("revenue")).orderBy("date"))
+    stores = (g.filter((F.col("_gid") == by_store) & F.col("rev_c").isNotNull())
+               .select("store_location", F.col("rev_c").cast("double").alias("revenue"))
+               .orderBy(F.desc("revenue"), F.asc("store_location")).limit(n))
+    cats = (g.filter((F.col("_gid") == by_cat) & F.col("rev_s").isNotNull())
+             .select("category", F.col("rev_s").cast("double").alias("revenue"))
+             .orderBy(F.desc("revenue"), F.asc("category")).limit(n))
+    return {"kpis": kpi, "revenue_trend": trend, "top_stores": stores,
+            "top_categories": cats, "filters": filter_options(star)}

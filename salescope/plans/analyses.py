@@ -25,8 +25,11 @@ class Analytics:
     star: Star
 
     def overview(self, days: int = 30, store: str | None = None,
-                 category: str | None = None) -> dict[str, DataFrame]:
-        return ov.overview(self.star, FilterSpec(days, store, category))
+                 category: str | None = None, one_pass: bool = True) -> dict[str, DataFrame]:
+        """KPIs, daily trend, top stores / categories and filter lists.  With
+        ``one_pass`` (default) the facts are scanned once for all frames."""
+        spec = FilterSpec(days, store, category)
+        return ov.overview_one_pass(self.star, spec) if one_pass else ov.overview(self.star, spec)
 
     def forecast(self, steps: int = 30, store: str | None = None, category: str | None = None,
                  days: int = 0, keys: list[str] | None = None,

@@ -665,3 +665,29 @@ def explain_entries_sampled(spark, sf_dir):
 def forecast_coefficients(spark, sf_dir):
     daily = fcst.daily_series(star_from_tpch(spark, sf_dir), FilterSpec(), PANEL_KEYS)
     return fcst.fit_coefficients(daily, PANEL_KEYS)
+
+
+# ---------------------------------------------------------------- one-pass overview
+def _one_pass(spark, sf_dir, frame):
+    return ov.overview_one_pass(star_from_tpch(spark, sf_dir),
+                                FilterSpec(365, STORE, CATEGORY))[frame]
+
+
+@register("overview_one_pass_kpis", kpi_sql(365, STORE, CATEGORY))
+def overview_one_pass_kpis(spark, sf_dir):
+    return _one_pass(spark, sf_dir, "kpis")
+
+
+@register("overview_one_pass_trend", trend_sql(365, STORE, CATEGORY))
+def overview_one_pass_trend(spark, sf_dir):
+    return _one_pass(spark, sf_dir, "revenue_trend")
+
+
+@register("overview_one_pass_top_stores", top_sql("store_location", 365, None, CATEGORY))
+def overview_one_pass_top_stores(spark, sf_dir):
+    return _one_pass(spark, sf_dir, "top_stores")
+
+
+@register("overview_one_pass_top_categories", top_sql("category", 365, STORE, None))
+def overview_one_pass_top_categories(spark, sf_dir):
+    return _one_pass(spark, sf_dir, "top_categories")

@@ -134,3 +134,11 @@ def test_saved_coefficients_reproduce_forecast(ref_star, spark, tmp_path):
     import numpy as np
     np.testing.assert_allclose(a["yhat"], b["yhat"], rtol=1e-9)
     np.testing.assert_allclose(a["yhat_lower"], b["yhat_lower"], rtol=1e-9)
+
+
+def test_one_pass_overview_equals_separate_frames(ref_star):
+    spec = FilterSpec(days=45, store="Downtown", category="Clothing")
+    a = ov.overview(ref_star, spec)
+    b = ov.overview_one_pass(ref_star, spec)
+    for k in ("kpis", "revenue_trend", "top_stores", "top_categories"):
+        assert [tuple(r) for r in a[k].collect()] == [tuple(r) for r in b[k].collect()], k
