@@ -214,7 +214,11 @@ a AS (SELECT x.store_id, x.store_location, x.avg_revenue, x.store_rating,
 
 
 def _fixed_assign(spark, sf_dir, days=0, category=None):
-    m = seg.store_metrics(star_from_tpch(spark, sf_dir), FilterSpec(days=days, category=category))
+    from salescope.session import checkpoint_dir
+    checkpoint_dir(spark)
+    # One row per store, read twice (bounds and rows): written once.
+    m = seg.store_metrics(star_from_tpch(spark, sf_dir),
+                          FilterSpec(days=days, category=category)).checkpoint(eager=True)
     a = seg.assign_to_centres(min_max_scale(m, seg.FEATURES), CENTRES)
     return a.withColumn("cluster_label", seg.label_expr(a["cluster_id"]))
 
