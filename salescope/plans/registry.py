@@ -695,3 +695,17 @@ def overview_one_pass_top_stores(spark, sf_dir):
 @register("overview_one_pass_top_categories", top_sql("category", 365, STORE, None))
 def overview_one_pass_top_categories(spark, sf_dir):
     return _one_pass(spark, sf_dir, "top_categories")
+
+
+@register("forecast_extra_regressor")
+def forecast_extra_regressor(spark, sf_dir):
+    """Panel forecast with the daily mean discount as an extra regressor;
+    its future value is each series' historical mean."""
+    from pyspark.sql import functions as F
+    star = star_from_tpch(spark, sf_dir)
+    regs = {"avg_discount": F.avg("discount_percentage")}
+    daily = fcst.daily_series(star, FilterSpec(), ["category"], regs)
+    means = daily.groupBy("category").agg(F.avg("avg_discount").alias("avg_discount"))
+    future = fcst.future_frame(daily, ["category"], 30).join(means, "category")
+    return fcst.forecast(daily, ["category"], 30, regressors=["avg_discount"],
+                         future=future.select("category", "ds", "avg_discount"))

@@ -45,3 +45,28 @@ def test_scaled_features_in_unit_interval(ref_star, spark):
               *[F.max(c + "_scaled").alias("hi_" + c) for c in seg.FEATURES]).first()
     for c in seg.FEATURES:
         assert 0.0 <= r["lo_" + c] <= r["hi_" + c] <= 1.0
+
+
+def test_extra_regressor_with_future_values(spark):
+    """y = 50 + 8·x + noise with a continuous daily regressor x: the fit must
+    use the supplied future x (back-filled where missing)."""
+    rng = np.random.default_rng(3)
+    start = date(2023, 1, 2)
+    rows, fut = [], []
+    for d in range(400):
+        x = float(rng.uniform(0, 10))
+        rows.append(("s", start + timedelta(days=d), 50.0 + 8.0 * x + float(rng.normal(0, 0.5)),
+                     False, x))
+    for d in range(400, 410):
+        if d % 2 == 0:  # every other future day given; the rest back-fill
+            fut.append(("s", start + timedelta(days=d), 9.0))
+    daily = spark.createDataFrame(rows, "k string, ds date, y double, holiday_flag boolean, x double")
+    future = spark.createDataFrame(fut, "k string, ds date, x double")
+    pred = (fc.forecast(daily, ["k"], 10, regressors=["x"], future=future)
+              .filter("is_forecast").orderBy("ds").toPandas())
+    assert len(pred) == 10
+    # every future day sees x = 9 (given or back-filled from the next given day),
+    # except the last, which has no later value and falls back to 0
+    expect = [50 + 8 * 9.0] * 9 + [50.0]
+    assert np.max(np.abs(pred.yhat.to_numpy() - np.array(expect))) < 3.0
+    assert pred.extra_regressors.abs().max() > 10
