@@ -133,4 +133,6 @@ def overview_one_pass(star: Star, spec: FilterSpec = FilterSpec(days=30),
              .select("category", F.col("rev_s").cast("double").alias("revenue"))
              .orderBy(F.desc("revenue"), F.asc("category")).limit(n))
     return {"kpis": kpi, "revenue_trend": trend, "top_stores": stores,
-            "top_categories": cats, "filters": filter_options(star)}
+            "top_categories": cats, "filters": filter_options(star),
+            # the persisted grouping-sets result; unpersist() it when done
+            "shared": g}
