@@ -148,11 +148,13 @@ def clean_sales(raw: DataFrame, materialize: bool = True) -> CleanResult:
                      F.count_if("_fill_disc").alias("n_disc"),
                      F.count(F.lit(1)).alias("n_kept"))
     n_out = rows.agg(F.count(F.lit(1))).scalar()
+    # One struct-valued subquery for the three fill counts (runs once).
+    fill = fills.select(F.struct("n_rating", "n_disc", "n_kept").alias("f")).scalar()
     rep = counts.select(
         "n_in", "n_crit", "n_anom",
-        fills.select("n_rating").scalar().alias("n_rating"),
-        fills.select("n_disc").scalar().alias("n_disc"),
-        (fills.select("n_kept").scalar() - n_out).alias("n_dup"), n_out.alias("n_out"))
+        fill.getField("n_rating").alias("n_rating"),
+        fill.getField("n_disc").alias("n_disc"),
+        (fill.getField("n_kept") - n_out).alias("n_dup"), n_out.alias("n_out"))
     report = rep.select(F.expr(
         "stack(7, 'input', 0L, 0L, 'standardize_strings', 0L, 0L, "
         "'drop_missing_critical', n_crit, 0L, 'drop_anomalies', n_anom, 0L, "

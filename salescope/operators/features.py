@@ -79,14 +79,16 @@ def min_max_bounds(df: DataFrame, cols: list[str]) -> DataFrame:
 def min_max_scale(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> DataFrame:
     """(x - min) / (max - min) per column, 0 for a constant column.
 
-    The bounds are a single aggregate row attached through scalar subqueries
-    (merged into one by the optimizer): no join, no window over all rows.
+    The bounds are a single aggregate row attached as ONE scalar subquery
+    returning a struct (the same subquery object is referenced for every
+    field, so it runs once): no join, no window over all rows.
     """
     b = min_max_bounds(df, cols)
+    packed = b.select(F.struct(*b.columns).alias("b")).scalar()
     out = []
     for c in cols:
-        lo = b.select(f"{c}_min").scalar()
-        hi = b.select(f"{c}_max").scalar()
+        lo = packed.getField(f"{c}_min")
+        hi = packed.getField(f"{c}_max")
         out.append(F.coalesce((F.col(c) - lo) / F.nullif(hi - lo, F.lit(0)), F.lit(0.0))
                    .alias(c + suffix))
     return df.select("*", *out)

@@ -334,9 +334,10 @@ def display_sql() -> str:
 def display_names(spark, sf_dir):
     from pyspark.sql import functions as F
     rows = drv.driver_rows(star_from_tpch(spark, sf_dir), FilterSpec())
-    parts = [rows.select(F.lit(c).alias("source"), F.col(c).alias("level")).distinct()
-             for c in drv.CATEGORICAL]
-    f = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # One pass: every row emits its (column, level) pairs, then one distinct.
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("source"), F.col(c).alias("level"))
+                                for c in drv.CATEGORICAL]))
+    f = rows.select(pairs.alias("p")).select("p.source", "p.level").distinct()
     f = f.withColumn("feature", F.concat_ws("_", "source", "level"))
     return f.withColumn("display_name", feature_display_name(F.col("feature")))
 
@@ -704,7 +705,10 @@ def forecast_extra_regressor(spark, sf_dir):
     from pyspark.sql import functions as F
     star = star_from_tpch(spark, sf_dir)
     regs = {"avg_discount": F.avg("discount_percentage")}
-    daily = fcst.daily_series(star, FilterSpec(), ["category"], regs)
+    from salescope.session import checkpoint_dir
+    checkpoint_dir(spark)
+    # Read for history, last dates and means: written once.
+    daily = fcst.daily_series(star, FilterSpec(), ["category"], regs).checkpoint(eager=True)
     means = daily.groupBy("category").agg(F.avg("avg_discount").alias("avg_discount"))
     future = fcst.future_frame(daily, ["category"], 30).join(means, "category")
     return fcst.forecast(daily, ["category"], 30, regressors=["avg_discount"],
