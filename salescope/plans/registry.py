@@ -713,3 +713,19 @@ def forecast_extra_regressor(spark, sf_dir):
     future = fcst.future_frame(daily, ["category"], 30).join(means, "category")
     return fcst.forecast(daily, ["category"], 30, regressors=["avg_discount"],
                          future=future.select("category", "ds", "avg_discount"))
+
+
+# ---------------------------------------------------------------- more relational views
+@register("driver_feature_rows", f"""
+SELECT t.discount_percentage, t.customer_type, t.payment_mode, t.promotion_applied,
+       t.holiday_flag, CAST(t.revenue AS DOUBLE) AS revenue, s.store_rating, p.category
+{JOINED} {where(365)}""")
+def driver_feature_rows(spark, sf_dir):
+    return drv.driver_rows(star_from_tpch(spark, sf_dir), FilterSpec(days=365))
+
+
+@register("clean_strings", DIRTY_SQL.strip() + "\n" + f"""
+SELECT _row, "Date", {', '.join(f"{_std(c)} AS {c}" if c in TEXT else c for c in DATA_COLS[1:])}
+FROM dirty""")
+def clean_strings(spark, sf_dir):
+    return cln.standardize_strings(dirty_sales(spark, sf_dir))
