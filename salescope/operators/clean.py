@@ -75,11 +75,16 @@ def exact_median(df: DataFrame, col: str, partitions: int | None = None) -> Data
        partition's offset, giving every value its rank interval.
     4. The value(s) whose interval holds the middle rank(s) are averaged.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vc = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(
         F.count(F.lit(1)).alias("n"))
+    return median_from_counts(vc, partitions)
+
+
+def median_from_counts(vc: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Exact median from a (v, n) value-count table (steps 2–4 above)."""
+    spark = vc.sparkSession
+    checkpoint_dir(spark)
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (vc.repartitionByRange(n_parts, "v")
                 .withColumn("_p", F.spark_partition_id())
                 .checkpoint(eager=True))

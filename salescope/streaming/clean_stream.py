@@ -2,11 +2,16 @@
 
 Row-wise cleaning rules (text standardisation, critical-field and anomaly
 drops, zero discount fill, flag parsing) need no global state, so they run
-unchanged on a file stream.  Rules that need the whole input (median fill,
-exact de-duplication, first-row-wins dimensions) run per micro-batch
-against the already loaded star in ``foreachBatch``: duplicates are removed
-within the batch and against rows already written (left-anti join on the
-full row), and the median of the loaded ratings fills missing ones.
+unchanged on a file stream.  The two rules that need earlier data run per
+micro-batch in ``foreachBatch`` with bounded state:
+
+* exact de-duplication: the output is partitioned by ``Date`` and exact
+  copies share their date, so each batch is anti-joined only with the
+  partitions of the dates it contains (a semi-join on the batch's dates
+  lets the scan prune the rest);
+* median fill of missing ratings: a (rating, count) table — one row per
+  distinct rating, whatever the volume — is versioned per epoch next to the
+  output; the median of everything loaded so far comes from it.
 """
 
 from __future__ import annotations
@@ -16,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salescope.operators.clean import (ZERO_FILL, anomalous, critical_missing, exact_median,
-                                       standardize_strings)
+from salescope.operators.clean import (ZERO_FILL, anomalous, critical_missing,
+                                       median_from_counts, standardize_strings)
 from salescope.sources.raw import NA_TOKENS, RAW_COLUMNS
 
 
@@ -51,19 +56,45 @@ def start_clean_load(spark: SparkSession, folder: str, columns: list[str], out:
     exactly-once per file."""
     cleaned = clean_rows_stream(raw_stream(spark, folder, columns))
 
-    def load_batch(batch: DataFrame, _epoch: int):
+    counts_path = out.rstrip("/") + "_rating_counts"
+
+    def load_batch(batch: DataFrame, epoch: int):
+        out_schema = T.StructType(list(batch.schema.fields)
+                                  + [T.StructField("rating_filled", T.BooleanType())])
         try:
-            done = spark.read.parquet(out)
+            # Explicit schema: the Date partition values stay the raw text
+            # they are (no partition type inference).
+            done = spark.read.schema(out_schema).parquet(out)
         except AnalysisException:
             done = None
-        ref = done if done is not None else batch
-        med = exact_median(ref, "Store_Rating").scalar()
-        b = batch.withColumn("Store_Rating", F.coalesce(F.col("Store_Rating"), med))
-        b = b.dropDuplicates()
+        try:
+            hist = spark.read.parquet(counts_path)
+            hist = hist.filter(F.col("epoch") == hist.agg(F.max("epoch")).scalar()).select("v", "n")
+        except AnalysisException:
+            hist = None
+        # Exact duplicates are judged on the values as they arrived (a loaded
+        # row's rating is null again where it was filled).
+        b = batch.dropDuplicates()
         if done is not None:
-            cond = [b[c].eqNullSafe(done[c]) for c in b.columns]
-            b = b.join(done, cond, "left_anti")
-        b.write.mode("append").parquet(out)
+            dates = b.select("Date").distinct()
+            prior = (done.join(dates, "Date", "left_semi")
+                         .withColumn("Store_Rating", F.when(F.col("rating_filled"), F.lit(None))
+                                     .otherwise(F.col("Store_Rating")).cast("double"))
+                         .drop("rating_filled"))
+            cond = [b[c].eqNullSafe(prior[c]) for c in b.columns]
+            b = b.join(prior, cond, "left_anti")
+        b = b.checkpoint(eager=True)  # feeds the counts and the output
+        new = (b.filter(F.col("Store_Rating").isNotNull())
+                .groupBy(F.col("Store_Rating").alias("v")).agg(F.count(F.lit(1)).alias("n")))
+        counts = new if hist is None else new.unionByName(hist).groupBy("v").agg(
+            F.sum("n").alias("n"))
+        counts = counts.checkpoint(eager=True)  # bounded: one row per distinct rating
+        med = median_from_counts(counts).scalar()
+        filled = (b.withColumn("rating_filled", F.col("Store_Rating").isNull())
+                   .withColumn("Store_Rating", F.coalesce(F.col("Store_Rating"), med)))
+        filled.write.mode("append").partitionBy("Date").parquet(out)
+        counts.withColumn("epoch", F.lit(epoch)).write.mode("append") \
+            .partitionBy("epoch").parquet(counts_path)
 
     w = cleaned.writeStream.option("checkpointLocation", checkpoint).foreachBatch(load_batch)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="1 minute")

@@ -12,8 +12,13 @@ def test_stream_load_is_incremental_and_exactly_once(spark, tmp_path):
     start_clean_load(spark, str(src), HEADER.split(","), out, ck).awaitTermination()
     first = spark.read.parquet(out).count()
     assert first == 3  # one exact copy dropped
+    filled = spark.read.parquet(out).filter("rating_filled").collect()
+    assert [r.Store_Rating for r in filled] == [3.5]  # median of 4.0 and 3.0
     (src / "b.csv").write_text("\n".join([HEADER] + ROWS[2:]) + "\n")
     start_clean_load(spark, str(src), HEADER.split(","), out, ck).awaitTermination()
-    # new file: 6 rows, 3 fail row rules, 1 repeats a loaded row
+    # new file: 6 rows; 2 repeat a loaded row (judged on the values as they
+    # arrived, although the loaded copy had its rating filled), 3 fail row
+    # rules, 1 is new
     assert spark.read.parquet(out).count() == first + 1
+    assert os.path.isdir(out + "_rating_counts")
     assert os.path.isdir(ck)
