@@ -79,18 +79,19 @@ def min_max_bounds(df: DataFrame, cols: list[str]) -> DataFrame:
 def min_max_scale(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> DataFrame:
     """(x - min) / (max - min) per column, 0 for a constant column.
 
-    The bounds are a single aggregate row attached as ONE scalar subquery
-    returning a struct (the same subquery object is referenced for every
-    field, so it runs once): no join, no window over all rows.
+    The bounds are one aggregate row (2 numbers per column), resolved once
+    and inlined as literals, so the scaled frame is a plain projection: no
+    join, no window over all rows, no subquery re-running the input.
     """
-    b = min_max_bounds(df, cols)
-    packed = b.select(F.struct(*b.columns).alias("b")).scalar()
+    b = min_max_bounds(df, cols).first()
     out = []
     for c in cols:
-        lo = packed.getField(f"{c}_min")
-        hi = packed.getField(f"{c}_max")
-        out.append(F.coalesce((F.col(c) - lo) / F.nullif(hi - lo, F.lit(0)), F.lit(0.0))
-                   .alias(c + suffix))
+        lo, hi = b[f"{c}_min"], b[f"{c}_max"]
+        if lo is None or hi is None or hi == lo:
+            out.append(F.lit(0.0).alias(c + suffix))
+        else:
+            out.append(F.coalesce((F.col(c) - F.lit(float(lo))) / F.lit(float(hi - lo)),
+                                  F.lit(0.0)).alias(c + suffix))
     return df.select("*", *out)
 
 
