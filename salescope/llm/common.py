@@ -54,7 +54,7 @@ def bounded_broadcast(df: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
     """Broadcast a *staged* frame if its files are at most ``max_bytes``;
     beyond that it is returned as it is and the join shuffles."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    size = int(stats.sizeInBytes().toString())
+    size = int(str(stats.sizeInBytes()))
     return F.broadcast(df) if size <= max_bytes else df
 
 

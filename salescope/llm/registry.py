@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from salescope.llm.common import table
+from salescope.llm.decontaminate import flag_documents
 from salescope.llm.fair_mix import mix_documents
 from salescope.llm.host_reputation import judge_urls
 from salescope.llm.kd_shards import shard_documents
+from salescope.llm.secret_automaton import secret_digest
 from salescope.llm.weak_quality import score_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +42,13 @@ def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op7_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
+@register
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flag_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
