@@ -64,3 +64,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def safe_name(name: str) -> str:
     return re.sub(r"\W+", "_", name)
+
+
+def text_slices(batch, column: int, max_bytes: int = 4 << 20):
+    """Cuts an Arrow batch into slices of about ``max_bytes`` of text (one row
+    at least), so that working arrays stay bounded whatever the row sizes."""
+    import pyarrow.compute as pc
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if total and total + n > max_bytes:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += int(n)
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
+def utf8(column) -> list[bytes]:
+    """UTF-8 bytes of a string column; null as empty."""
+    import pyarrow as pa
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

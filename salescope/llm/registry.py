@@ -13,6 +13,7 @@ from salescope.llm.fair_mix import mix_documents
 from salescope.llm.host_reputation import judge_urls
 from salescope.llm.kd_shards import shard_documents
 from salescope.llm.secret_automaton import secret_digest
+from salescope.llm.toxic_crf import score_toxicity
 from salescope.llm.weak_quality import score_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,11 @@ def register(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@register
+def op1_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"))
