@@ -12,6 +12,7 @@ from salescope.llm.decontaminate import flag_documents
 from salescope.llm.fair_mix import mix_documents
 from salescope.llm.host_reputation import judge_urls
 from salescope.llm.kd_shards import shard_documents
+from salescope.llm.ppm_model import score_documents
 from salescope.llm.secret_automaton import secret_digest
 from salescope.llm.toxic_crf import score_toxicity
 from salescope.llm.weak_quality import score_quality
@@ -50,6 +51,11 @@ def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+@register
+def op6_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 @register
 def op7_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
