@@ -16,8 +16,8 @@ corpus; every shorter context of a node is a node.  The tables of the model
 are therefore bounded (at most 2 KB, usually a third of it, per node and
 worker) and travel with the scoring function as counts.
 
-Base score: unigram words with add-one smoothing.  Words above 1/8192 of the
-training tokens (so at most 8192) are scored by the scan; all others meet
+Base score: unigram words with add-one smoothing.  Words above 1 / HOT_SHARE of
+the training tokens (so at most HOT_SHARE) are scored by the scan; all others meet
 their counts in a join, where no word can hold more than such a share of the
 rows of training texts.
 
@@ -40,9 +40,9 @@ from pyspark.sql import functions as F
 
 from salescope.llm.common import ship_package, stage, text_slices, utf8
 
-ORDER = 6
+ORDER = 5
 END = b"\xff"
-HOT_SHARE = 8192
+HOT_SHARE = 1 << 18
 
 
 def held_out(doc_id: Column) -> Column:
@@ -79,7 +79,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["gram", "token", "n"])
 
     for big in batches:
-        for batch in text_slices(big, 0):
+        for batch in text_slices(big, 0, 2 << 20):
             texts = [t.lower() for t in utf8(batch.column(0))]
             for t in texts:
                 words.update(t.split())
@@ -88,7 +88,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
             sums = np.bincount(at, np.concatenate([sums, n]), len(both)).astype(np.int64)
             keys = both
-            if len(words) + len(keys) > 2_000_000:      # bounded task memory
+            if len(words) > 300_000 or len(keys) > 2_000_000:   # bounded task memory
                 yield from flush(keys, sums, words)
                 words = Counter()
                 keys, sums = keys[:0], sums[:0]
