@@ -14,6 +14,7 @@ from salescope.llm.host_reputation import judge_urls
 from salescope.llm.kd_shards import shard_documents
 from salescope.llm.ppm_model import score_documents
 from salescope.llm.secret_automaton import secret_digest
+from salescope.llm.shingle_join import component_of
 from salescope.llm.toxic_crf import score_toxicity
 from salescope.llm.weak_quality import score_quality
 
@@ -64,3 +65,8 @@ def op7_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return component_of(table(spark, sf_dir, "documents"))
