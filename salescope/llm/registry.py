@@ -15,6 +15,7 @@ from salescope.llm.kd_shards import shard_documents
 from salescope.llm.ppm_model import score_documents
 from salescope.llm.secret_automaton import secret_digest
 from salescope.llm.shingle_join import component_of
+from salescope.llm.suffix_dedup import removal_digest
 from salescope.llm.toxic_crf import score_toxicity
 from salescope.llm.weak_quality import score_quality
 
@@ -62,6 +63,11 @@ def op7_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+@register
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digest(table(spark, sf_dir, "documents"))
+
+
 @register
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -70,3 +76,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return component_of(table(spark, sf_dir, "documents"))
+
+
+@register
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)

@@ -16,8 +16,10 @@ component of every document.
    the OR of their token bitmaps, their size range and their largest bitmap
    collision count.  Pairs of nodes are traversed together and dropped when
    sizes or the largest possible overlap cannot reach the threshold, or when
-   all members are already linked.  Surviving pairs are compared exactly and
-   only links that join two components are returned (a spanning forest), so a
+   all members are already linked.  For (b) the trees run on stored bitmaps
+   of a longer prefix first (which must share proportionally more), and only
+   members of surviving pairs fetch their texts.  Surviving
+   pairs are compared exactly and only links that join two components are returned (a spanning forest), so a
    group of m near-copies gives m - 1 links, not m^2.
 4. Components by min-label propagation with pointer jumping over staged tables.
 
@@ -43,11 +45,11 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salescope.llm.common import ship_package, stage, text_slices, utf8
+from salescope.llm.common import bounded_broadcast, ship_package, stage, text_slices, utf8
 
 SEEDS = 3
 BUCKET_ROWS = 4096
-LEAF = 8
+LEAF = 16
 HOT_DOCS = 2000         # a shingle in more than 1 / HOT_DOCS of the documents comes last
 MOST_HOT = 100_000      # (bounds what is sent to tasks; the order alone depends on it)
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
@@ -72,33 +74,57 @@ def shingles(words: list[bytes], n: int, hashes: WordHash) -> np.ndarray:
     if len(words) < n:
         whole = xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))
         return np.array([whole], np.uint64)
+    return np.unique(runs(words, n, hashes))
+
+
+def runs(words: list[bytes], n: int, hashes: WordHash) -> np.ndarray:
+    """Hash of every n consecutive words."""
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     s = np.zeros(len(words) - n + 1, np.uint64)
     for i in range(n):
         s += h[i:len(h) - n + 1 + i] * MULTIPLIERS[i % len(MULTIPLIERS)]
         s ^= s >> np.uint64(31)
     s *= MULTIPLIERS[0]
-    return np.unique(s ^ (s >> np.uint64(29)))
+    return s ^ (s >> np.uint64(29))
+
+
+def least_overlap(size, percent: int):
+    """Shingles that a set of this size shares with any linked set, at least."""
+    return -(-percent * size // 100)
 
 
 def prefix_length(size: int, percent: int) -> int:
     """Shingles among which a linked set must share one."""
-    return size - -(-percent * size // 100) + 1
+    return size - least_overlap(size, percent) + 1
+
+
+def signature_length(size: int, percent: int) -> tuple[int, int]:
+    """(k, l): the first k shingles hold at least l of a linked set's (the
+    prefix principle for l instead of one, at six times the length)."""
+    p = prefix_length(size, percent)
+    k = min(size, 6 * p - 5)
+    return k, k - p + 1
 
 
 # ------------------------------------------------------------ frequent shingles
 
 def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
-    """Shingles of more than 1 / HOT_DOCS of the documents, by a lower bound:
-    tasks report those that are frequent among their own documents."""
+    """Shingles that occur more often than once in HOT_DOCS documents, by a
+    lower bound: tasks report those that are frequent among their own
+    documents.  Only hashes in the lowest quarter are counted, as prefixes are
+    made of the smallest hashes.  (What is found changes the order of the
+    prefixes, never the result.)"""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, rows = WordHash(), 0
         keys, sums = np.empty(0, np.uint64), np.empty(0, np.int64)
         for big in batches:
-            for batch in text_slices(big, 0, 8 << 20):
-                sets = [shingles(t.lower().split(), n, hashes) for t in utf8(batch.column(0))]
-                rows += len(sets)
-                k, c = np.unique(np.concatenate(sets), return_counts=True)
+            for batch in text_slices(big, 0):
+                words = b" ".join(utf8(batch.column(0))).lower().split()
+                rows += batch.num_rows
+                if len(words) < n:
+                    continue
+                s = runs(words, n, hashes)
+                k, c = np.unique(s[s < np.uint64(1 << 62)], return_counts=True)
                 k, c = k[c > 1], c[c > 1]
                 both, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
                 sums = np.bincount(at, np.concatenate([sums, c]), len(both)).astype(np.int64)
@@ -117,17 +143,17 @@ def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
 # --------------------------------------------------------------------- entries
 
 def entries(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """Per row: row, doc_id, key (digest of its set), size, seeds, prefix, and
-    the compressed words."""
+    """Per row: row, doc_id, key (digest of its set), size, seeds, prefix, the
+    bitmap of a longer prefix, and the compressed words."""
     late = docs.sparkSession.sparkContext.broadcast(hot)    # at most MOST_HOT numbers
-    schema = "key binary, size int, seeds array<long>, prefix array<long>, z binary"
+    schema = "key binary, size int, seeds array<long>, prefix array<long>, bits binary, z binary"
     longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, pack, last = WordHash(), zstandard.ZstdCompressor(level=1), late.value
         for big in batches:
             for batch in text_slices(big, 2):
-                keys, sizes, seeds, prefixes, zs = [], [], [], [], []
+                keys, sizes, seeds, prefixes, bits, zs = [], [], [], [], [], []
                 for t in utf8(batch.column(2)):
                     words = t.lower().split()
                     s = shingles(words, n, hashes)
@@ -136,6 +162,7 @@ def entries(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame
                         keys.append(None)
                         seeds.append([])
                         prefixes.append([])
+                        bits.append(None)
                         zs.append(None)
                         continue
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -145,12 +172,14 @@ def entries(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame
                         common = last[at] == s
                         s = np.concatenate([s[~common], s[common]])
                     prefixes.append(s[:prefix_length(len(s), percent)].view(np.int64))
+                    bits.append(bitmap(s[:signature_length(len(s), percent)[0]]).tobytes())
                     zs.append(pack.compress(b" ".join(words)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(keys, pa.binary()),
                      pa.array(sizes, pa.int32()), pa.array(seeds, longs),
-                     pa.array(prefixes, longs), pa.array(zs, pa.binary())],
-                    names=["row", "doc_id", "key", "size", "seeds", "prefix", "z"])
+                     pa.array(prefixes, longs), pa.array(bits, pa.binary()),
+                     pa.array(zs, pa.binary())],
+                    names=["row", "doc_id", "key", "size", "seeds", "prefix", "bits", "z"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return stage(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
@@ -177,35 +206,42 @@ class Forest:
 
 
 class Node:
-    """Members [lo, hi) in size order, the OR of their bitmaps, their sizes
-    and the most tokens that one of them lost to bitmap collisions."""
-    __slots__ = ("lo", "hi", "bits", "least", "most", "lost", "children")
+    """Members [lo, hi): the OR of their bitmaps, their size range, the least
+    overlap that one of them needs, the most tokens that one lost to bitmap
+    collisions, and their component if it is one (else None)."""
+    __slots__ = ("lo", "hi", "bits", "least", "most", "need", "lost", "label", "children")
 
-    def __init__(self, lo, hi, bits, least, most, lost, children=()):
+    def __init__(self, lo, hi, bits, sizes, need, lost, labels, children=()):
         self.lo, self.hi, self.bits, self.children = lo, hi, bits, children
-        self.least, self.most, self.lost = least, most, lost
+        self.least, self.most = int(sizes[lo:hi].min()), int(sizes[lo:hi].max())
+        self.need, self.lost = int(need[lo:hi].min()), int(lost[lo:hi].max())
+        one = (labels[lo:hi] == labels[lo]).all()
+        self.label = int(labels[lo]) if one else None
 
 
-def signature_tree(sizes: np.ndarray, bitmaps: np.ndarray, lost: np.ndarray) -> Node:
+def signature_tree(sizes, bitmaps, need, lost, labels) -> Node:
     level = [Node(i, min(i + LEAF, len(sizes)), np.bitwise_or.reduce(bitmaps[i:i + LEAF]),
-                  int(sizes[i]), int(sizes[min(i + LEAF, len(sizes)) - 1]),
-                  int(lost[i:i + LEAF].max())) for i in range(0, len(sizes), LEAF)]
+                  sizes, need, lost, labels) for i in range(0, len(sizes), LEAF)]
     while len(level) > 1:
         level = [Node(p[0].lo, p[-1].hi, np.bitwise_or.reduce([x.bits for x in p]),
-                      p[0].least, p[-1].most, max(x.lost for x in p), p)
+                      sizes, need, lost, labels, p)
                  for p in (level[i:i + LEAF] for i in range(0, len(level), LEAF))]
     return level[0]
 
 
-def bitmaps_of(sets: list[np.ndarray]) -> np.ndarray:
-    """One bitmap per set, at least four bits per token of the largest."""
-    width = max(6, (4 * max(map(len, sets)) - 1).bit_length())
-    out = np.zeros((len(sets), 1 << (width - 6)), np.uint64)
-    for row, s in zip(out, sets):
-        bit = s >> np.uint64(64 - width)
-        np.bitwise_or.at(row, (bit >> np.uint64(6)).astype(np.int64),
-                         np.uint64(1) << (bit & np.uint64(63)))
-    return out
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Bitmap (64-bit words) of a set, 4 to 8 bits per token."""
+    width = max(6, (4 * len(s) - 1).bit_length())
+    bits = np.zeros(1 << width, bool)
+    bits[(s & np.uint64((1 << width) - 1)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.uint64)
+
+
+def aligned(bitmaps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps of one width: longer ones are folded (a bit is the low part of
+    the hash, so halves are OR-combined)."""
+    least = min(map(len, bitmaps))
+    return np.stack([np.bitwise_or.reduce(b.reshape(-1, least)) for b in bitmaps])
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -213,50 +249,102 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def bucket_links(sets: list[np.ndarray], labels: list[int], percent: int):
-    """Pairs of members (indices) that join components, by dual traversal."""
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
-    sets = [sets[i] for i in order]
-    forest = Forest([labels[i] for i in order])
-
-    def compare(i: int, j: int):
-        if forest.root(i) != forest.root(j) and 100 * len(sets[i]) >= percent * len(sets[j]) \
-                and linked(sets[i], sets[j], percent):
-            forest.join(forest.root(i), forest.root(j))
-            yield order[i], order[j]
-
-    if len(sets) <= LEAF:
-        for j in range(len(sets)):
-            for i in range(j):
-                yield from compare(i, j)
-        return
-    sizes = np.array([len(s) for s in sets])
-    bitmaps = bitmaps_of(sets)
-    lost = sizes - np.bitwise_count(bitmaps).sum(1)
-    root = signature_tree(sizes, bitmaps, lost)
+def possible_pairs(sizes: np.ndarray, bitmaps: np.ndarray, tokens: np.ndarray, need: np.ndarray,
+                   labels: np.ndarray, percent: int, done):
+    """Pairs (i < j) of members of different components whose sizes and
+    bitmaps allow a link, by dual traversal of their signature tree.  A bitmap
+    holds ``tokens[i]`` tokens of its set, of which a linked set's has at
+    least the smaller ``need`` of the two.  ``done(x, y)`` tells that pairs
+    among the members of two nodes need no look."""
+    lost = tokens - np.bitwise_count(bitmaps).sum(1).astype(np.int64)
+    root = signature_tree(sizes, bitmaps, need, lost, labels)
     stack = [(root, root)]
     while stack:
         x, y = stack.pop()
-        if 100 * x.most < percent * y.least or 100 * y.most < percent * x.least:
+        if 100 * x.most < percent * y.least or 100 * y.most < percent * x.least \
+                or (x.label is not None and x.label == y.label):
             continue
-        # overlap <= tokens of the smaller-indexed side on common bits
+        # An overlap lies on common bits, but for tokens lost to collisions.
         room = int(np.bitwise_count(x.bits & y.bits).sum()) + min(x.lost, y.lost)
-        if (100 + percent) * room < percent * (x.least + y.least):
-            continue
-        if len({forest.root(i) for n in (x, y) for i in range(n.lo, n.hi)}) == 1:
+        if room < min(x.need, y.need) or done(x, y):
             continue
         if x.children:
-            kids = [(a, b) for a in x.children for b in (y.children if y is not x else x.children)
-                    if y is not x or a.lo <= b.lo]
+            kids = [(a, b) for a in x.children for b in y.children if y is not x or a.lo <= b.lo]
             stack += kids[::-1]
             continue
-        for j in range(y.lo, y.hi):
-            lo, hi = x.lo, min(x.hi, j)
-            if lo >= hi:
-                continue
-            room = np.bitwise_count(bitmaps[lo:hi] & bitmaps[j]).sum(1) + lost[lo:hi]
-            for i in np.flatnonzero((100 + percent) * room >= percent * (sizes[lo:hi] + sizes[j])):
-                yield from compare(lo + int(i), j)
+        bx, by, nx, ny, tx, ty, lx, ly = (v[n.lo:n.hi] for v in (bitmaps, sizes, tokens, need)
+                                          for n in (x, y))
+        # Tokens of one side on no bit of the other are not shared.
+        only_x = np.bitwise_count(bx[:, None] & ~by[None]).sum(2, dtype=np.int64)
+        only_y = np.bitwise_count(by[None] & ~bx[:, None]).sum(2, dtype=np.int64)
+        room = np.minimum(tx[:, None] - only_x, ty[None] - only_y)
+        fits = (room >= np.minimum(lx[:, None], ly[None])) \
+            & (100 * np.minimum(nx[:, None], ny[None]) >= percent * np.maximum(nx[:, None], ny[None])) \
+            & (labels[x.lo:x.hi, None] != labels[None, y.lo:y.hi])
+        for i, j in zip(*np.nonzero(fits)):
+            if x.lo + i < y.lo + j:
+                yield int(x.lo + i), int(y.lo + j)
+
+
+def bucket_links(sets: list[np.ndarray], labels: list[int], percent: int):
+    """Pairs of members (indices) that join two components."""
+    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
+    sets = [sets[i] for i in order]
+    label = np.array([labels[i] for i in order], np.int64)
+    forest = Forest(label.tolist())
+    if len(sets) <= LEAF:
+        pairs = ((i, j) for j in range(len(sets)) for i in range(j)
+                 if 100 * len(sets[i]) >= percent * len(sets[j]))
+    else:
+        def done(x: Node, y: Node) -> bool:
+            at = forest.root(x.lo)
+            return all(forest.root(i) == at for n in (x, y) for i in range(n.lo, n.hi))
+
+        sizes = np.array([len(s) for s in sets])
+        pairs = possible_pairs(sizes, aligned([bitmap(s) for s in sets]), sizes,
+                               least_overlap(sizes, percent), label, percent, done)
+    for i, j in pairs:
+        if forest.root(i) != forest.root(j) and linked(sets[i], sets[j], percent):
+            forest.join(forest.root(i), forest.root(j))
+            yield order[i], order[j]
+
+
+def bucket_candidates(sizes: list[int], bitmaps: list[np.ndarray], labels: list[int],
+                      percent: int) -> list[int]:
+    """Members (indices) that may be linked to a member of another component.
+    Members lie in component order, so that nodes are mostly of one."""
+    order = sorted(range(len(sizes)), key=lambda i: (labels[i], sizes[i], i))
+    marked = np.zeros(len(order), bool)
+
+    def done(x: Node, y: Node) -> bool:
+        return marked[x.lo:x.hi].all() and marked[y.lo:y.hi].all()
+
+    tokens, need = np.array([signature_length(sizes[i], percent) for i in order]).T
+    for i, j in possible_pairs(np.array([sizes[i] for i in order]),
+                               aligned([bitmaps[i] for i in order]), tokens, need,
+                               np.array([labels[i] for i in order]), percent, done):
+        marked[i] = marked[j] = True
+    return [order[i] for i in np.flatnonzero(marked)]
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], work, schema: dict) -> Iterator[pa.RecordBatch]:
+    """Calls ``work(bucket, rows)`` for each run of equal buckets (first
+    column) and yields the rows it returns."""
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.values())],
+            names=list(schema))
+
+    group, at, out = [], None, []
+    for batch in batches:
+        for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != at:
+                out += work(at, group) if group else []
+                group, at = [], bucket
+            group.append(row)
+        yield batch_of(out)
+        out = []
+    yield batch_of(list(work(at, group)) if group else [])
 
 
 def link_buckets(rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -264,32 +352,35 @@ def link_buckets(rows: DataFrame, n: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, unpack = WordHash(), zstandard.ZstdDecompressor()
 
-        def links(group):
-            ids = [r for r, _, _ in group]
+        def links(_, group):
             sets = [shingles(unpack.decompress(z).split(b" "), n, hashes) for _, _, z in group]
-            for i, j in bucket_links(sets, [x for _, x, _ in group], percent):
-                yield ids[i], ids[j]
-
-        def batch_of(pairs):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in pairs], pa.int64()),
-                 pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
-
-        group, at, out = [], None, []
-        for batch in batches:
-            for bucket, row, label, z in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket != at:
-                    out += links(group)
-                    group, at = [], bucket
-                group.append((row, label, z))
-            yield batch_of(out)
-            out = []
-        yield batch_of([*links(group)])
+            return [(group[i][0], group[j][0])
+                    for i, j in bucket_links(sets, [x for _, x, _ in group], percent)]
+
+        yield from by_bucket(batches, links, {"a": pa.int64(), "b": pa.int64()})
 
     return (rows.select("bucket", "row", "label", "z").repartition("bucket")
             .sortWithinPartitions("bucket", "row").mapInArrow(run, "a long, b long"))
 
 
+def candidate_members(rows: DataFrame, percent: int) -> DataFrame:
+    """The (bucket, row, label) of ``rows`` (with size and bits) that may be
+    linked to a member of another component in their bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def members(bucket, group):
+            found = bucket_candidates([g[2] for g in group],
+                                      [np.frombuffer(g[3], np.uint64) for g in group],
+                                      [g[1] for g in group], percent)
+            return [(bucket, group[i][0], group[i][1]) for i in found]
+
+        yield from by_bucket(batches, members,
+                             {"bucket": pa.int64(), "row": pa.int64(), "label": pa.int64()})
+
+    return (rows.select("bucket", "row", "label", "size", "bits").repartition("bucket")
+            .sortWithinPartitions("bucket", "row")
+            .mapInArrow(run, "bucket long, row long, label long"))
+
+
 # ------------------------------------------------------------------ components
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -325,6 +416,13 @@ def size_bands(size, percent: int):
     return F.array(band, band + 1)
 
 
+def members(window=None):
+    """Digest of the rows of a bucket: buckets with the same members, as two
+    near-copies have for most of their shingles, are opened once."""
+    parts = [F.count(F.lit(1)), F.bit_xor(F.xxhash64("row")), F.bit_xor(F.xxhash64("row", F.lit(1)))]
+    return F.struct(*[p.over(window) if window is not None else p for p in parts])
+
+
 def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """row, doc_id, n_shingles, component_id for every row of ``docs``."""
     ship_package(docs.sparkSession)
@@ -336,14 +434,15 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     texts = reps.select("row", "z")
 
     seeds = stage(reps.select(F.explode("seeds").alias("s"), "row"), "seeds")
-    shared = seeds.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("row").alias("pivot")) \
-                  .where("m > 1")
+    shared = seeds.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("row").alias("pivot"),
+                                    members().alias("who")).where("m > 1")
     chunks = F.ceil(F.col("m") / BUCKET_ROWS).cast("int")
     dealt = seeds.join(shared, "s").select("row", F.explode(
         F.when(F.col("row") == F.col("pivot"), F.sequence(F.lit(0), chunks - 1))
-        .otherwise(F.array(F.pmod(F.xxhash64("row"), chunks).cast("int")))).alias("chunk"), "s")
-    near = link_buckets(dealt.select(F.xxhash64("s", "chunk").alias("bucket"), "row",
-                                     F.col("row").alias("label")).join(texts, "row"), n, percent)
+        .otherwise(F.array(F.pmod(F.xxhash64("row"), chunks).cast("int")))).alias("chunk"), "who")
+    dealt = stage(dealt.select(F.xxhash64("who", "chunk").alias("bucket"), "row",
+                               F.col("row").alias("label")).distinct(), "seed-buckets")
+    near = link_buckets(texts.join(bounded_broadcast(dealt), "row"), n, percent)
     near = stage(near, "links-seeds")
     labels = components(near)
 
@@ -355,9 +454,12 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
              .withColumn("_several", several).where("_several").drop("_several"))
     banded = (open_.withColumn("band", F.explode(size_bands(F.col("size"), percent)))
               .withColumn("_several", F.min("label").over(by_band) != F.max("label").over(by_band))
-              .where("_several")
-              .select(F.xxhash64("s", "band").alias("bucket"), "row", "label"))
-    rest = link_buckets(stage(banded, "open-buckets").join(texts, "row"), n, percent)
+              .withColumn("_who", members(by_band)).where("_several")
+              .select(F.xxhash64("_who").alias("bucket"), "row", "label").distinct())
+    maybe = stage(candidate_members(
+        stage(banded, "open-buckets").join(reps.select("row", "size", "bits"), "row"), percent),
+        "candidates")
+    rest = link_buckets(texts.join(bounded_broadcast(maybe), "row"), n, percent)
     labels = components(near.union(stage(rest, "links-prefix")))
 
     named = with_labels(classes.withColumnRenamed("rep", "row"), labels)
