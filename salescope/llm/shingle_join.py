@@ -17,10 +17,11 @@ component of every document.
    collision count.  Pairs of nodes are traversed together and dropped when
    sizes or the largest possible overlap cannot reach the threshold, or when
    all members are already linked.  For (b) the trees run on stored bitmaps
-   of a longer prefix first (which must share proportionally more), and only
-   members of surviving pairs fetch their texts.  Surviving
-   pairs are compared exactly and only links that join two components are returned (a spanning forest), so a
-   group of m near-copies gives m - 1 links, not m^2.
+   first, of a short prefix (of which half must be shared), then of all tokens,
+   and only members of surviving pairs fetch their texts.  Surviving
+   pairs are compared exactly and only links that join two components are
+   returned (a spanning forest), so a group of m near-copies gives m - 1 links,
+   not m^2.
 4. Components by min-label propagation with pointer jumping over staged tables.
 
 Buckets of (a) above BUCKET_ROWS members are dealt into chunks that share one
@@ -98,11 +99,15 @@ def prefix_length(size: int, percent: int) -> int:
     return size - least_overlap(size, percent) + 1
 
 
-def signature_length(size: int, percent: int) -> tuple[int, int]:
+# Signatures hold so many times the prefix length of a set's first shingles.
+SHORT, WHOLE = 2, 1 << 30
+
+
+def signature_length(size: int, percent: int, times: int) -> tuple[int, int]:
     """(k, l): the first k shingles hold at least l of a linked set's (the
-    prefix principle for l instead of one, at six times the length)."""
+    prefix principle for l instead of one, at a greater length)."""
     p = prefix_length(size, percent)
-    k = min(size, 6 * p - 5)
+    k = min(size, times * (p - 1) + 1)
     return k, k - p + 1
 
 
@@ -143,17 +148,17 @@ def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
 # --------------------------------------------------------------------- entries
 
 def entries(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """Per row: row, doc_id, key (digest of its set), size, seeds, prefix, the
-    bitmap of a longer prefix, and the compressed words."""
+    """Per row: row, doc_id, key (digest of its set), size, seeds, prefix,
+    bitmaps of all its tokens and of a short prefix, and the compressed words."""
     late = docs.sparkSession.sparkContext.broadcast(hot)    # at most MOST_HOT numbers
-    schema = "key binary, size int, seeds array<long>, prefix array<long>, bits binary, z binary"
+    schema = "key binary, size int, seeds array<long>, prefix array<long>, bits binary, short binary, z binary"
     longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, pack, last = WordHash(), zstandard.ZstdCompressor(level=1), late.value
         for big in batches:
             for batch in text_slices(big, 2):
-                keys, sizes, seeds, prefixes, bits, zs = [], [], [], [], [], []
+                keys, sizes, seeds, prefixes, bits, short, zs = [], [], [], [], [], [], []
                 for t in utf8(batch.column(2)):
                     words = t.lower().split()
                     s = shingles(words, n, hashes)
@@ -163,6 +168,7 @@ def entries(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame
                         seeds.append([])
                         prefixes.append([])
                         bits.append(None)
+                        short.append(None)
                         zs.append(None)
                         continue
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -172,14 +178,16 @@ def entries(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame
                         common = last[at] == s
                         s = np.concatenate([s[~common], s[common]])
                     prefixes.append(s[:prefix_length(len(s), percent)].view(np.int64))
-                    bits.append(bitmap(s[:signature_length(len(s), percent)[0]]).tobytes())
+                    bits.append(bitmap(s).tobytes())
+                    short.append(bitmap(s[:signature_length(len(s), percent, SHORT)[0]]).tobytes())
                     zs.append(pack.compress(b" ".join(words)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(keys, pa.binary()),
                      pa.array(sizes, pa.int32()), pa.array(seeds, longs),
                      pa.array(prefixes, longs), pa.array(bits, pa.binary()),
-                     pa.array(zs, pa.binary())],
-                    names=["row", "doc_id", "key", "size", "seeds", "prefix", "bits", "z"])
+                     pa.array(short, pa.binary()), pa.array(zs, pa.binary())],
+                    names=["row", "doc_id", "key", "size", "seeds", "prefix", "bits", "short",
+                           "z"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return stage(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
@@ -254,10 +262,12 @@ def possible_pairs(sizes: np.ndarray, bitmaps: np.ndarray, tokens: np.ndarray, n
     """Pairs (i < j) of members of different components whose sizes and
     bitmaps allow a link, by dual traversal of their signature tree.  A bitmap
     holds ``tokens[i]`` tokens of its set, of which a linked set's has at
-    least the smaller ``need`` of the two.  ``done(x, y)`` tells that pairs
+    least the smaller ``need`` of the two (and where bitmaps hold whole sets, the
+    overlap that the two sizes ask for).  ``done(x, y)`` tells that pairs
     among the members of two nodes need no look."""
     lost = tokens - np.bitwise_count(bitmaps).sum(1).astype(np.int64)
     root = signature_tree(sizes, bitmaps, need, lost, labels)
+    whole = percent if (tokens == sizes).all() else 0
     stack = [(root, root)]
     while stack:
         x, y = stack.pop()
@@ -266,7 +276,8 @@ def possible_pairs(sizes: np.ndarray, bitmaps: np.ndarray, tokens: np.ndarray, n
             continue
         # An overlap lies on common bits, but for tokens lost to collisions.
         room = int(np.bitwise_count(x.bits & y.bits).sum()) + min(x.lost, y.lost)
-        if room < min(x.need, y.need) or done(x, y):
+        if room < min(x.need, y.need) \
+                or (100 + whole) * room < whole * (x.least + y.least) or done(x, y):
             continue
         if x.children:
             kids = [(a, b) for a in x.children for b in y.children if y is not x or a.lo <= b.lo]
@@ -279,6 +290,7 @@ def possible_pairs(sizes: np.ndarray, bitmaps: np.ndarray, tokens: np.ndarray, n
         only_y = np.bitwise_count(by[None] & ~bx[:, None]).sum(2, dtype=np.int64)
         room = np.minimum(tx[:, None] - only_x, ty[None] - only_y)
         fits = (room >= np.minimum(lx[:, None], ly[None])) \
+            & ((100 + whole) * room >= whole * (nx[:, None] + ny[None])) \
             & (100 * np.minimum(nx[:, None], ny[None]) >= percent * np.maximum(nx[:, None], ny[None])) \
             & (labels[x.lo:x.hi, None] != labels[None, y.lo:y.hi])
         for i, j in zip(*np.nonzero(fits)):
@@ -310,7 +322,7 @@ def bucket_links(sets: list[np.ndarray], labels: list[int], percent: int):
 
 
 def bucket_candidates(sizes: list[int], bitmaps: list[np.ndarray], labels: list[int],
-                      percent: int) -> list[int]:
+                      percent: int, times: int) -> list[int]:
     """Members (indices) that may be linked to a member of another component.
     Members lie in component order, so that nodes are mostly of one."""
     order = sorted(range(len(sizes)), key=lambda i: (labels[i], sizes[i], i))
@@ -319,7 +331,7 @@ def bucket_candidates(sizes: list[int], bitmaps: list[np.ndarray], labels: list[
     def done(x: Node, y: Node) -> bool:
         return marked[x.lo:x.hi].all() and marked[y.lo:y.hi].all()
 
-    tokens, need = np.array([signature_length(sizes[i], percent) for i in order]).T
+    tokens, need = np.array([signature_length(sizes[i], percent, times) for i in order]).T
     for i, j in possible_pairs(np.array([sizes[i] for i in order]),
                                aligned([bitmaps[i] for i in order]), tokens, need,
                                np.array([labels[i] for i in order]), percent, done):
@@ -363,20 +375,21 @@ def link_buckets(rows: DataFrame, n: int, percent: int) -> DataFrame:
             .sortWithinPartitions("bucket", "row").mapInArrow(run, "a long, b long"))
 
 
-def candidate_members(rows: DataFrame, percent: int) -> DataFrame:
-    """The (bucket, row, label) of ``rows`` (with size and bits) that may be
-    linked to a member of another component in their bucket."""
+def candidate_members(rows: DataFrame, bits: str, percent: int, times: int) -> DataFrame:
+    """The (bucket, row, label) of ``rows`` that may, by their sizes and
+    signatures ``bits``, be linked to a member of another component in their
+    bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def members(bucket, group):
             found = bucket_candidates([g[2] for g in group],
                                       [np.frombuffer(g[3], np.uint64) for g in group],
-                                      [g[1] for g in group], percent)
+                                      [g[1] for g in group], percent, times)
             return [(bucket, group[i][0], group[i][1]) for i in found]
 
         yield from by_bucket(batches, members,
                              {"bucket": pa.int64(), "row": pa.int64(), "label": pa.int64()})
 
-    return (rows.select("bucket", "row", "label", "size", "bits").repartition("bucket")
+    return (rows.select("bucket", "row", "label", "size", bits).repartition("bucket")
             .sortWithinPartitions("bucket", "row")
             .mapInArrow(run, "bucket long, row long, label long"))
 
@@ -456,9 +469,10 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
               .withColumn("_several", F.min("label").over(by_band) != F.max("label").over(by_band))
               .withColumn("_who", members(by_band)).where("_several")
               .select(F.xxhash64("_who").alias("bucket"), "row", "label").distinct())
-    maybe = stage(candidate_members(
-        stage(banded, "open-buckets").join(reps.select("row", "size", "bits"), "row"), percent),
-        "candidates")
+    maybe = stage(banded, "open-buckets")
+    for bits, times in (("short", SHORT), ("bits", WHOLE)):
+        maybe = stage(candidate_members(maybe.join(reps.select("row", "size", bits), "row"),
+                                        bits, percent, times), "candidates")
     rest = link_buckets(texts.join(bounded_broadcast(maybe), "row"), n, percent)
     labels = components(near.union(stage(rest, "links-prefix")))
 
