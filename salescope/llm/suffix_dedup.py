@@ -347,7 +347,7 @@ def repeated_ranges(ent: DataFrame) -> DataFrame:
                 runs.append(run)
         yield from batches_of(runs)
 
-    sent = ent.select("row", "z").join(bounded_broadcast(mine), "row").select("row", "z", "at") \
+    sent = ent.select("row", "z").join(mine, "row").select("row", "z", "at") \
               .mapInArrow(suffixes, "part int, heads binary, body binary, numbers binary")
     return sent.repartition(n, "part").sortWithinPartitions("part") \
                .mapInArrow(merge, "row long, start int, end int")
@@ -390,7 +390,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return ent.select("row", "doc_id", "z").join(bounded_broadcast(found), "row", "left") \
+    return ent.select("row", "doc_id", "z").join(found, "row", "left") \
               .select("doc_id", "z", "ranges").mapInArrow(run, f"doc_id {id_type}, {schema}")
 
 
