@@ -103,7 +103,7 @@ def entries(docs: DataFrame) -> DataFrame:
     """Staged rows: row, doc_id, compressed text, anchors with block hashes,
     and for a 1024th of the blocks the bytes (to cut the ranges)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for big in batches:
             for batch in text_slices(big, 2):
                 texts = utf8(batch.column(2))
@@ -128,7 +128,7 @@ def entries(docs: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ front-coded runs
 # A run is (heads, bytes, numbers): per entry its shared prefix length, the
 # lengths of rest and payload, and how many occurrences it has; then all rests
-# and payloads; then row and position of every occurrence.
+# and payloads (compressed); then row and position of every occurrence.
 
 def front_code(suffixes: list[tuple[bytes, bytes, int, int]]) -> tuple[bytes, bytes, bytes]:
     """Encodes sorted (suffix, payload, row, position)."""
@@ -143,13 +143,14 @@ def front_code(suffixes: list[tuple[bytes, bytes, int, int]]) -> tuple[bytes, by
             body += [right[n:], left]
             last, last_left = right, left
         numbers += [row, pos]
-    return (np.array(heads, np.int32).tobytes(), b"".join(body),
+    return (np.array(heads, np.int32).tobytes(), zstandard.compress(b"".join(body), 3),
             np.array(numbers, np.int64).tobytes())
 
 
 def read_run(heads: bytes, body: bytes, numbers: bytes):
     """Yields (shared prefix length, suffix, payload, occurrences) lazily."""
     last, at, k = b"", 0, 0
+    body = zstandard.decompress(body)
     occ = np.frombuffer(numbers, np.int64).reshape(-1, 2)
     for n, rest, left, count in np.frombuffer(heads, np.int32).reshape(-1, 4).tolist():
         last = last[:n] + body[at:at + rest]
