@@ -444,7 +444,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     classes = stage(ent.where("key IS NOT NULL").groupBy("key")
                     .agg(F.min("row").alias("rep")), "classes")
     reps = ent.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
-    texts = reps.select("row", "z")
+    texts = ent.select("row", "z")      # only representatives are in buckets
 
     seeds = stage(reps.select(F.explode("seeds").alias("s"), "row"), "seeds")
     shared = seeds.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("row").alias("pivot"),
@@ -471,7 +471,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
               .select(F.xxhash64("_who").alias("bucket"), "row", "label").distinct())
     maybe = stage(banded, "open-buckets")
     for bits, times in (("short", SHORT), ("bits", WHOLE)):
-        maybe = stage(candidate_members(maybe.join(reps.select("row", "size", bits), "row"),
+        maybe = stage(candidate_members(maybe.join(ent.select("row", "size", bits), "row"),
                                         bits, percent, times), "candidates")
     rest = link_buckets(texts.join(bounded_broadcast(maybe), "row"), n, percent)
     labels = components(near.union(stage(rest, "links-prefix")))
