@@ -10,7 +10,7 @@ component of every document.
    principle, two linked sets share one of their first n - ceil(t n) + 1
    shingles in *any* common order, so the buckets of all prefix shingles find
    every remaining link; only buckets that still hold several components and
-   fitting sizes are opened.  Any order is exact; shingles met in many
+   members whose sizes and places of the shingle allow a link are opened.  Any order is exact; shingles met in many
    documents come last in it, so a common line or passage opens no buckets.
 3. In a bucket, a signature tree: leaves are members in size order, nodes hold
    the OR of their token bitmaps, their size range and their largest bitmap
@@ -37,6 +37,7 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,8 @@ from salescope.llm.common import bounded_broadcast, ship_package, stage, text_sl
 SEEDS = 3
 BUCKET_ROWS = 4096
 LEAF = 16
+CELLS = 4               # size cells per largest ratio of linked sizes
+SPAN = CELLS + 4         # (a reach of 0 to CELLS + 2 in the last digit)
 HOT_DOCS = 2000         # a shingle in more than 1 / HOT_DOCS of the documents comes last
 MOST_HOT = 100_000      # (bounds what is sent to tasks; the order alone depends on it)
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
@@ -417,16 +420,59 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
 
 
 def with_labels(reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """``reps`` with the label of their component (their own row if alone)."""
-    return reps.join(labels.withColumnRenamed("row", "_r"), F.col("row") == F.col("_r"), "left") \
+    """``reps`` with the label of their component (their own row if alone).
+    Labels grow with the documents, so the join shuffles at every size."""
+    return reps.join(labels.withColumnRenamed("row", "_r").hint("merge"),
+                     F.col("row") == F.col("_r"), "left") \
                .withColumn("label", F.coalesce("label", "row")).drop("_r")
 
 
-def size_bands(size, percent: int):
-    """Linked sets are in the same or neighbouring bands; a set is entered in
-    its own band and the next."""
-    band = F.floor(F.log(size.cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
-    return F.array(band, band + 1)
+def size_cell(size, percent: int):
+    """Number of a size on a scale of CELLS steps per largest ratio of linked
+    sizes (it never falls as sizes grow)."""
+    if percent >= 100:
+        return size.cast("long")
+    return F.floor(F.log(size.cast("double")) * (CELLS / math.log(100.0 / percent)))
+
+
+def most_partner(size, place, percent: int):
+    """Size of the largest set linked to one of this size, if their first
+    common shingle is in this (0-based) place: the overlap is at most the
+    ``size - place`` shingles from there on, and must reach
+    percent / (100 + percent) of the sum of sizes."""
+    return F.floor((100 * size - (100 + percent) * place) / F.lit(percent))
+
+
+def placed_cells(size, place, percent: int):
+    """One number for a set's own size cell and how many more its partners may
+    reach if it is the smaller one (a last digit of 0: it cannot be)."""
+    own, most = size_cell(size, percent), most_partner(size, place, percent)
+    more = F.when(most >= size, size_cell(most, percent) - own + 1)
+    return (own * SPAN + F.coalesce(more, F.lit(0))).cast("int")
+
+
+def open_buckets(prefixes: DataFrame) -> DataFrame:
+    """(bucket, row, label) from (s, cells, row, label).
+
+    Of two linked sets the smaller enters the size cells from its own up to
+    that of its largest partner, the larger its own cell, so they meet in the
+    cell of the larger one under their first common shingle.  A cell is opened
+    if one that came as the smaller and one in its own cell differ in label."""
+    reach = F.col("cells") % SPAN
+    entered = (prefixes.withColumn("_reach", reach)
+               .select("*", F.floor(F.col("cells") / SPAN).alias("_own"))
+               .withColumn("cell", F.explode(F.sequence(
+                   "_own", F.col("_own") + F.greatest(F.col("_reach") - 1, F.lit(0))))))
+    by_cell = Window.partitionBy("s", "cell")
+    small, large = (F.when(c, F.col("label")) for c in
+                    (F.col("_reach") > 0, F.col("cell") == F.col("_own")))
+    return (entered
+            .withColumn("_low", F.least(F.min(small).over(by_cell), F.min(large).over(by_cell)))
+            .withColumn("_high", F.greatest(F.max(small).over(by_cell), F.max(large).over(by_cell)))
+            .withColumn("_both", F.count(small).over(by_cell) * F.count(large).over(by_cell))
+            .withColumn("_who", members(by_cell))
+            .where("_both > 0 AND _low <> _high")
+            .select(F.xxhash64("_who").alias("bucket"), "row", "label").distinct())
 
 
 def members(window=None):
@@ -459,17 +505,14 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     near = stage(near, "links-seeds")
     labels = components(near)
 
-    by_token = Window.partitionBy("s")
-    by_band = Window.partitionBy("s", "band")
-    several = F.min("label").over(by_token) != F.max("label").over(by_token)
-    open_ = (with_labels(reps.select("row", "size", "prefix"), labels)
-             .select(F.explode("prefix").alias("s"), "row", "size", "label")
-             .withColumn("_several", several).where("_several").drop("_several"))
-    banded = (open_.withColumn("band", F.explode(size_bands(F.col("size"), percent)))
-              .withColumn("_several", F.min("label").over(by_band) != F.max("label").over(by_band))
-              .withColumn("_who", members(by_band)).where("_several")
-              .select(F.xxhash64("_who").alias("bucket"), "row", "label").distinct())
-    maybe = stage(banded, "open-buckets")
+    prefixes = (with_labels(reps.select("row", "size", "prefix"), labels)
+                .select(F.posexplode("prefix").alias("place", "s"), "row", "size", "label")
+                .select("s", placed_cells(F.col("size"), F.col("place"), percent).alias("cells"),
+                        "row", "label"))
+    several = Window.partitionBy("s")
+    prefixes = prefixes.withColumn("_several", F.min("label").over(several)
+                                   != F.max("label").over(several)).where("_several")
+    maybe = stage(open_buckets(prefixes), "open-buckets")
     for bits, times in (("short", SHORT), ("bits", WHOLE)):
         maybe = stage(candidate_members(maybe.join(ent.select("row", "size", bits), "row"),
                                         bits, percent, times), "candidates")
