@@ -8,29 +8,68 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.sources.star import Star
+from salescope.operators.star_build import build_facts, build_products, build_stores
+from salescope.session import materialize
+from salescope.sources.star import Star, read_star
+
+# Natural keys of the dimensions.
+STAR_KEYS = {"stores": ["store_location"],
+             "products": ["category", "subcategory", "brand", "unit_price", "stock_on_hand"]}
 
 
 def write_star(star: Star, path: str, mode: str = "overwrite",
                partitions: int | None = None) -> None:
     """Write the three tables as Parquet; transactions partitioned by day.
 
-    With dynamic partition overwrite a re-run replaces exactly the days it
-    loads, so loading the same file twice does not duplicate rows.  Facts are
+    A whole star at a time: its ids hold within one load, and a re-run with
+    dynamic partition overwrite replaces the days it holds.  To load further
+    files into a written star use ``append_star``.  Facts are
     range-partitioned on (sale_date, transaction_id): each writer task covers
     a few consecutive days (few files per folder), and a day holding a third
     of all rows is split across many tasks instead of landing on one.
     """
-    spark = star.transactions.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     star.stores.write.mode(mode).parquet(os.path.join(path, "stores"))
     star.products.write.mode(mode).parquet(os.path.join(path, "products"))
-    tx = star.transactions
+    write_facts(star.transactions, path, mode, partitions)
+
+
+def write_facts(tx: DataFrame, path: str, mode: str, partitions: int | None = None) -> None:
+    n = partitions or int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if "sale_date" not in tx.columns:
         tx = tx.withColumn("sale_date", F.to_date("ts"))
     (tx.repartitionByRange(n, "sale_date", "transaction_id")
-       .write.mode(mode).partitionBy("sale_date").parquet(os.path.join(path, "transactions")))
+       .write.mode(mode).option("partitionOverwriteMode", "dynamic")
+       .partitionBy("sale_date").parquet(os.path.join(path, "transactions")))
+
+
+def append_star(clean: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
+    """Load further cleaned rows into a star written by ``write_star``; returns
+    the rejected rows.
+
+    Stores and products already there keep their ids (a known store keeps its
+    rating); only new ones are added, with ids above the present maximum, and
+    so are the facts.  Dimensions are written first: after a failure a second
+    try finds them by their natural keys, and only facts are added.  Every call
+    adds its rows, so load a file once."""
+    spark = clean.sparkSession
+    clean = materialize(clean, "append-rows")
+    old = read_star(spark, path)
+    for name, key, have, found in (
+            ("stores", "store_id", old.stores, build_stores(clean)),
+            ("products", "product_id", old.products, build_products(clean))):
+        same = [found[c].eqNullSafe(have[c]) for c in STAR_KEYS[name]]
+        last = have.agg(F.max(key)).first()[0] or 0
+        new = found.join(have, same, "left_anti").withColumn(key, F.col(key) + last)
+        new.select(*have.columns).write.mode("append").parquet(os.path.join(path, name))
+    now = read_star(spark, path)
+    loaded = build_facts(clean, now.stores, now.products)
+    last = old.transactions.agg(F.max("transaction_id")).first()[0]
+    # Staged first, as ids that a lost task would number anew must not change.
+    facts = materialize(loaded.star.transactions, "append-facts")
+    if last is not None:
+        facts = facts.withColumn("transaction_id", F.col("transaction_id") + (last + 1))
+    write_facts(facts, path, "append", partitions)
+    return loaded.rejected
 
 
 def write_frames(frames: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:

@@ -5,8 +5,8 @@ drops, zero discount fill, flag parsing) need no global state, so they run
 unchanged on a file stream.  The two rules that need earlier data run per
 micro-batch in ``foreachBatch`` with bounded state:
 
-* exact de-duplication: the output is partitioned by ``Date`` and exact
-  copies share their date, so each batch is anti-joined only with the
+* exact de-duplication: the output is partitioned by ``Date`` (and epoch) and
+  exact copies share their date, so each batch is anti-joined only with the
   partitions of the dates it contains (a semi-join on the batch's dates
   lets the scan prune the rest);
 * median fill of missing ratings: a (rating, count) table — one row per
@@ -60,15 +60,20 @@ def start_clean_load(spark: SparkSession, folder: str, columns: list[str], out:
 
     def load_batch(batch: DataFrame, epoch: int):
         out_schema = T.StructType(list(batch.schema.fields)
-                                  + [T.StructField("rating_filled", T.BooleanType())])
+                                  + [T.StructField("rating_filled", T.BooleanType()),
+                                     T.StructField("epoch", T.LongType())])
+        # Only earlier epochs count as loaded: what a failed attempt of this
+        # epoch left behind is overwritten below.
         try:
             # Explicit schema: the Date partition values stay the raw text
             # they are (no partition type inference).
-            done = spark.read.schema(out_schema).parquet(out)
+            done = spark.read.schema(out_schema).parquet(out) \
+                .filter(F.col("epoch") < epoch).drop("epoch")
         except AnalysisException:
             done = None
         try:
-            hist = spark.read.parquet(counts_path)
+            hist = spark.read.schema("v double, n long, epoch long").parquet(counts_path) \
+                .filter(F.col("epoch") < epoch)
             hist = hist.filter(F.col("epoch") == hist.agg(F.max("epoch")).scalar()).select("v", "n")
         except AnalysisException:
             hist = None
@@ -92,9 +97,12 @@ def start_clean_load(spark: SparkSession, folder: str, columns: list[str], out:
         med = median_from_counts(counts).scalar()
         filled = (b.withColumn("rating_filled", F.col("Store_Rating").isNull())
                    .withColumn("Store_Rating", F.coalesce(F.col("Store_Rating"), med)))
-        filled.write.mode("append").partitionBy("Date").parquet(out)
-        counts.withColumn("epoch", F.lit(epoch)).write.mode("append") \
-            .partitionBy("epoch").parquet(counts_path)
+        # Both are written under their epoch with overwrite, so a retry after a
+        # failure at any point gives the same rows and counts.
+        for frame, parts, path in ((filled, ["Date", "epoch"], out),
+                                   (counts, ["epoch"], counts_path)):
+            frame.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite") \
+                .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
     w = cleaned.writeStream.option("checkpointLocation", checkpoint).foreachBatch(load_batch)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="1 minute")
