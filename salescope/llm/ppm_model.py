@@ -1,20 +1,24 @@
 """Language-model score by prediction by partial matching over bytes.
 
-The model is a trie of byte contexts up to ORDER bytes, kept as the counts of
-the byte that follows each context.  A byte is coded in the longest context
-that is a node; an escape (method D: chance = distinct / (2 total))
-passes to the next shorter context, from whose counts the bytes already
-excluded are left out, down to a uniform choice among the bytes never
-excluded.  Texts are ASCII-lower-cased, coded after ORDER zero bytes and ended
-by a byte that UTF-8 never uses, so the scores of all texts are chances of one
-distribution.
-
-Training counts every (ORDER + 1)-gram of every training text: each task sorts
-its grams and sends one row per distinct gram, so what is gathered grows with
-the corpus.  Nodes are the ``max_nodes`` most frequent contexts, whatever the
-corpus; every shorter context of a node is a node.  The tables of the model
-are therefore bounded (at most 2 KB, usually a third of it, per node and
-worker) and travel with the scoring function as counts.
+The model holds every byte context of up to ORDER bytes met in training, with
+the counts of the byte that follows it.  A byte is coded in the longest
+context met; an escape (method D: chance = distinct / (2 total)) passes to the
+next shorter context, from whose counts the bytes already excluded are left
+out, down to a uniform choice among the bytes never excluded.  Texts are
+ASCII-lower-cased, coded after ORDER zero bytes and ended by a byte that UTF-8
+never uses, so the scores of all texts are chances of one distribution.
+
+The model is a set of staged tables that grow with the corpus: one row per
+(context, byte) of each order, and per context the total, the number of bytes
+and the total of those bytes in the next shorter context, which is what the
+exclusion takes from it (whatever follows a context also follows each of its
+endings).  No table is collected or broadcast, but those of contexts of at
+most two bytes.
+
+The chance of a byte depends on its (ORDER + 1)-gram only.  The scan deals
+texts into groups of about GROUP_BYTES and sends each distinct gram of a group
+once, with its training count; the grams are joined with their costs, return
+to their group and are summed over its texts.
 
 Base score: unigram words with add-one smoothing.  Words above 1 / HOT_SHARE of
 the training tokens (so at most HOT_SHARE) are scored by the scan; all others meet
@@ -43,6 +47,8 @@ from salescope.llm.common import ship_package, stage, text_slices, utf8
 ORDER = 5
 END = b"\xff"
 HOT_SHARE = 1 << 18
+# Texts of a group share the rows of their grams: a group ends at either size.
+GROUP_BYTES, GROUP_GRAMS = 24 << 20, 2_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -65,39 +71,87 @@ def grams(texts: list[bytes]) -> np.ndarray:
     return code[coded[ORDER:]]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of grams and of word tokens (b'' is the end token)."""
+def _distinct(texts: list[bytes], train: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of the texts and their counts in the training texts."""
+    k, n = np.unique(grams([t for t, x in zip(texts, train) if x] or [b""]), return_counts=True)
+    if not any(train):
+        k, n = k[:0], n[:0]
+    rest = [t for t, x in zip(texts, train) if not x]
+    if not rest:
+        return k, n
+    other = np.unique(grams(rest))
+    return _merged(k, n, other, np.zeros(len(other), np.int64))
+
+
+def _merged(k: np.ndarray, n: np.ndarray, k2: np.ndarray, n2: np.ndarray):
+    both, at = np.unique(np.concatenate([k, k2]), return_inverse=True)
+    return both, np.bincount(at, np.concatenate([n, n2]), len(both)).astype(np.int64)
+
+
+def _pack(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema,
+                           options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (batch, texts), (batch, gram, n) and (token, n).  ``texts`` packs a
+    slice of lower-cased texts with row, doc_id and held_out; n counts training
+    texts only; b'' is the end token."""
+    from pyspark import TaskContext
+    first = TaskContext.get().partitionId() << 32
     words: Counter = Counter()
     keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
+    group, held = 0, 0                  # texts of a group are counted in ``held`` bytes
+    types = {"batch": pa.int64(), "texts": pa.binary(), "gram": pa.int64(),
+             "token": pa.binary(), "n": pa.int64()}
+
+    def rows(count, **have):
+        return pa.RecordBatch.from_arrays(
+            [have[c] if c in have else pa.nulls(count, t) for c, t in types.items()],
+            names=list(types))
+
+    def group_rows(keys, sums):
+        for lo in range(0, len(keys), 1 << 16):
+            k = keys[lo:lo + (1 << 16)]
+            yield rows(len(k), batch=pa.array(np.full(len(k), first + group)),
+                       gram=pa.array(k), n=pa.array(sums[lo:lo + (1 << 16)]))
 
-    def flush(k, n, w):
-        at = pa.array(list(w), pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([pa.array(k), pa.nulls(len(w), pa.int64())]),
-             pa.concat_arrays([pa.nulls(len(k), pa.binary()), at]),
-             pa.concat_arrays([pa.array(n), pa.array(list(w.values()), pa.int64())])],
-            names=["gram", "token", "n"])
+    def word_rows(w):
+        return rows(len(w), token=pa.array(list(w), pa.binary()),
+                    n=pa.array(list(w.values()), pa.int64()))
 
     for big in batches:
-        for batch in text_slices(big, 0, 2 << 20):
-            texts = [t.lower() for t in utf8(batch.column(0))]
-            for t in texts:
-                words.update(t.split())
-            words[b""] += len(texts)
-            k, n = np.unique(grams(texts), return_counts=True)
-            both, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
-            sums = np.bincount(at, np.concatenate([sums, n]), len(both)).astype(np.int64)
-            keys = both
-            if len(words) > 300_000 or len(keys) > 2_000_000:   # bounded task memory
-                yield from flush(keys, sums, words)
+        for batch in text_slices(big, 3, 1 << 20):
+            texts = [t.lower() for t in utf8(batch.column(3))]
+            train = [not x for x in batch.column(2).to_pylist()]
+            for t, x in zip(texts, train):
+                if x:
+                    words.update(t.split())
+            if any(train):
+                words[b""] += sum(train)
+            keys, sums = _merged(keys, sums, *_distinct(texts, train))
+            yield rows(1, batch=pa.array([first + group]), texts=pa.array([_pack(
+                pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.binary())],
+                                           names=["row", "doc_id", "held_out", "text"]))]))
+            held += sum(map(len, texts))
+            if held >= GROUP_BYTES or len(keys) >= GROUP_GRAMS:     # bounded task memory
+                yield from group_rows(keys, sums)
+                keys, sums, group, held = keys[:0], sums[:0], group + 1, 0
+            if len(words) > 300_000:
+                yield word_rows(words)
                 words = Counter()
-                keys, sums = keys[:0], sums[:0]
-    yield from flush(keys, sums, words)
+    yield from group_rows(keys, sums)
+    if words:
+        yield word_rows(words)
 
 
 @dataclass
 class Trie:
-    """Nodes, node 0 being the empty context.  ``context`` and ``depth`` name
+    """The same model in memory, for corpora of a few contexts: the plain form
+    of ``gram_costs``.  Nodes, node 0 being the empty context.  ``context`` and ``depth`` name
     a node by its last bytes; (node, byte, n) are the counts."""
     context: np.ndarray
     depth: np.ndarray
@@ -155,82 +209,106 @@ def _coded(counts, parent, depth, mine, others: int) -> np.ndarray:
     return np.log10(np.maximum(chance, 1e-300))
 
 
-def fit_trie(counts: DataFrame, max_nodes: int = 131072) -> Trie:
-    """Trie from gram counts (gram, n).  Its nodes are the ``max_nodes`` most
-    frequent contexts of all orders, shorter ones first where counts are
-    equal: a context is at least as frequent as any longer one that it ends,
-    so the set is closed.  What is collected is bounded by the nodes."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(2, total // (8 * max_nodes))    # no rarer context can be among them
-    per = counts.select(F.explode(F.array(*[F.struct(
-        F.lit(d).alias("depth"),
-        F.shiftrightunsigned("gram", 8).bitwiseAND((1 << (8 * d)) - 1).alias("context"))
-        for d in range(ORDER + 1)])).alias("x"), F.col("gram").bitwiseAND(255).alias("byte"), "n") \
-        .groupBy("x.depth", "x.context", "byte").agg(F.sum("n").alias("n"))
-    per = stage(per, "ppm-contexts")
-    nodes = stage(per.groupBy("depth", "context").agg(F.sum("n").alias("all"))
-                  .where((F.col("all") >= least) | (F.col("depth") == 0))
-                  .orderBy(F.desc("all"), "depth", "context").limit(max_nodes), "ppm-nodes")
-    rows = per.join(F.broadcast(nodes.drop("all")), ["depth", "context"]) \
-              .toArrow().to_pandas()
-    names = rows[["depth", "context"]].drop_duplicates().sort_values(["depth", "context"])
-    names["node"] = np.arange(len(names))
-    rows = rows.merge(names, on=["depth", "context"])
-    if not len(names):
-        return Trie(*(np.zeros(k, np.int64) for k in (1, 1, 0, 0)), np.zeros(0, np.float32))
-    return Trie(names["context"].to_numpy(np.int64), names["depth"].to_numpy(np.int64),
-                rows["node"].to_numpy(np.int64), rows["byte"].to_numpy(np.int64),
-                rows["n"].to_numpy(np.float32))
+def _last(c: str, size: int):
+    """The last ``size`` bytes of a gram or context."""
+    return F.col(c).bitwiseAND((1 << (8 * size)) - 1)
+
+
+def gram_costs(counts: DataFrame) -> DataFrame:
+    """gram and cost (log10 chance) for distinct grams (gram, n), where n is
+    the training count, 0 for grams that are only to be scored."""
+    level = {ORDER: counts.where("n > 0").select(F.col("gram").alias("key"), "n")}
+    for d in range(ORDER - 1, -1, -1):  # d bytes of context and the byte
+        level[d] = stage(level[d + 1].groupBy(_last("key", d + 1).alias("key"))
+                         .agg(F.sum("n").alias("n")), f"ppm-level-{d}")
+    # total and kinds of each context; shorter: the total of its bytes one order below.
+    node = {}
+    for d in range(ORDER, -1, -1):
+        rows = level[d].withColumn("below", F.lit(0).cast("long")) if d == 0 else \
+            level[d].withColumn("up", _last("key", d)).join(
+                level[d - 1].select(F.col("key").alias("up"), F.col("n").alias("below")), "up")
+        node[d] = stage(rows.groupBy(F.shiftrightunsigned("key", 8).alias("context")).agg(
+            F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"),
+            F.sum("below").alias("shorter")), f"ppm-nodes-{d}")
+    met = counts.where("n > 0").withColumn("context", F.shiftrightunsigned("gram", 8)) \
+        .join(node[ORDER].select("context", "total"), "context") \
+        .select("gram", F.log10((2.0 * F.col("n") - 1) / (2.0 * F.col("total"))).alias("cost"))
+    zero = F.lit(0).cast("long")
+    u = counts.where("n = 0").select(
+        "gram", F.lit(0.0).alias("passed"), zero.alias("less"), zero.alias("fewer"),
+        F.lit(None).cast("double").alias("cost"))
+    for d in range(ORDER, -1, -1):
+        # Tables of at most 65,537 rows by their keys are broadcast: few keys, many rows.
+        nodes = F.broadcast(node[d]) if d <= 2 else node[d]
+        u = u.withColumn("context", F.shiftrightunsigned(_last("gram", d + 1), 8)) \
+             .join(nodes, "context", "left")
+        if d < ORDER:
+            found = F.broadcast(level[d]) if d <= 1 else level[d]
+            u = u.withColumn("key", _last("gram", d + 1)).join(found, "key", "left")
+        else:
+            u = u.withColumn("n", F.lit(None).cast("long"))
+        left = 2.0 * (F.col("total") - F.col("less"))
+        kinds = F.col("kinds") - F.col("fewer")
+        u = u.select(
+            "gram",
+            F.when(kinds > 0, F.col("passed") + F.log10(kinds / left))
+             .otherwise(F.col("passed")).alias("passed"),
+            F.coalesce("shorter", zero).alias("less"), F.coalesce("kinds", zero).alias("fewer"),
+            F.coalesce("cost", F.col("passed") + F.log10((2.0 * F.col("n") - 1) / left))
+             .alias("cost"))
+    rest = u.select("gram", F.coalesce(
+        "cost", F.col("passed") - F.log10(256.0 - F.col("fewer"))).alias("cost"))
+    return stage(met.unionByName(rest).withColumn("cost", F.col("cost").cast("float")),
+                 "ppm-costs")
 
 
 # ------------------------------------------------------------------- scoring
 
-def code_lengths(texts: list[bytes], letter: np.ndarray, child: np.ndarray,
-                 cost: np.ndarray) -> np.ndarray:
-    """log10 chance of every (lower-cased) text."""
-    pad = b"\0" * ORDER
-    parts = [pad + t + END for t in texts]
-    a = letter[np.frombuffer(b"".join(parts), np.uint8)]
-    width = int(letter.max()) + 1
-    node = np.zeros(len(a) - ORDER, np.int64)
-    deeper = np.ones(len(node), bool)
-    for k in range(1, ORDER + 1):
-        nxt = child[node * width + a[ORDER - k:len(a) - k]]
-        deeper &= nxt > 0
-        node = np.where(deeper, nxt, node)
-    value = cost[node * width + a[ORDER:]].astype(np.float64)
-    starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
-    value = np.concatenate([np.zeros(ORDER), value])
-    value[(starts[:, None] + np.arange(ORDER)).ravel()] = 0.0   # padding costs nothing
-    return np.add.reduceat(value, starts)
+class Costs:
+    """Costs of the grams of a group of texts.  Most are met by one probe of a
+    table of hash slots; those that lost their slot by binary search."""
 
+    def __init__(self, gram: np.ndarray, cost: np.ndarray):
+        order = np.argsort(gram)
+        self.gram, self.cost = gram[order], cost[order]
+        self.shift = np.uint64(64 - max(10, int(4 * len(gram)).bit_length()))
+        self.slot = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.slot[self._hash(self.gram)] = np.arange(len(gram), dtype=np.int32)
 
-_TABLES: dict[str, tuple] = {}      # of the last model, per worker process
+    def _hash(self, gram: np.ndarray) -> np.ndarray:
+        return (gram.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
 
+    def __getitem__(self, gram: np.ndarray) -> np.ndarray:
+        at = self.slot[self._hash(gram)]
+        lost = np.flatnonzero(self.gram[at] != gram)
+        at[lost] = np.searchsorted(self.gram, gram[lost])
+        return self.cost[at]
 
-def _tables(name: str, trie: Trie) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if name not in _TABLES:
-        _TABLES.clear()
-        _TABLES[name] = trie.tables()
-    return _TABLES[name]
 
+def code_lengths(texts: list[bytes], costs: Costs) -> np.ndarray:
+    """log10 chance of every (lower-cased) text."""
+    value = costs[grams(texts)].astype(np.float64)
+    return np.add.reduceat(value, np.cumsum([0] + [len(t) + 1 for t in texts[:-1]]))
 
-def score_texts(docs: DataFrame, trie: Trie, hot: dict[bytes, int]) -> DataFrame:
+
+def score_texts(rows: DataFrame, hot: dict[bytes, int], id_type: str) -> DataFrame:
     """doc_id, held_out, score, n_tokens, and the base score's parts: the sum
-    over hot words, and the rest as token and count arrays."""
-    spark = docs.sparkSession
+    over hot words, and the rest as token and count arrays.  ``rows`` are packed
+    texts and costs (gram, cost) of a batch each."""
+    spark = rows.sparkSession
     ship_package(spark)
-    model = spark.sparkContext.broadcast((f"{id(trie)}-{len(trie.n)}", trie, hot))
+    model = spark.sparkContext.broadcast(hot)
     schema = ("score double, n_tokens long, hot_log double, hot_known long, "
               "tokens array<binary>, times array<int>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, trie, hot = model.value
-        tables = _tables(name, trie)
-        known = {w: math.log10(c + 1) for w, c in hot.items()}
-        for big in batches:
-            for batch in text_slices(big, 3, 2 << 20):
-                texts = [t.lower() for t in utf8(batch.column(3))]
+    def scored(part: list[pa.RecordBatch], known: dict[bytes, float]):
+        had = [x for x in (b.filter(b.column("gram").is_valid()) for b in part) if len(x)]
+        costs = Costs(np.concatenate([b.column("gram").to_numpy() for b in had]),
+                      np.concatenate([b.column("cost").to_numpy() for b in had]))
+        for mine in part:
+            for packed in mine.column("texts").drop_null():
+                batch = pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
+                texts = batch.column(3).to_pylist()
                 logs, n_known, sizes, tokens, times = [], [], [], [], []
                 for t in texts:
                     c = Counter(t.split())
@@ -243,32 +321,56 @@ def score_texts(docs: DataFrame, trie: Trie, hot: dict[bytes, int]) -> DataFrame
                     tokens.append([w for w, _ in rest])
                     times.append([n for _, n in rest])
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:3], pa.array(code_lengths(texts, *tables)),
+                    [*batch.columns[:3], pa.array(code_lengths(texts, costs)),
                      pa.array(sizes, pa.int64()), pa.array(logs, pa.float64()),
                      pa.array(n_known, pa.int64()), pa.array(tokens, pa.list_(pa.binary())),
                      pa.array(times, pa.list_(pa.int32()))],
                     names=["row", "doc_id", "held_out", "score", "n_tokens", "hot_log",
                            "hot_known", "tokens", "times"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id",
-                       held_out(F.col("doc_id")).alias("held_out"), "text") \
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {w: math.log10(c + 1) for w, c in model.value.items()}
+        at, part = None, []
+        for big in batches:
+            name = big.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(name)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(name)]):
+                if lo == hi:
+                    continue
+                if name[lo] != at:
+                    if part:
+                        yield from scored(part, known)
+                    at, part = name[lo], []
+                part.append(big.slice(lo, hi - lo))
+        if part:
+            yield from scored(part, known)
+
+    return rows.select("batch", "texts", "gram", "cost") \
+               .repartition("batch").sortWithinPartitions("batch") \
                .mapInArrow(run, f"row long, doc_id {id_type}, held_out boolean, {schema}")
 
 
-def score_documents(docs: DataFrame, max_nodes: int = 131072) -> DataFrame:
+def score_documents(docs: DataFrame) -> DataFrame:
     ship_package(docs.sparkSession)
-    training = docs.where(~held_out(F.col("doc_id"))).select("text")
-    counts = stage(training.mapInArrow(_count, "gram long, token binary, n long")
-                   .groupBy("gram", "token").agg(F.sum("n").alias("n")), "ppm-counts")
-    trie = fit_trie(counts.where("gram IS NOT NULL").select("gram", "n"), max_nodes)
-    vocabulary = counts.where("token IS NOT NULL").select("token", F.col("n").alias("c"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    scan = stage(
+        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id",
+                    held_out(F.col("doc_id")).alias("held_out"), "text")
+        .mapInArrow(_scan, "batch long, texts binary, gram long, token binary, n long"),
+        "ppm-scan")
+    asked = scan.where("gram IS NOT NULL").select("batch", "gram", "n")
+    costs = gram_costs(stage(asked.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-counts"))
+    vocabulary = stage(scan.where("token IS NOT NULL").groupBy("token")
+                       .agg(F.sum("n").alias("c")), "ppm-words")
     total, kinds = vocabulary.agg(F.sum("c"), F.count(F.lit(1))).first()
     total = total or 0
     # At most HOT_SHARE words.
     hot = {bytes(r["token"]): r["c"] for r in
            vocabulary.where(F.col("c") * HOT_SHARE > total).collect()}
-    scored = stage(score_texts(docs, trie, hot), "ppm-scored")
+    texts = scan.where("texts IS NOT NULL").select("batch", "texts")
+    answers = asked.select("batch", "gram").join(costs, "gram")
+    scored = stage(score_texts(texts.unionByName(answers, allowMissingColumns=True), hot,
+                               id_type), "ppm-scored")
     rest = (scored.select("row", F.explode(F.arrays_zip("tokens", "times")).alias("x"))
             .select("row", F.col("x.tokens").alias("token"), F.col("x.times").alias("times"))
             .join(vocabulary.where(F.col("c") * HOT_SHARE <= total), "token")
