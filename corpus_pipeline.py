@@ -7,9 +7,11 @@ leaves out documents, the last stage returns every row's shard and slot.
 Stages are written as Parquet and read again, so a lost executor costs at most
 the running stage.
 
-Cases: those of the operators; rows that share a doc_id are one document for
-the near-duplicate stage; a null doc_id is never dropped there; an empty table
-passes through all stages.
+Cases: those of the operators; the near-duplicate stage decides per row, so
+rows that share a doc_id but not a text are documents of their own, null doc_ids
+come last in the choice of the row that stays, and of rows equal in all columns
+one stays; rows without words are linked with nothing there and all stay; an
+empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -33,10 +35,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every group stays."""
-    gone = stage(near_duplicates(docs, SHINGLE, PERCENT)
-                 .where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(bounded_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One row of every group stays: that with the smallest doc_id, then the
+    smallest row key.  Rows meet their decision by a key of all columns, so no
+    row number has to be the same in two scans."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    filled = [x for c in columns for x in (c.isNull(), c)]     # hashes skip nulls
+    keys = {"key_a": F.xxhash64(F.lit(1), *filled), "key_b": F.xxhash64(F.lit(2), *filled)}
+    rows = near_duplicates(docs.select(F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id",
+        *[v.alias(k) for k, v in keys.items()]).alias("doc_id"), "text"), SHINGLE, PERCENT)
+    other = " OR ".join(f"doc_id.{k} <> component_id.{k}" for k in keys)
+    decided = stage(rows.where("n_shingles > 0")
+                    .groupBy(*[F.col(f"doc_id.{k}").alias(k) for k in keys])
+                    .agg(F.max(F.expr(other)).alias("gone"), F.count(F.lit(1)).alias("times"))
+                    .where("gone OR times > 1").select(*keys, "gone"), "copies")
+    keyed = docs.select(F.struct(*columns).alias("_row"),
+                        *[v.alias(k) for k, v in keys.items()])
+    known = keyed.join(bounded_broadcast(decided), list(keys), "left")
+    once = known.where("gone IS NULL").select("_row.*")
+    # Repeated rows that stay: equal rows collapse before they are dealt out.
+    again = known.where("NOT gone").groupBy(*keys).agg(F.first("_row").alias("_row"))
+    return once.unionByName(again.select("_row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
