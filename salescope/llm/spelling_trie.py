@@ -43,6 +43,7 @@ def vocabulary(docs: DataFrame, damage: int = 97, least_length: int = 5,
     """word, n: lower-cased runs, one in ``damage`` of them without one letter."""
     runs = docs.select("doc_id", F.explode(
         F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("run")) \
+        .where(F.char_length("run") >= least_length) \
         .select("doc_id", ascii_lower(F.col("run")).alias("run"))
     code = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")))
     size = F.char_length("run")
@@ -142,7 +143,10 @@ def neighbours(words: DataFrame) -> DataFrame:
     for level, (edges, at) in enumerate(trie_levels(words)):
         if above is not None:
             new = _branches(above, edges)
-            states = stage(new if states is None else new.unionByName(_followed(states, edges)),
+            if states is not None:
+                new = new.unionByName(_followed(states, edges))
+            # Only states that end here or can go on.
+            states = stage(new.where("(ends AND pos = m) OR (many AND pos < m)"),
                            f"trie-states-{level}")
             found.append(states.where("ends AND pos = m").select("w", F.col("child").alias("o")))
         # A word that ends at the node, and those with one more character.
