@@ -62,17 +62,30 @@ def source_targets(meta: DataFrame, weights: list[float], share: float,
     return src.withColumn("target", target), budget
 
 
+def numbered(rows: DataFrame, chunk: int = 4096) -> DataFrame:
+    """rows + ``_copy``: equal rows numbered from 0, so that one repeated row
+    is hashed apart like others, the same in every run.  Equal rows collapse
+    before the shuffle and are dealt out again chunk by chunk."""
+    per = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_rows"))
+    parts = per.withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (_rows - 1) div {chunk})")))
+    return parts.withColumn("_copy", F.explode(F.expr(
+        f"sequence(_chunk * {chunk}, least(_rows, (_chunk + 1) * {chunk}) - 1)"))) \
+        .drop("_rows", "_chunk")
+
+
 def fair_queue(docs: DataFrame, size: Column, weights: list[float] = WEIGHTS, share: float = 1.5,
                max_repeat: int = 2, seed: int = 17, rows_per_bucket: int = 2048,
                keep: list[Column] | None = None) -> DataFrame:
     """One row per document: ``keep`` columns, size, source_size, target and
     ``copies`` (how often the mix takes it)."""
     keep = keep if keep is not None else [F.col("doc_id")]
-    meta = stage(docs.select(
+    rows = docs.select(
         *keep, F.col("source").alias("_source"), size.cast("long").alias("_size"),
-        F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"))
-        .withColumnsRenamed({"_source": "source", "_size": "size"}), "mix-meta")
-    names = [c for c in meta.columns if c not in ("source", "size", "_h")]
+        F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h")) \
+        .withColumnsRenamed({"_source": "source", "_size": "size"})
+    names = [c for c in rows.columns if c not in ("source", "size", "_h")]
+    meta = stage(numbered(rows).withColumn("_h", F.xxhash64("_h", "_copy")).drop("_copy"),
+                 "mix-meta")
     src, budget = source_targets(meta, weights, share, max_repeat)
     buckets = max(256, -(-meta.count() // rows_per_bucket))
     meta = meta.withColumn("_b", F.pmod("_h", F.lit(buckets)).cast("int"))
@@ -152,7 +165,7 @@ def mixed_corpus(docs: DataFrame) -> DataFrame:
     key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     mixed = fair_queue(docs, F.size(words(F.col("text"))), keep=[F.col("doc_id"), key.alias("_k")])
     # Equal rows are interchangeable: one of them stands for the copies of all.
-    copies = mixed.where("copies > 0").groupBy("doc_id", "_k").agg(
+    copies = mixed.where("copies > 0 AND size > 0").groupBy("doc_id", "_k").agg(
         F.sum("copies").cast("int").alias("_copies"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
                        F.col("doc_id").alias("_id"), key.alias("_key")) \

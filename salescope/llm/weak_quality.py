@@ -230,13 +230,13 @@ def score_quality(docs: DataFrame, rules: list[Rule] = RULES, threshold: float =
 
 
 def keep_quality(docs: DataFrame, rules: list[Rule] = RULES, threshold: float = 0.5) -> DataFrame:
-    """The documents (all their columns) that pass.  Two passes over the
-    texts, no join: the verdict is a row expression."""
+    """The documents (all their columns) that pass.  They are staged once with
+    their votes, so that features are computed a single time and the verdict is
+    a row expression."""
     names = [f"_v{i}" for i in range(len(rules))]
-    votes = with_votes(docs.select("text"), rules=rules).select(*names)
-    model = fit_label_model(votes, names)
     mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
                        F.col("text").alias("_text"))
-    scored = with_votes(mine, "_text", rules)
-    p = model.posterior([F.col(n) for n in names])
-    return scored.where(~base_failed(F.col("_f")) & (p >= threshold)).select("_row.*")
+    scored = stage(with_votes(mine, "_text", rules).select(
+        "_row", base_failed(F.col("_f")).alias("_failed"), *names), "quality-votes")
+    p = fit_label_model(scored, names).posterior([F.col(n) for n in names])
+    return scored.where(~F.col("_failed") & (p >= threshold)).select("_row.*")

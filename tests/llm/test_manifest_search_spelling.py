@@ -218,3 +218,29 @@ def test_spelling_variants(spark):
     chain = spark.createDataFrame([(1, "grand " * 90 + "grands " * 30 + "grandsy " * 10)], "doc_id long, text string")
     out = {r["word"]: r for r in spelling_variants(chain).collect()}
     assert out["grandsy"]["form"] == "grands" and out["grandsy"]["root"] == "grand"
+
+
+# ------------------------------------------- one row repeated, all rows equal
+
+def test_repeated_row_is_split(spark):
+    from salescope.llm.fair_mix import mix_documents, mixed_corpus
+    from salescope.llm.kd_shards import shard_documents
+    rows = [(i, f"text number {i} " * 9, "en", f"s{i % 3}", 1) for i in range(600)]
+    rows += [(5, "the same row " * 9, "en", "s1", 1)] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, "
+                                     "n_chars long").repartition(3)
+    total = Counter()
+    for r in shard_documents(df).collect():
+        total[r["shard"]] += r["size"]
+    assert len(total) == 24 and max(total.values()) < 1.3 * sum(total.values()) / 24
+    mixed = mix_documents(df).collect()
+    assert sorted(map(tuple, mixed)) == sorted(map(tuple, mix_documents(df.repartition(7)).collect()))
+    assert len(mixed) == len(rows)
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in mixed)
+    out = mixed_corpus(df.unionByName(df.limit(1).selectExpr(
+        "doc_id", "cast(null AS string) text", "lang", "source", "n_chars"))).collect()
+    assert None not in {r["text"] for r in out}
+    same = spark.createDataFrame([rows[-1]] * 50, df.schema)
+    shards = shard_documents(same, n_shards=4).collect()
+    assert len(shards) == 50 and len({(r["shard"], r["slot"]) for r in shards}) == 50
+    assert sum(r["taken"] for r in mix_documents(same).collect()) == pytest.approx(1.5 * 50 * 27, abs=27)
