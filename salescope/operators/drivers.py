@@ -9,17 +9,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salescope.functions.text import feature_display_name, money
-from salescope.operators.features import EncodedColumn, bools_to_int, one_hot_drop_first
+from salescope.operators.features import bools_to_int, one_hot_drop_first
 from salescope.operators.filters import FilterSpec, enriched
-from salescope.operators.shap import TreeExplainer, index_lookup
-from salescope.operators.trees import TreeModel, fit_trees
+from salescope.operators.leafwise import Coding, LeafwiseModel, collapse, fit_coding, fit_leafwise
+from salescope.operators.path_shap import PathExplainer
 from salescope.session import materialize
 from salescope.sources.star import Star
 
 DRIVER_COLUMNS = ["discount_percentage", "customer_type", "payment_mode",
                   "promotion_applied", "holiday_flag", "revenue", "store_rating", "category"]
 CATEGORICAL = ["customer_type", "payment_mode", "category"]
-TARGET = "revenue"
+TARGET, ID = "revenue", "transaction_id"
 TOP_N = 10
 
 # Sentence templates and thresholds of the explanation text.
@@ -34,9 +34,9 @@ SUMMARY_TEMPLATE = ("Analysis identified %d factors that boost revenue and %d fa
 SUMMARY_EMPTY = "Insufficient data for classification."
 
 
-def driver_rows(star: Star, spec: FilterSpec) -> DataFrame:
+def driver_rows(star: Star, spec: FilterSpec, with_id: bool = False) -> DataFrame:
     """The analysed columns of every filtered transaction (target as double)."""
-    f = enriched(star, spec, DRIVER_COLUMNS)
+    f = enriched(star, spec, [*([ID] if with_id else []), *DRIVER_COLUMNS])
     return f.withColumn(TARGET, F.col(TARGET).cast("double"))
 
 
@@ -48,65 +48,69 @@ def driver_matrix(rows: DataFrame):
     return enc, [m for m in meta if m.name != TARGET]
 
 
+def driver_coding(rows: DataFrame) -> tuple[Coding, DataFrame]:
+    """How the driver columns are coded, and the rows with numbers as doubles."""
+    numeric = [c for c in DRIVER_COLUMNS if c not in CATEGORICAL and c != TARGET]
+    plain = rows.withColumns({c: F.col(c).cast("int").cast("double")
+                              if rows.schema[c].dataType.typeName() == "boolean"
+                              else F.col(c).cast("double") for c in numeric})
+    return fit_coding(plain, numeric, CATEGORICAL), plain
+
+
 @dataclass
 class DriverModel:
+    """``matrix``: every row with its codes, in the order of transaction_id;
+    ``vectors``: distinct codes with the number of rows and sum of the target."""
     matrix: DataFrame
-    meta: list[EncodedColumn]
-    trees: TreeModel
-    explainer: TreeExplainer
+    vectors: DataFrame
+    model: LeafwiseModel
+    explainer: PathExplainer
 
     @property
-    def features(self) -> list[str]:
-        return [m.name for m in self.meta]
+    def coding(self) -> Coding:
+        return self.model.coding
 
     def feature_frame(self) -> DataFrame:
-        spark = self.matrix.sparkSession
-        return spark.createDataFrame(
-            [(i, m.name, m.source, m.level) for i, m in enumerate(self.meta)],
-            "feature_index long, feature string, source string, level string")
-
-
-def fit_drivers(star: Star, spec: FilterSpec, rounds: int = 30, step_size: float = 0.1,
-                max_depth: int = 5, seed: int = 42) -> DriverModel:
-    rows = driver_rows(star, spec)
-    matrix, meta = driver_matrix(rows)
-    # Training makes one pass per tree level per round and SHAP one more:
-    # write the matrix once as Parquet in the shared checkpoint folder, which
-    # also cuts the join lineage (a lost executor re-reads, it does not re-join).
-    # Boosting and SHAP parallelise over partitions: if the join left fewer
-    # partitions than task slots, rebalance first (never triggers on a large
-    # input, which already has more partitions than slots).
-    slots = matrix.sparkSession.sparkContext.defaultParallelism
-    if matrix.rdd.getNumPartitions() < slots:
-        matrix = matrix.repartition(slots)
-    matrix = materialize(matrix, "driver-matrix")
-    if matrix.isEmpty():
-        raise ValueError("no data for the selected filters")
-    features = [m.name for m in meta]
-    tm = fit_trees(matrix, features, TARGET, rounds=rounds, step_size=step_size,
-                   max_depth=max_depth, seed=seed)
-    return DriverModel(matrix, meta, tm, TreeExplainer(tm))
+        return self.coding.features().select("feature_index", "feature", "source", "level")
 
+    def lookup(self, ids: list[int]) -> DataFrame:
+        """The rows of given transactions.  The matrix is sorted by id, so the
+        row-group statistics leave one group per id to be read."""
+        return self.matrix.where(F.col(ID).isin([int(i) for i in ids]))
+
+
+def fit_drivers(star: Star, spec: FilterSpec, rounds: int = 500, step_size: float = 0.05,
+                max_leaves: int = 31, max_depth: int | None = None, seed: int = 42,
+                min_rows: int = 20, feature_fraction: float = 0.8) -> DriverModel:
+    """Leaf-wise boosted trees on every filtered row; ``max_depth`` d allows at
+    most 2^d leaves.  Rows are read once and written with their codes."""
+    rows = materialize(driver_rows(star, spec, with_id=True), "driver-rows")
+    if rows.isEmpty():
+        raise ValueError("no data for the selected filters")
+    coding, plain = driver_coding(rows)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    matrix = materialize(coding.encode(plain).repartitionByRange(n, ID)
+                         .sortWithinPartitions(ID), "driver-matrix")
+    vectors = materialize(collapse(matrix, coding.codes, TARGET), "driver-vectors")
+    leaves = max_leaves if max_depth is None else min(max_leaves, 2 ** max_depth)
+    model = fit_leafwise(coding, vectors, rounds, step_size, leaves, min_rows, feature_fraction, seed)
+    return DriverModel(matrix, vectors, model, PathExplainer(model))
 
-def hash_sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """A repeatable sample of n rows: the n smallest hashes of (row, seed).
 
-    Planned as a top-k (each task keeps n candidates), so it needs no global
-    sort and gives the same rows on every run and partitioning."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns], F.lit(seed))
-    return df.withColumn("_h", h).orderBy("_h").limit(n).drop("_h")
+def sample_by_id(df: DataFrame, n: int, seed: int = 42, id_col: str = ID) -> DataFrame:
+    """A repeatable sample of n rows: those with the smallest digests of (id,
+    seed), so that rows with equal contents are chosen apart.  Planned as a
+    top-k: each task keeps n candidates, and their merge is the sample."""
+    digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
+    return df.withColumn("_h", digest).orderBy("_h", *df.columns).limit(n).drop("_h")
 
 
 def shap_stats(dm: DriverModel, sample_rows: int | None = None, seed: int = 42) -> DataFrame:
     """feature_index, feature, source, level, mean_shap, mean_abs_shap over all
     rows (default) or over a repeatable sample of ``sample_rows`` rows."""
-    rows = dm.matrix if not sample_rows else hash_sample(dm.matrix, sample_rows, seed)
-    st = dm.explainer.feature_stats(rows)
-    idx = F.col("feature_index")
-    return st.select("feature_index", "feature",
-                     index_lookup([m.source for m in dm.meta], idx).alias("source"),
-                     index_lookup([m.level for m in dm.meta], idx).alias("level"),
-                     "mean_shap", "mean_abs_shap")
+    vectors = dm.vectors if not sample_rows else collapse(
+        sample_by_id(dm.matrix, sample_rows, seed), dm.coding.codes, TARGET)
+    return dm.explainer.feature_stats(vectors)
 
 
 def rank_and_share(df: DataFrame, value: str, name: str, top: int | None = TOP_N) -> DataFrame:
@@ -133,9 +137,9 @@ def global_importance(dm: DriverModel, top: int = TOP_N) -> DataFrame:
 def explain_entries(dm: DriverModel, sample_rows: int | None = None) -> DataFrame:
     """One row per feature: rounded signed / absolute mean SHAP, share of the
     average order value, booster or reducer, and the sentence."""
-    avg_rev = dm.matrix.agg(F.avg(TARGET)).scalar()
+    avg_rev = F.lit(dm.model.base)      # the mean of the target
     s = shap_stats(dm, sample_rows)
-    pct = F.when(F.coalesce(avg_rev, F.lit(0.0)) != 0,
+    pct = F.when(avg_rev != 0,
                  F.round(F.col("mean_abs_shap") / avg_rev * 100, 1)).otherwise(F.lit(0.0))
     s = s.withColumn("pct_of_avg_revenue", pct)
     strength = (F.when(F.col("pct_of_avg_revenue") > STRONG_PCT, "strongly")
@@ -176,9 +180,10 @@ def sorted_entries(entries: DataFrame) -> DataFrame:
     return entries.orderBy(F.asc("side"), F.desc("abs_importance"), F.asc("feature_index"))
 
 
-def local_explanation(dm: DriverModel, rows: DataFrame, id_col: str) -> DataFrame:
-    """Per-row contributions (id, feature, shap_value) with a ``__base__`` row."""
-    return dm.explainer.shap_long(rows, id_col)
+def local_explanation(dm: DriverModel, ids: list[int]) -> DataFrame:
+    """Contributions of given transactions (transaction_id, feature,
+    shap_value) with a ``__base__`` row each."""
+    return dm.explainer.long(dm.lookup(ids), ID)
 
 
 def analyze_drivers(star: Star, spec: FilterSpec = FilterSpec(), **fit_args) -> dict:

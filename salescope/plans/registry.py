@@ -281,14 +281,9 @@ LEVELS = {
     "payment_mode": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"],
     "category": ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"],
 }
-_DRIVER_CACHE: dict = {}
-
-
-def _driver_model(spark, sf_dir, days=365):
-    key = (spark.sparkContext.applicationId, sf_dir, days)
-    if key not in _DRIVER_CACHE:
-        _DRIVER_CACHE[key] = drv.fit_drivers(star_from_tpch(spark, sf_dir), FilterSpec(days=days))
-    return _DRIVER_CACHE[key]
+def _driver_model(spark, sf_dir):
+    """The model on every row: 500 rounds at 0.05 with 31 leaves."""
+    return drv.fit_drivers(star_from_tpch(spark, sf_dir), FilterSpec())
 
 
 def title_sql(expr: str) -> str:
@@ -364,8 +359,7 @@ def driver_importance(spark, sf_dir):
 
 @register("split_importance")
 def split_importance(spark, sf_dir):
-    from salescope.operators.trees import split_importance as si
-    return si(_driver_model(spark, sf_dir).trees)
+    return _driver_model(spark, sf_dir).model.importance("split")
 
 
 @register("explain_entries")
@@ -381,7 +375,169 @@ def explain_summary(spark, sf_dir):
 @register("shap_values")
 def shap_values(spark, sf_dir):
     dm = _driver_model(spark, sf_dir)
-    return dm.explainer.shap_wide(dm.matrix)
+    return dm.explainer.row_values(dm.matrix, drv.ID)
+
+
+# Parts of the driver model that SQL can state: bins, level ids, the first
+# split, the two leaves of a first tree, what holds for all predictions.
+NUMERIC_SQL = {"discount_percentage": "CAST(t.discount_percentage AS DOUBLE)",
+               "promotion_applied": "CAST(CAST(t.promotion_applied AS INTEGER) AS DOUBLE)",
+               "holiday_flag": "CAST(CAST(t.holiday_flag AS INTEGER) AS DOUBLE)",
+               "store_rating": "CAST(s.store_rating AS DOUBLE)"}
+LEVEL_SQL = {"customer_type": "t.customer_type", "payment_mode": "t.payment_mode",
+             "category": "p.category"}
+BINS_SQL = f"""
+vals AS ({" UNION ALL ".join(f"SELECT {i} AS col, {e} AS v {JOINED}" for i, e in enumerate(NUMERIC_SQL.values()))}),
+cnt AS (SELECT col, v, count(*) AS n FROM vals WHERE v IS NOT NULL GROUP BY 1, 2),
+run AS (SELECT *, sum(n) OVER (PARTITION BY col ORDER BY v) - n AS before,
+               sum(n) OVER (PARTITION BY col) AS total, count(*) OVER (PARTITION BY col) AS vs FROM cnt),
+slots AS (SELECT col, max(v) AS upper, sum(n)::BIGINT AS n FROM run
+          GROUP BY col, CASE WHEN vs <= 255 THEN v ELSE floor(before * 255 / total) END),
+bins AS (SELECT col, row_number() OVER (PARTITION BY col ORDER BY upper)::INTEGER AS bin, upper, n FROM slots)"""
+
+
+def _coded(spark, sf_dir):
+    rows = drv.driver_rows(star_from_tpch(spark, sf_dir), FilterSpec())
+    coding, plain = drv.driver_coding(rows)
+    return coding, plain
+
+
+@register("feature_bins", BINS_SQL + "\nSELECT col AS \"column\", bin, upper, n FROM bins")
+def feature_bins(spark, sf_dir):
+    from salescope.operators.leafwise import bin_edges
+    _, plain = _coded(spark, sf_dir)
+    return bin_edges(plain, list(NUMERIC_SQL))
+
+
+# A column as wide as the part table, next to one of six levels.
+@register("level_ids", f"""
+pairs AS (SELECT 0 AS col, p.category AS level {JOINED} UNION
+          SELECT 1, CAST(t.product_id AS VARCHAR) {JOINED})
+SELECT col AS "column", level, (row_number() OVER (ORDER BY col, level) - 1)::INTEGER AS id,
+       row_number() OVER (PARTITION BY col ORDER BY level) = 1 AS first FROM pairs""")
+def level_ids(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from salescope.operators.filters import enriched
+    from salescope.operators.leafwise import level_dictionary
+    f = enriched(star_from_tpch(spark, sf_dir), FilterSpec(), ["category", "product_id"])
+    return level_dictionary(f.withColumn("product_id", F.col("product_id").cast("string")),
+                            ["category", "product_id"])
+
+
+def root_sql() -> str:
+    """Best split of the root per column, by the gain in squared error."""
+    number = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, b.bin AS code, b.upper::VARCHAR AS cut, g.n AS nl, g.g AS gl "
+        f"FROM bins b, LATERAL (SELECT count(*) AS n, sum(y - m) AS g FROM src, base "
+        f"WHERE {c} <= b.upper) g WHERE b.col = {i}" for i, c in enumerate(NUMERIC_SQL))
+    level = " UNION ALL ".join(
+        f"SELECT '{c}', row_number() OVER (ORDER BY {c}), {c}, (SELECT n FROM base) - count(*), -sum(y - m) "
+        f"FROM src, base GROUP BY {c}" for c in LEVEL_SQL)
+    cols = ", ".join(f"{e} AS {c}" for c, e in (NUMERIC_SQL | LEVEL_SQL).items())
+    return BINS_SQL + f""",
+src AS MATERIALIZED (SELECT CAST(t.revenue AS DOUBLE) AS y, {cols} {JOINED}),
+base AS MATERIALIZED (SELECT avg(y) AS m, count(*) AS n, sum((y - (SELECT avg(y) FROM src)) ** 2) AS ss FROM src),
+cand AS ({number} UNION ALL {level}),
+firsts AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, min({c}) AS cut FROM src" for c in LEVEL_SQL)}),
+scored AS (SELECT c.feature, c.code, c.cut, c.nl, c.gl, c.gl * c.gl / c.nl + c.gl * c.gl / (b.n - c.nl) AS gain
+           FROM cand c, base b WHERE c.nl >= 20 AND b.n - c.nl >= 20
+           AND NOT EXISTS (SELECT 1 FROM firsts f WHERE f.feature = c.feature AND f.cut = c.cut)),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, code) = 1)"""
+
+
+@register("root_split_gains", root_sql() + """
+SELECT feature, cut AS split_at, nl::BIGINT AS n_left, round(gain / ss * 1e6, 3) AS gain_per_million
+FROM best, base""")
+def root_split_gains(spark, sf_dir):
+    """First split of every column: the distributed histogram pass."""
+    from pyspark.sql import functions as F
+
+    from salescope.operators import leafwise as lw
+    from salescope.session import materialize
+    coding, plain = _coded(spark, sf_dir)
+    vectors = materialize(lw.collapse(coding.encode(plain), coding.codes, drv.TARGET), "vectors")
+    n, y = vectors.agg(F.sum("n"), F.sum("y")).first()
+    state = vectors.withColumn("pred", F.lit(y / n))
+    tree = lw.Tree()
+    tree.add(0.0, 0.0)
+    k = len(coding.numeric)
+    best = lw.best_splits(lw._histograms(state, tree, [0], len(coding.codes), k), k, coding.firsts,
+                          lw.MIN_ROWS, 0, 1.0, 0, 4).where("gain >= 0")
+    ss = plain.agg(F.sum(F.pow(F.col(drv.TARGET) - F.lit(y / n), 2))).first()[0]
+    names = F.array(*map(F.lit, coding.numeric + coding.strings))
+    uppers = spark.createDataFrame([(i, b + 1, str(u)) for i, up in enumerate(coding.uppers)
+                                    for b, u in enumerate(up)], "column int, code int, at string")
+    levels = coding.levels.select((F.col("column") + k).alias("column"), F.col("id").alias("code"),
+                                  F.col("level").alias("at"))
+    return best.join(uppers.unionByName(levels), ["column", "code"]).select(
+        F.get(names, F.col("column")).alias("feature"), F.col("at").alias("split_at"),
+        F.col("nl").cast("long").alias("n_left"),
+        F.round(F.col("gain") / F.lit(ss) * 1e6, 3).alias("gain_per_million"))
+
+
+@register("first_tree_leaves", root_sql() + """,
+top AS (SELECT * FROM best ORDER BY gain DESC LIMIT 1)
+SELECT leaf, n::BIGINT AS n_rows, round(v, 6) AS leaf_value, round(m + v, 4) AS prediction FROM (
+  SELECT 'left' AS leaf, nl AS n, 0.05 * gl / nl AS v, m FROM top, base
+  UNION ALL SELECT 'right', n - nl, 0.05 * -gl / (n - nl), m FROM top, base)""")
+def first_tree_leaves(spark, sf_dir):
+    """One round of two leaves on every row: fitted, applied and counted."""
+    from pyspark.sql import functions as F
+
+    from salescope.operators import leafwise as lw
+    from salescope.session import materialize
+    coding, plain = _coded(spark, sf_dir)
+    coded = materialize(coding.encode(plain), "coded")
+    vectors = materialize(lw.collapse(coded, coding.codes, drv.TARGET), "vectors")
+    m = lw.fit_leafwise(coding, vectors, rounds=1, leaves=2, fraction=1.0)
+    leaf = m.node_frame().where("left < 0").select(
+        F.when(F.col("node") == 1, "left").otherwise("right").alias("leaf"), "value")
+    return m.predict(coded.select(*coding.codes)).groupBy("prediction").agg(
+        F.count(F.lit(1)).alias("n_rows")) \
+        .join(leaf, F.abs(F.col("prediction") - m.base - F.col("value")) < 1e-9) \
+        .select("leaf", "n_rows", F.round("value", 6).alias("leaf_value"),
+                F.round("prediction", 4).alias("prediction"))
+
+
+@register("prediction_checks", f"""
+SELECT count(*) AS n_rows, round(avg(CAST(t.revenue AS DOUBLE)), 3) AS mean_prediction,
+       0::BIGINT AS not_additive, true AS better_than_mean {JOINED}""")
+def prediction_checks(spark, sf_dir):
+    """Over every row: mean prediction (that of the target), rows whose SHAP
+    values and base do not add up to their prediction, and whether the squared
+    error is below that of the mean."""
+    from pyspark.sql import functions as F
+    dm = _driver_model(spark, sf_dir)
+    rows = dm.explainer.row_values(dm.matrix, drv.ID, [drv.TARGET])
+    off = F.abs(F.aggregate("values", F.col("base_value"), lambda s, x: s + x) - F.col("prediction"))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("prediction"), 3).alias("mean_prediction"),
+                    F.count_if(off > 1e-6 * F.abs("prediction") + 1e-6).alias("not_additive"),
+                    (F.avg(F.pow(F.col("prediction") - F.col(drv.TARGET), 2))
+                     < F.var_pop(drv.TARGET)).alias("better_than_mean"))
+
+
+@register("driver_sample", f"""
+r AS (SELECT t.transaction_id, CAST(t.revenue AS DOUBLE) AS revenue, p.category {JOINED})
+SELECT * FROM r ORDER BY md5(transaction_id::VARCHAR || ':42'), transaction_id LIMIT 2000""")
+def driver_sample(spark, sf_dir):
+    rows = drv.driver_rows(star_from_tpch(spark, sf_dir), FilterSpec(), with_id=True)
+    return drv.sample_by_id(rows.select(drv.ID, drv.TARGET, "category"), 2000)
+
+
+@register("explain_transactions", f"""
+SELECT t.transaction_id, CAST(t.revenue AS DOUBLE) AS revenue, p.category, true AS additive
+{JOINED} WHERE t.transaction_id IN (SELECT min(transaction_id) FROM transactions
+                                    UNION SELECT max(transaction_id) FROM transactions)""")
+def explain_transactions(spark, sf_dir):
+    """Two given transactions looked up by id and explained."""
+    from pyspark.sql import functions as F
+    dm = _driver_model(spark, sf_dir)
+    ids = list(dm.matrix.agg(F.min(drv.ID), F.max(drv.ID)).first())
+    rows = dm.explainer.row_values(dm.lookup(ids), drv.ID, [drv.TARGET, "category"])
+    total = F.aggregate("values", F.col("base_value"), lambda s, x: s + x)
+    return rows.select(drv.ID, drv.TARGET, "category",
+                       (F.abs(total - F.col("prediction")) < 1e-6).alias("additive"))
 
 
 # ---------------------------------------------------------------- forecast
@@ -648,17 +804,13 @@ def load_report(spark, sf_dir):
 
 @register("local_explanation")
 def local_explanation(spark, sf_dir):
-    from pyspark.sql import functions as F
     dm = _driver_model(spark, sf_dir)
-    # The matrix is checkpointed, so these row ids are stable across runs.
-    rows = dm.matrix.withColumn("row_id", F.monotonically_increasing_id())
-    return drv.local_explanation(dm, rows, "row_id")
+    return dm.explainer.long(dm.matrix, drv.ID)
 
 
 @register("gain_importance")
 def gain_importance(spark, sf_dir):
-    from salescope.operators.trees import gain_importance as gi
-    return gi(_driver_model(spark, sf_dir).trees)
+    return _driver_model(spark, sf_dir).model.importance("gain")
 
 
 @register("explain_entries_sampled")
@@ -724,6 +876,14 @@ def driver_feature_rows(spark, sf_dir):
     return drv.driver_rows(star_from_tpch(spark, sf_dir), FilterSpec(days=365))
 
 
+@register("driver_feature_rows_all", f"""
+SELECT t.discount_percentage, t.customer_type, t.payment_mode, t.promotion_applied,
+       t.holiday_flag, CAST(t.revenue AS DOUBLE) AS revenue, s.store_rating, p.category
+{JOINED}""")
+def driver_feature_rows_all(spark, sf_dir):
+    return drv.driver_rows(star_from_tpch(spark, sf_dir), FilterSpec())
+
+
 @register("clean_strings", DIRTY_SQL.strip() + "\n" + f"""
 SELECT _row, "Date", {', '.join(f"{_std(c)} AS {c}" if c in TEXT else c for c in DATA_COLS[1:])}
 FROM dirty""")
