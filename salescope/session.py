@@ -99,14 +99,14 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def materialize(df, name: str):
-    """Write ``df`` as a Parquet table under the shared checkpoint folder and
-    return a scan of it.
+def materialize(df, name: str, by: list[str] = ()):
+    """Write ``df`` as a Parquet table under the shared checkpoint folder (in
+    folders of the columns ``by``) and return a scan of it.
 
     This cuts the lineage like ``checkpoint()`` (a lost executor re-reads the
     files instead of recomputing joins), but the copy is columnar and
     compressed, and each later read prunes columns and pushes filters.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
