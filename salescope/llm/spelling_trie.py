@@ -35,15 +35,16 @@ from pyspark.sql import functions as F
 
 from salescope.llm.common import ascii_lower, let, stage
 
-RUN = "[A-Za-zÀ-ÿ]+"
+LETTER = "[A-Za-zÀ-ÿ]"
 
 
 def vocabulary(docs: DataFrame, damage: int = 97, least_length: int = 5,
                least_count: int = 3) -> DataFrame:
-    """word, n: lower-cased runs, one in ``damage`` of them without one letter."""
+    """word, n: lower-cased runs, one in ``damage`` of them without one letter.
+    Shorter runs give no word, so they are not extracted."""
     runs = docs.select("doc_id", F.explode(
-        F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("run")) \
-        .where(F.char_length("run") >= least_length) \
+        F.regexp_extract_all("text", F.lit(f"{LETTER}{{{least_length},}}"), F.lit(0)))
+        .alias("run")) \
         .select("doc_id", ascii_lower(F.col("run")).alias("run"))
     code = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")))
     size = F.char_length("run")
@@ -123,7 +124,7 @@ def _branches(at: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _followed(states: DataFrame, edges: DataFrame) -> DataFrame:
     """States with one edit along the edge that agrees with the word."""
-    on = states.where("many AND pos < m").select(
+    on = states.where("NOT hit").select(
         "w", "m", F.col("child").alias("parent"), "pos", _part("w", F.col("pos"), F.lit(1)).alias("c"))
     size = F.char_length("label")
     return on.join(edges, ["parent", "c"]) \
@@ -145,10 +146,11 @@ def neighbours(words: DataFrame) -> DataFrame:
             new = _branches(above, edges)
             if states is not None:
                 new = new.unionByName(_followed(states, edges))
-            # Only states that end here or can go on.
-            states = stage(new.where("(ends AND pos = m) OR (many AND pos < m)"),
-                           f"trie-states-{level}")
-            found.append(states.where("ends AND pos = m").select("w", F.col("child").alias("o")))
+            # Only states that end here (a hit) or can go on, in folders of their own.
+            states = stage(new.where("(ends AND pos = m) OR (many AND pos < m)").select(
+                "w", "m", "child", "pos", (F.col("pos") == F.col("m")).alias("hit")),
+                f"trie-states-{level}", ["hit"])
+            found.append(states.where("hit").select("w", F.col("child").alias("o")))
         # A word that ends at the node, and those with one more character.
         found.append(at.where("ends AND m = depth + 1 AND depth >= least")
                      .select("w", F.col("node").alias("o")))
