@@ -5,17 +5,19 @@ drops, zero discount fill, flag parsing) need no global state, so they run
 unchanged on a file stream.  The two rules that need earlier data run per
 micro-batch in ``foreachBatch`` with bounded state:
 
-* exact de-duplication: the output is partitioned by ``Date`` (and epoch) and
+* exact de-duplication: the output is partitioned by ``Date`` (then load and epoch) and
   exact copies share their date, so each batch is anti-joined only with the
   partitions of the dates it contains (a semi-join on the batch's dates
   lets the scan prune the rest);
 * median fill of missing ratings: a (rating, count) table — one row per
-  distinct rating, whatever the volume — is versioned per epoch next to the
+  distinct rating and epoch — is kept next to the
   output; the median of everything loaded so far comes from it.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,17 @@ def clean_rows_stream(raw: DataFrame) -> DataFrame:
     return out.withColumn(ZERO_FILL, F.coalesce(F.col(ZERO_FILL), F.lit(0.0)))
 
 
+def load_id(spark: SparkSession, checkpoint: str) -> str:
+    """The query's id, which Spark keeps in the checkpoint: the same over
+    restarts, another one with a new checkpoint (whose epochs start at 0)."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+
+
+def write_epoch(frame: DataFrame, parts: list[str], path: str) -> None:
+    frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy(*parts).parquet(path)
+
+
 def start_clean_load(spark: SparkSession, folder: str, columns: list[str], out: str,
                      checkpoint: str, trigger_once: bool = True):
     """Clean new files as they arrive and append distinct rows to ``out``.
@@ -59,22 +72,22 @@ def start_clean_load(spark: SparkSession, folder: str, columns: list[str], out:
     counts_path = out.rstrip("/") + "_rating_counts"
 
     def load_batch(batch: DataFrame, epoch: int):
+        load = load_id(spark, checkpoint)
+        keys = [T.StructField("load", T.StringType()), T.StructField("epoch", T.LongType())]
         out_schema = T.StructType(list(batch.schema.fields)
-                                  + [T.StructField("rating_filled", T.BooleanType()),
-                                     T.StructField("epoch", T.LongType())])
-        # Only earlier epochs count as loaded: what a failed attempt of this
-        # epoch left behind is overwritten below.
+                                  + [T.StructField("rating_filled", T.BooleanType()), *keys])
+        # All other loads and this load's earlier epochs count as loaded; what
+        # a failed attempt of this epoch left behind is overwritten below.
+        loaded = (F.col("load") != load) | (F.col("epoch") < epoch)
         try:
             # Explicit schema: the Date partition values stay the raw text
             # they are (no partition type inference).
-            done = spark.read.schema(out_schema).parquet(out) \
-                .filter(F.col("epoch") < epoch).drop("epoch")
+            done = spark.read.schema(out_schema).parquet(out).filter(loaded).drop("load", "epoch")
         except AnalysisException:
             done = None
         try:
-            hist = spark.read.schema("v double, n long, epoch long").parquet(counts_path) \
-                .filter(F.col("epoch") < epoch)
-            hist = hist.filter(F.col("epoch") == hist.agg(F.max("epoch")).scalar()).select("v", "n")
+            hist = spark.read.schema("v double, n long, load string, epoch long") \
+                .parquet(counts_path).filter(loaded).select("v", "n")
         except AnalysisException:
             hist = None
         # Exact duplicates are judged on the values as they arrived (a loaded
@@ -91,18 +104,19 @@ def start_clean_load(spark: SparkSession, folder: str, columns: list[str], out:
         b = b.checkpoint(eager=True)  # feeds the counts and the output
         new = (b.filter(F.col("Store_Rating").isNotNull())
                 .groupBy(F.col("Store_Rating").alias("v")).agg(F.count(F.lit(1)).alias("n")))
+        new = new.checkpoint(eager=True)  # bounded: one row per distinct rating
         counts = new if hist is None else new.unionByName(hist).groupBy("v").agg(
             F.sum("n").alias("n"))
-        counts = counts.checkpoint(eager=True)  # bounded: one row per distinct rating
         med = median_from_counts(counts).scalar()
         filled = (b.withColumn("rating_filled", F.col("Store_Rating").isNull())
                    .withColumn("Store_Rating", F.coalesce(F.col("Store_Rating"), med)))
-        # Both are written under their epoch with overwrite, so a retry after a
-        # failure at any point gives the same rows and counts.
-        for frame, parts, path in ((filled, ["Date", "epoch"], out),
-                                   (counts, ["epoch"], counts_path)):
-            frame.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite") \
-                .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+        # An epoch's rows and counts are written under its load and number
+        # with overwrite: a retry after a failure at any point gives the same
+        # rows and counts, and no other load's rows are touched.
+        for frame, parts, path in ((filled, ["Date", "load", "epoch"], out),
+                                   (new, ["load", "epoch"], counts_path)):
+            write_epoch(frame.withColumns({"load": F.lit(load),
+                                           "epoch": F.lit(epoch).cast("long")}), parts, path)
 
     w = cleaned.writeStream.option("checkpointLocation", checkpoint).foreachBatch(load_batch)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="1 minute")

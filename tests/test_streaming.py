@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from salescope.streaming.clean_stream import start_clean_load
 from tests.test_clean import HEADER, ROWS
 
@@ -22,3 +24,44 @@ def test_stream_load_is_incremental_and_exactly_once(spark, tmp_path):
     assert spark.read.parquet(out).count() == first + 1
     assert os.path.isdir(out + "_rating_counts")
     assert os.path.isdir(ck)
+
+
+def test_new_checkpoint_keeps_loaded_rows(spark, tmp_path):
+    """A second load with its own checkpoint starts at epoch 0 again."""
+    out = str(tmp_path / "out")
+    for name, rows in (("a", ROWS[:4]), ("b", ROWS[2:])):
+        src = tmp_path / name
+        src.mkdir()
+        (src / "x.csv").write_text("\n".join([HEADER] + rows) + "\n")
+        start_clean_load(spark, str(src), HEADER.split(","), out,
+                         str(tmp_path / f"ck-{name}")).awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.count() == 4         # as if both files had one checkpoint
+    assert got.select("load").distinct().count() == 2
+    assert got.filter("rating_filled").count() == 1
+
+
+def test_failure_between_the_two_writes(spark, tmp_path, monkeypatch):
+    from pyspark.errors import StreamingQueryException
+
+    from salescope.streaming import clean_stream
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.csv").write_text("\n".join([HEADER] + ROWS[:4]) + "\n")
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    write, calls = clean_stream.write_epoch, []
+
+    def failing(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise OSError("lost between rows and counts")
+        write(*args)
+
+    monkeypatch.setattr(clean_stream, "write_epoch", failing)
+    with pytest.raises(StreamingQueryException):
+        start_clean_load(spark, str(src), HEADER.split(","), out, ck).awaitTermination()
+    assert spark.read.parquet(out).count() == 3 and not os.path.isdir(out + "_rating_counts")
+    start_clean_load(spark, str(src), HEADER.split(","), out, ck).awaitTermination()
+    assert spark.read.parquet(out).count() == 3
+    assert [r.Store_Rating for r in spark.read.parquet(out).filter("rating_filled").collect()] == [3.5]
+    assert spark.read.parquet(out + "_rating_counts").agg({"n": "sum"}).first()[0] == 2
