@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from salescope.operators.features import assemble, min_max_bounds, min_max_scale
 from salescope.operators.filters import FilterSpec, enriched
+from salescope.operators.fused_kmeans import fused_kmeans
 from salescope.session import checkpoint_dir
 from salescope.sources.star import Star
 
@@ -113,8 +114,8 @@ def default_estimator(k: int, seed: int, max_iter: int):
 
 def segment_stores(star: Star, n_clusters: int = 4, days: int = 0,
                    category: str | None = None, n_init: int = 10, seed: int = 42,
-                   max_iter: int = 300, make_estimator=default_estimator) -> SegmentResult:
-    """Fit k-means ``n_init`` times (seeds seed..seed+n_init-1, k-means||
+                   max_iter: int = 300, make_estimator=None) -> SegmentResult:
+    """Fit k-means ``n_init`` times (all restarts share each pass, k-means||
     initialisation), keep the lowest cost, then rename clusters so that id 0
     has the highest centroid revenue before labelling.
 
@@ -134,16 +135,21 @@ def segment_stores(star: Star, n_clusters: int = 4, days: int = 0,
         raise ValueError("no data for segmentation")
     if n_clusters > n:
         raise ValueError(f"n_clusters={n_clusters} exceeds {n} stores")
-    def fit(i):
-        m = make_estimator(n_clusters, seed + i, max_iter).fit(scaled)
-        return m.summary.trainingCost, i, m
-
-    # Restarts are independent Spark jobs: submit them together so the
-    # scheduler overlaps them instead of running n_init chains back to back.
-    with ThreadPoolExecutor(max_workers=max(1, min(n_init, 16))) as pool:
-        fits = list(pool.map(fit, range(n_init)))
-    cost, _, model = min(fits, key=lambda r: (r[0], r[1]))
-    centres = [list(map(float, c)) for c in model.clusterCenters()]
+    if make_estimator is None:
+        best = min(fused_kmeans(scaled, SCALED, "store_id", n_clusters, n_init, seed, max_iter),
+                   key=lambda f: f.inertia)
+        cost, centres = best.inertia, best.centres.tolist()
+    else:
+        def fit(i):
+            m = make_estimator(n_clusters, seed + i, max_iter).fit(scaled)
+            return m.summary.trainingCost, i, m
+
+        # Restarts are independent Spark jobs: submit them together so the
+        # scheduler overlaps them instead of running n_init chains back to back.
+        with ThreadPoolExecutor(max_workers=max(1, min(n_init, 16))) as pool:
+            fits = list(pool.map(fit, range(n_init)))
+        cost, _, model = min(fits, key=lambda r: (r[0], r[1]))
+        centres = [list(map(float, c)) for c in model.clusterCenters()]
     # Rank ids by centroid avg_revenue (descending), ties by old id.
     order = sorted(range(len(centres)), key=lambda i: (-centres[i][0], i))
     ranked = [centres[old] for old in order]

@@ -264,6 +264,54 @@ def segment_summary(spark, sf_dir):
     return seg.segment_stores(star_from_tpch(spark, sf_dir), n_clusters=4, days=365).summary
 
 
+@register("segment_summary_all")
+def segment_summary_all(spark, sf_dir):
+    return seg.segment_stores(star_from_tpch(spark, sf_dir), n_clusters=4).summary
+
+
+@register("store_metrics_scaled_all", scaled_sql())
+def store_metrics_scaled_all(spark, sf_dir):
+    m = seg.store_metrics(star_from_tpch(spark, sf_dir), FilterSpec())
+    return min_max_scale(m, seg.FEATURES)
+
+
+def lloyd_sql() -> str:
+    dist = " + ".join(f"(x.{f}_scaled - c.{f}_c) ** 2" for f in seg.FEATURES)
+    base = scaled_sql()
+    head, tail = base.rsplit("SELECT m.*", 1)
+    moved = ", ".join(f"round(avg({f}_scaled), 6) AS {f}" for f in seg.FEATURES)
+    return f"""{head}, x AS (SELECT m.*{tail}),
+{centres_sql()},
+d AS (SELECT x.*, c.cluster_id, {dist} AS d FROM x, c),
+a AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY store_id ORDER BY d, cluster_id) = 1)
+SELECT cluster_id, count(*) AS n_stores, round(sum(d), 6) AS inertia, {moved} FROM a GROUP BY cluster_id"""
+
+
+@register("lloyd_step", lloyd_sql())
+def lloyd_step(spark, sf_dir):
+    """One pass from fixed centres: sizes, inertia and moved centres."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from salescope.operators.fused_kmeans import step_sums
+    from salescope.session import ship_package
+    ship_package(spark)
+    m = min_max_scale(seg.store_metrics(star_from_tpch(spark, sf_dir), FilterSpec()), seg.FEATURES)
+    sums = step_sums(m, seg.SCALED, {0: np.array(CENTRES)})
+    return sums.select(
+        F.col("cluster").alias("cluster_id"), F.col("n").cast("long").alias("n_stores"),
+        F.round("cost", 6).alias("inertia"),
+        *[F.round(F.col(f"s{i}") / F.col("n"), 6).alias(f) for i, f in enumerate(seg.FEATURES)])
+
+
+@register("segment_inertia")
+def segment_inertia(spark, sf_dir):
+    """Inertia of the best of ten restarts for two to eight segments."""
+    star = star_from_tpch(spark, sf_dir)
+    rows = [(k, seg.segment_stores(star, n_clusters=k).inertia) for k in (2, 4, 8)]
+    return spark.createDataFrame(rows, "n_clusters int, inertia double")
+
+
 @register("cluster_centers")
 def cluster_centers(spark, sf_dir):
     return seg.segment_stores(star_from_tpch(spark, sf_dir), n_clusters=3,
