@@ -472,7 +472,9 @@ class Arrays:
         low = codes.min(axis=0)
         width = codes.max(axis=0) - low + 1
         start = np.concatenate([[0], np.cumsum(width)])
-        self.flat, self.size = codes - low + start[:-1], int(start[-1])
+        self.size = int(start[-1])
+        self.flat = [np.ascontiguousarray(codes[:, i] - low[i] + start[i])
+                     for i in range(codes.shape[1])]
         self.column = np.repeat(np.arange(codes.shape[1]), width)
         self.code = np.concatenate([np.arange(w) + b for w, b in zip(width, low)])
         self.codes, self.n, self.y = codes, n, y
@@ -485,10 +487,28 @@ class Arrays:
         self.open = _is_open(self.seed, number, self.column, names, self.fraction)
         self.rows, self.hist, self.next = {}, {}, {}
 
+    def _low(self, rows: np.ndarray, column: int, code: int) -> np.ndarray:
+        x = self.codes[rows, column]
+        return x <= code if column < self.n_numeric else x != code
+
+    def values(self, tree: Tree) -> np.ndarray:
+        """The tree's value for every vector, from the rows kept per leaf."""
+        out = np.empty(len(self.n))
+        for i, rows in self.rows.items():
+            if tree.left[i] < 0:
+                out[rows] = tree.value[i]
+            else:       # the last split, whose children were not counted
+                low = self._low(rows, tree.column[i], tree.code[i])
+                out[rows] = np.where(low, tree.value[tree.left[i]], tree.value[tree.right[i]])
+        return out
+
     def _sums(self, rows: np.ndarray) -> np.ndarray:
-        flat, f = self.flat[rows].ravel(), self.flat.shape[1]
-        return np.stack([np.bincount(flat, np.repeat(x[rows], f), self.size)
-                         for x in (self.g, self.n)])
+        g, n, out = self.g[rows], self.n[rows], np.zeros((2, self.size))
+        for column in self.flat:
+            at = column[rows]
+            out[0] += np.bincount(at, g, self.size)
+            out[1] += np.bincount(at, n, self.size)
+        return out
 
     def _best(self, rows: np.ndarray, hist: np.ndarray) -> dict:
         out = {"gain": None, "g": float(self.g[rows].sum()), "n": float(self.n[rows].sum())}
@@ -509,8 +529,7 @@ class Arrays:
         out = {}
         for j in parents:
             k, rows = known[j], self.rows.pop(j)
-            x = self.codes[rows, k["column"]]
-            low = x <= k["code"] if k["column"] < self.n_numeric else x != k["code"]
+            low = self._low(rows, k["column"], k["code"])
             pair = rows[low], rows[~low]
             small = 0 if len(pair[0]) <= len(pair[1]) else 1
             sums = self._sums(pair[small])
@@ -532,7 +551,7 @@ def _fit_in_task(codes: np.ndarray, n: np.ndarray, y: np.ndarray, base: float, r
         tree = _grow(engine, leaves, step)
         if tree is not None:
             trees.append(tree)
-            pred = pred + np.array(tree.value)[tree.walk(codes, n_numeric)]
+            pred = pred + engine.values(tree)
     return trees
 
 
