@@ -5,7 +5,8 @@ Each stage gets all documents that its predecessor kept and its decisions take
 effect: rejected, repeated and contaminated documents go, the mix repeats or
 leaves out documents, the last stage returns every row's shard and slot.
 Stages are written as Parquet and read again, so a lost executor costs at most
-the running stage.
+the running stage; a stage deletes what the one before it had staged, so write
+a stage's rows before the next stage is called.
 
 Cases: those of the operators; the near-duplicate stage decides per row, so
 rows that share a doc_id but not a text are documents of their own, null doc_ids
@@ -16,6 +17,8 @@ empty table passes through all stages.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,15 +28,36 @@ from salescope.llm.fair_mix import mixed_corpus
 from salescope.llm.kd_shards import shard_documents
 from salescope.llm.shingle_join import near_duplicates
 from salescope.llm.weak_quality import keep_quality
+from salescope.session import delete_tables, recorded_tables
 
 # Near-duplicates: five-word shingles, similarity of 0.8 or more.
 SHINGLE, PERCENT = 5, 80
 
 
+# Tables that the stage before has staged, by application.
+_BEFORE: dict[str, list[str]] = {}
+
+
+def step(stage_fn):
+    """A stage that first deletes what the stage before had staged (its output
+    is written when the next one starts) and records what it stages itself."""
+    @wraps(stage_fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        delete_tables(spark, _BEFORE.pop(app, []))
+        with recorded_tables() as paths:
+            out = stage_fn(spark, docs, sf_dir)
+        _BEFORE[app] = paths
+        return out
+    return run_stage
+
+
+@step
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_quality(docs)
 
 
+@step
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group stays: that with the smallest doc_id, then the
     smallest row key.  Rows meet their decision by a key of all columns, so no
@@ -58,14 +82,17 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return once.unionByName(again.select("_row.*"))
 
 
+@step
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@step
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_corpus(docs)
 
 
+@step
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shard_documents(docs).select(
         "doc_id", "size", "text_crc32", F.col("shard"), F.col("slot"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -99,6 +100,28 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+_RECORDED: list[list[str]] = []
+
+
+@contextmanager
+def recorded_tables():
+    """The paths of the tables that ``materialize`` writes inside the block."""
+    paths: list[str] = []
+    _RECORDED.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDED.remove(paths)
+
+
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes staged tables, by the file system that holds them."""
+    conf = spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def materialize(df, name: str, by: list[str] = ()):
     """Write ``df`` as a Parquet table under the shared checkpoint folder (in
     folders of the columns ``by``) and return a scan of it.
@@ -108,5 +131,7 @@ def materialize(df, name: str, by: list[str] = ()):
     compressed, and each later read prunes columns and pushes filters.
     """
     path = scratch_path(df.sparkSession, name)
+    for paths in _RECORDED:
+        paths.append(path)
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
