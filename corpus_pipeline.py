@@ -5,8 +5,8 @@ Each stage gets all documents that its predecessor kept and its decisions take
 effect: rejected, repeated and contaminated documents go, the mix repeats or
 leaves out documents, the last stage returns every row's shard and slot.
 Stages are written as Parquet and read again, so a lost executor costs at most
-the running stage; a stage deletes what the one before it had staged, so write
-a stage's rows before the next stage is called.
+the running stage.  A stage deletes what the one before it had staged, unless
+the given rows still read it.
 
 Cases: those of the operators; the near-duplicate stage decides per row, so
 rows that share a doc_id but not a text are documents of their own, null doc_ids
@@ -17,6 +17,7 @@ empty table passes through all stages.
 
 from __future__ import annotations
 
+import os
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,10 +45,15 @@ def step(stage_fn):
     @wraps(stage_fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         app = spark.sparkContext.applicationId
-        delete_tables(spark, _BEFORE.pop(app, []))
+        before = _BEFORE.pop(app, [])
+        files = docs.inputFiles() if before else []
+        # What the given rows still read stays (a caller that has not written them).
+        used = [p for p in before if any(f"/{os.path.basename(p)}/" in f for f in files)]
+        if not used:
+            delete_tables(spark, before)
         with recorded_tables() as paths:
             out = stage_fn(spark, docs, sf_dir)
-        _BEFORE[app] = paths
+        _BEFORE[app] = paths + (before if used else [])
         return out
     return run_stage
 
