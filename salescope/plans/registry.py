@@ -646,8 +646,10 @@ def forecast_seasonal_features(spark, sf_dir):
     return daily.select("ds", *fcst.seasonal_features(F.col("ds"), digits=6))
 
 
-def _forecast(spark, sf_dir, **kw):
-    return fcst.revenue_forecast(star_from_tpch(spark, sf_dir), **kw)
+def _forecast(spark, sf_dir, stage=False, **kw):
+    """Each query reads one frame, so only the chart (two reads of the
+    predictions) stages them."""
+    return fcst.revenue_forecast(star_from_tpch(spark, sf_dir), stage=stage, **kw)
 
 
 @register("forecast_revenue")
@@ -677,7 +679,165 @@ def forecast_predictions_tail(spark, sf_dir):
 
 @register("forecast_chart_series")
 def forecast_chart_series(spark, sf_dir):
-    return _forecast(spark, sf_dir, steps=30, store=STORE)["chart"]
+    return _forecast(spark, sf_dir, steps=30, store=STORE, stage=True)["chart"]
+
+
+# Named holidays by date: one that moves from year to year, one with days
+# after it, one with days on both sides that crosses the end of the year.
+HOLIDAY_SQL = f"""
+daily AS ({daily_sql(["category"])}),
+span AS (SELECT min(year(ds)) AS lo, max(year(ds)) + 1 AS hi FROM daily),
+years AS (SELECT CAST(unnest(range(lo, hi + 1)) AS BIGINT) AS y FROM span),
+hol AS (
+  SELECT 'spring_sunday' AS holiday, CAST(make_date(y, 3, 31) - CAST(dayofweek(make_date(y, 3, 31)) AS INTEGER) AS DATE) AS ds,
+         0 AS lower_window, 0 AS upper_window FROM years
+  UNION ALL
+  SELECT 'harvest', CAST(make_date(y, 11, 22) + CAST((11 - dayofweek(make_date(y, 11, 22))) % 7 AS INTEGER) AS DATE),
+         0, 1 FROM years
+  UNION ALL SELECT 'year_end', make_date(y, 12, 31), -2, 1 FROM years),
+hol_days AS (
+  SELECT CAST(ds + CAST(sh AS INTEGER) AS DATE) AS ds,
+         CASE WHEN sh = 0 THEN holiday WHEN sh > 0 THEN holiday || '+' || sh
+              ELSE holiday || sh END AS effect
+  FROM (SELECT *, unnest(range(lower_window, upper_window + 1)) AS sh FROM hol))"""
+
+
+def named_holidays(daily: DataFrame) -> DataFrame:
+    from pyspark.sql import functions as F
+    y = F.col("y")
+    years = daily.agg(F.min(F.year("ds")).alias("lo"), (F.max(F.year("ds")) + 1).alias("hi")) \
+                 .select(F.explode(F.sequence("lo", "hi")).alias("y"))
+    entries = [("spring_sunday", fcst.nth_weekday(y, 3, 1, -1), 0, 0),
+               ("harvest", fcst.nth_weekday(y, 11, 5, 4), 0, 1),
+               ("year_end", F.make_date(y, F.lit(12), F.lit(31)), -2, 1)]
+    return years.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("holiday"), d.alias("ds"), F.lit(a).alias("lower_window"),
+                 F.lit(b).alias("upper_window")) for n, d, a, b in entries])))
+
+
+def _category_daily(spark, sf_dir):
+    """Daily revenue per category, written once for its several readers."""
+    from salescope.session import materialize
+    return materialize(fcst.daily_series(star_from_tpch(spark, sf_dir), FilterSpec(),
+                                         ["category"]), "daily")
+
+
+@register("forecast_holiday_frame", HOLIDAY_SQL.lstrip() + f""",
+last AS (SELECT category, max(ds) AS last_ds FROM daily GROUP BY 1),
+frame AS (
+  SELECT category, ds, CAST(holiday_flag AS DOUBLE) AS holiday_flag, false AS is_forecast FROM daily
+  UNION ALL
+  SELECT category, CAST(last_ds + CAST(i AS INTEGER) AS DATE), 0.0, true FROM last, range(1, 401) r(i)),
+eff AS (SELECT ds, string_agg(effect, ',' ORDER BY effect) AS effects FROM hol_days GROUP BY 1)
+SELECT category AS series, frame.ds, holiday_flag, is_forecast, coalesce(effects, '') AS effects
+FROM frame LEFT JOIN eff ON frame.ds = eff.ds""")
+def forecast_holiday_frame(spark, sf_dir):
+    """History and 400 future days per category with the named effects of each day."""
+    from pyspark.sql import functions as F
+    daily = _category_daily(spark, sf_dir)
+    rows = fcst.model_input(daily, ["category"], 400, holidays=named_holidays(daily))
+    return rows.select("series", "ds", "holiday_flag", "is_forecast",
+                       F.array_join("effects", ",").alias("effects"))
+
+
+@register("forecast_holiday_days", HOLIDAY_SQL.lstrip() + f""",
+last AS (SELECT category, max(ds) AS last_ds FROM daily GROUP BY 1),
+known AS (SELECT DISTINCT category, effect FROM daily JOIN hol_days USING (ds)),
+flagged AS (SELECT category, ds FROM daily WHERE holiday_flag
+  UNION
+  SELECT l.category, h.ds FROM last l JOIN known k ON l.category = k.category
+  JOIN hol_days h ON h.effect = k.effect AND h.ds > l.last_ds AND h.ds <= l.last_ds + 400
+  UNION
+  SELECT d.category, d.ds FROM daily d JOIN hol_days USING (ds))
+SELECT category AS series, ds FROM flagged""")
+def forecast_holiday_days(spark, sf_dir):
+    """The days on which a fitted forecast has a holiday component: those of
+    the flag and of the named holidays that the history holds, no others."""
+    daily = _category_daily(spark, sf_dir)
+    pred = fcst.forecast(daily, ["category"], 400, holidays=named_holidays(daily))
+    return pred.where("holidays <> 0").select("series", "ds")
+
+
+# Coefficients of a saved forecaster (scaled units).
+SAVED = {"changepoints": [0.25, 0.5], "base": [0.5, 0.2], "steps": [-0.3, 0.1],
+         "yearly": [(0.01 / k, -0.02 / k) for k in range(1, fcst.YEARLY_ORDER + 1)],
+         "weekly": [(0.03 / k, 0.01 / k) for k in range(1, fcst.WEEKLY_ORDER + 1)],
+         "flag": 0.05, "sigma2": 0.01}
+
+
+def saved_coefficients(daily: DataFrame) -> DataFrame:
+    """A coefficient table with known coefficients, scaled by each category's history."""
+    from pyspark.sql import functions as F
+    beta = [*SAVED["base"], *SAVED["steps"], *[v for ab in SAVED["yearly"] for v in ab],
+            *[v for ab in SAVED["weekly"] for v in ab], SAVED["flag"]]
+    day = F.datediff("ds", F.lit("1970-01-01").cast("date"))
+
+    def array(values):
+        return F.array(*[F.lit(float(v)) for v in values])
+
+    return daily.groupBy(F.col("category").alias("series")).agg(
+        F.min(day).cast("double").alias("d0"),
+        F.greatest(F.max(day) - F.min(day), F.lit(1)).cast("double").alias("span"),
+        F.max(F.abs("y")).alias("scale")).select(
+        "*", array(SAVED["changepoints"]).alias("changepoints"), array(beta).alias("beta"),
+        F.lit(SAVED["sigma2"]).alias("sigma2"),
+        F.array_repeat(F.lit(0.0), len(beta) ** 2).alias("a_inv"),
+        array([0.0]).alias("reg_mu"), array([1.0]).alias("reg_sd"),
+        F.array().cast("array<string>").alias("effects"))
+
+
+def saved_sql() -> str:
+    def wave(pairs, period):
+        def arg(k):
+            return f"{2.0 * math.pi * k!r} * day / {float(period)!r}"
+        return " + ".join(f"{a!r} * sin({arg(k)}) + {b!r} * cos({arg(k)})"
+                          for k, (a, b) in enumerate(pairs, 1))
+    hinges = " + ".join(f"{d!r} * greatest(t - {c!r}, 0.0)"
+                        for d, c in zip(SAVED["steps"], SAVED["changepoints"]))
+    comps = ("trend", "weekly", "yearly", "holidays")
+    return f"""
+daily AS ({daily_sql(["category"])}),
+par AS (SELECT category, min(ds) AS d0, max(ds) AS last_ds, max(abs(y)) AS scale,
+               CAST(greatest(max(ds) - min(ds), 1) AS DOUBLE) AS span FROM daily GROUP BY 1),
+frame AS (
+  SELECT category, ds, CAST(holiday_flag AS DOUBLE) AS flag, false AS ahead FROM daily
+  UNION ALL
+  SELECT category, CAST(last_ds + CAST(i AS INTEGER) AS DATE), 0.0, true FROM par, range(1, 91) r(i)),
+x AS (SELECT f.*, scale, CAST(ds - d0 AS DOUBLE) / span AS t,
+             CAST(ds - DATE '1970-01-01' AS DOUBLE) AS day
+      FROM frame f JOIN par USING (category)),
+c AS (SELECT category, ds, ahead, scale,
+        ({SAVED["base"][0]!r} + {SAVED["base"][1]!r} * t + {hinges}) * scale AS trend,
+        ({wave(SAVED["weekly"], fcst.WEEKLY_PERIOD)}) * scale AS weekly,
+        ({wave(SAVED["yearly"], fcst.YEARLY_PERIOD)}) * scale AS yearly,
+        {SAVED["flag"]!r} * flag * scale AS holidays FROM x)
+SELECT category AS series, ds, round({" + ".join(comps)}, 1) + 0.0 AS yhat,
+       {", ".join(f"round({n}, 1) + 0.0 AS {n}" for n in comps)},
+       CASE WHEN NOT ahead THEN round({2 * fcst.Z_80 * math.sqrt(SAVED["sigma2"])!r} * scale, 1) END AS width,
+       true AS inside
+FROM c"""
+
+
+@register("forecast_from_saved", saved_sql())
+def forecast_from_saved(spark, sf_dir):
+    """Predictions from a coefficient table for the history and 90 days after
+    it: components, width of the band over the history, and whether the band
+    contains the prediction and widens after the history."""
+    from pyspark.sql import functions as F
+    daily = _category_daily(spark, sf_dir)
+    dates = fcst.model_input(daily, ["category"], 90)
+    last = daily.groupBy(F.col("category").alias("series")).agg(
+        F.max("ds").alias("last_ds"), F.max(F.abs("y")).alias("scale"))
+    pred = fcst.predict_with_coefficients(saved_coefficients(daily), dates).join(last, "series")
+    width = F.col("yhat_upper") - F.col("yhat_lower")
+    known = F.lit(2 * fcst.Z_80 * math.sqrt(SAVED["sigma2"])) * F.col("scale")
+    ahead = F.col("ds") > F.col("last_ds")
+    names = ("yhat", "trend", "weekly", "yearly", "holidays")
+    return pred.select(
+        "series", "ds", *[(F.round(n, 1) + 0.0).alias(n) for n in names],
+        F.when(~ahead, F.round(width, 1)).alias("width"),
+        (F.col("yhat").between(F.col("yhat_lower"), F.col("yhat_upper"))
+         & (~ahead | (width > 0.99 * known))).alias("inside"))
 
 
 # ---------------------------------------------------------------- ETL
