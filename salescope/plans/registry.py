@@ -1010,6 +1010,31 @@ def load_report(spark, sf_dir):
     return sb.load_report(_etl(spark, sf_dir)[1])
 
 
+@register("load_repeated", etl_sql("""
+SELECT s.store_location, count(*) AS transactions, count(DISTINCT f.product_id) AS products,
+       CAST(sum(CAST(f.revenue AS DECIMAL(17,4))) AS DOUBLE) AS revenue
+FROM facts f JOIN dim_s s ON f.store_id = s.store_id GROUP BY 1"""))
+def load_repeated(spark, sf_dir):
+    """The dirty rows as two folders of CSV files, loaded one after the other
+    and then both again: the repeated load adds nothing."""
+    from pyspark.sql import functions as F
+
+    from salescope.session import scratch_path
+    from salescope.sources.loads import load_files, read_loaded_star
+    raw = dirty_sales(spark, sf_dir)
+    halves = [scratch_path(spark, f"raw-{i}") for i in (0, 1)]
+    for i, path in enumerate(halves):
+        raw.where(F.col("_row") % 2 == i).drop("_row").write.csv(
+            path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    root = scratch_path(spark, "loaded-star")
+    for paths in ([halves[0]], [halves[1]], halves):
+        load_files(spark, paths, root)
+    star = read_loaded_star(spark, root)
+    return star.transactions.join(star.stores, "store_id").groupBy("store_location").agg(
+        F.count(F.lit(1)).alias("transactions"), F.count_distinct("product_id").alias("products"),
+        F.sum("revenue").cast("double").alias("revenue"))
+
+
 @register("local_explanation")
 def local_explanation(spark, sf_dir):
     dm = _driver_model(spark, sf_dir)

@@ -3,7 +3,9 @@
 The CSV is read with every column as text, pandas-style missing-value tokens
 become nulls, and values are then cast to a declared superset schema with
 ``try_cast`` (a bad number is a null, not a failed job).  ``_row`` keeps the
-file order, which "first row wins" rules depend on.
+order of the records, which "first row wins" rules depend on: by file (path),
+start of the file's block, and place in the block.  Spark packs blocks of
+several files into tasks by size, so task order alone is not file order.
 """
 
 from __future__ import annotations
@@ -28,11 +30,18 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "nan", "null")
 
 
-def read_sales_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Scan raw sales CSV files (header row) into typed columns plus ``_row``."""
+def read_sales_csv(spark: SparkSession, path: str | list[str],
+                   multi_line: bool = False) -> DataFrame:
+    """Scan raw sales CSV files (header row) into typed columns plus ``_row``,
+    a struct that sorts as the records do.  With ``multi_line`` a quoted value
+    may hold line breaks; files are then read whole, one task each."""
     raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("mode", "PERMISSIVE").csv(path))
-    raw = raw.withColumn("_row", F.monotonically_increasing_id())
+           .option("mode", "PERMISSIVE").option("multiLine", multi_line).option("escape", '"')
+           .csv(path))
+    raw = raw.withColumn("_row", F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place")))
     cols = []
     for c in raw.columns:
         if c == "_row":

@@ -30,7 +30,7 @@ def write_star(star: Star, path: str, mode: str = "overwrite",
     """
     star.stores.write.mode(mode).parquet(os.path.join(path, "stores"))
     star.products.write.mode(mode).parquet(os.path.join(path, "products"))
-    write_facts(star.transactions, path, mode, partitions)
+    write_facts(star.transactions, os.path.join(path, "transactions"), mode, partitions)
 
 
 def write_facts(tx: DataFrame, path: str, mode: str, partitions: int | None = None) -> None:
@@ -39,7 +39,16 @@ def write_facts(tx: DataFrame, path: str, mode: str, partitions: int | None = No
         tx = tx.withColumn("sale_date", F.to_date("ts"))
     (tx.repartitionByRange(n, "sale_date", "transaction_id")
        .write.mode(mode).option("partitionOverwriteMode", "dynamic")
-       .partitionBy("sale_date").parquet(os.path.join(path, "transactions")))
+       .partitionBy("sale_date").parquet(path))
+
+
+def new_members(found: DataFrame, have: DataFrame, name: str, key: str) -> DataFrame:
+    """The rows of a dimension that ``have`` lacks by natural key, with ids
+    above its present maximum."""
+    same = [found[c].eqNullSafe(have[c]) for c in STAR_KEYS[name]]
+    last = have.agg(F.max(key)).first()[0] or 0
+    new = found.join(have, same, "left_anti").withColumn(key, F.col(key) + last)
+    return new.select(*have.columns)
 
 
 def append_star(clean: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
@@ -57,10 +66,7 @@ def append_star(clean: DataFrame, path: str, partitions: int | None = None) -> D
     for name, key, have, found in (
             ("stores", "store_id", old.stores, build_stores(clean)),
             ("products", "product_id", old.products, build_products(clean))):
-        same = [found[c].eqNullSafe(have[c]) for c in STAR_KEYS[name]]
-        last = have.agg(F.max(key)).first()[0] or 0
-        new = found.join(have, same, "left_anti").withColumn(key, F.col(key) + last)
-        new.select(*have.columns).write.mode("append").parquet(os.path.join(path, name))
+        new_members(found, have, name, key).write.mode("append").parquet(os.path.join(path, name))
     now = read_star(spark, path)
     loaded = build_facts(clean, now.stores, now.products)
     last = old.transactions.agg(F.max("transaction_id")).first()[0]
@@ -68,7 +74,7 @@ def append_star(clean: DataFrame, path: str, partitions: int | None = None) -> D
     facts = materialize(loaded.star.transactions, "append-facts")
     if last is not None:
         facts = facts.withColumn("transaction_id", F.col("transaction_id") + (last + 1))
-    write_facts(facts, path, "append", partitions)
+    write_facts(facts, os.path.join(path, "transactions"), "append", partitions)
     return loaded.rejected
 
 
