@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,51 +116,51 @@ def clean_sales(raw: DataFrame, materialize: bool = True) -> CleanResult:
     """Run the cleaning steps; ``rows`` keeps ``_row`` as the first position
     at which each distinct cleaned row appeared.
 
-    With ``materialize`` the standardised, flagged input is written once as a
-    Parquet staging table in the shared checkpoint folder: the rows, the
-    median and the report are all derived from it (each reading only the
-    columns it needs) instead of re-reading and re-standardising the raw
-    input, and a lost executor re-reads rather than recomputes.
+    With ``materialize`` the standardised, flagged input and the cleaned rows
+    are each written once as Parquet staging tables in the shared checkpoint
+    folder, and the report's counts are metrics observed while they are
+    written, so nothing is scanned for the report.  Without it all is lazy and
+    the report runs its own aggregates.
     """
     std = standardize_strings(raw)
     flagged = std.withColumn("_crit", critical_missing(std)).withColumn(
         "_anom", ~F.col("_crit") & anomalous(std))
+    fine = ~F.col("_crit") & ~F.col("_anom")
+
+    def filled(c):
+        return F.count_if(fine & F.col(c).isNull()) if c in raw.columns \
+            else F.count_if(F.lit(False))
+
+    counts = [F.count(F.lit(1)).alias("n_in"), F.count_if("_crit").alias("n_crit"),
+              F.count_if("_anom").alias("n_anom"), filled(MEDIAN_FILL).alias("n_rating"),
+              filled(ZERO_FILL).alias("n_disc")]
+    seen = Observation()
     if materialize:
-        flagged = write_staging(flagged, "clean-flagged")
-    kept = flagged.filter(~F.col("_crit") & ~F.col("_anom"))
+        flagged = write_staging(flagged.observe(seen, *counts), "clean-flagged")
+    kept = flagged.filter(fine)
     data_cols = [c for c in raw.columns if c != ORDER]
     if MEDIAN_FILL in raw.columns:
         median = exact_median(kept, MEDIAN_FILL)
-        med = median.scalar()
-        kept = kept.withColumn("_fill_rating", F.col(MEDIAN_FILL).isNull()) \
-                   .withColumn(MEDIAN_FILL, F.coalesce(F.col(MEDIAN_FILL), med))
+        kept = kept.withColumn(MEDIAN_FILL, F.coalesce(F.col(MEDIAN_FILL), median.scalar()))
     else:
         median = raw.sparkSession.createDataFrame([(None,)], "median double")
-        kept = kept.withColumn("_fill_rating", F.lit(False))
     if ZERO_FILL in raw.columns:
-        kept = kept.withColumn("_fill_disc", F.col(ZERO_FILL).isNull()) \
-                   .withColumn(ZERO_FILL, F.coalesce(F.col(ZERO_FILL), F.lit(0.0)))
-    else:
-        kept = kept.withColumn("_fill_disc", F.lit(False))
+        kept = kept.withColumn(ZERO_FILL, F.coalesce(F.col(ZERO_FILL), F.lit(0.0)))
     # Exact duplicates: group on every data column.  Partial aggregation
     # collapses copies inside each task before the shuffle, so a row copied
     # a million times moves once per task.
     rows = kept.groupBy(*data_cols).agg(F.min(ORDER).alias(ORDER)).select(ORDER, *data_cols)
-    counts = flagged.agg(
-        F.count(F.lit(1)).alias("n_in"), F.count_if("_crit").alias("n_crit"),
-        F.count_if("_anom").alias("n_anom"))
-    fills = kept.agg(F.count_if("_fill_rating").alias("n_rating"),
-                     F.count_if("_fill_disc").alias("n_disc"),
-                     F.count(F.lit(1)).alias("n_kept"))
-    n_out = rows.agg(F.count(F.lit(1))).scalar()
-    # One struct-valued subquery for the three fill counts (runs once).
-    fill = fills.select(F.struct("n_rating", "n_disc", "n_kept").alias("f")).scalar()
-    rep = counts.select(
-        "n_in", "n_crit", "n_anom",
-        fill.getField("n_rating").alias("n_rating"),
-        fill.getField("n_disc").alias("n_disc"),
-        (fill.getField("n_kept") - n_out).alias("n_dup"), n_out.alias("n_out"))
-    report = rep.select(F.expr(
+    n_out = F.count(F.lit(1)).alias("n_out")
+    if materialize:
+        left = Observation()
+        rows = write_staging(rows.observe(left, n_out), "clean-rows")
+        found = {**seen.get, **left.get}
+        rep = raw.sparkSession.range(1).select(*[
+            F.lit(found.get(n, 0)).cast("long").alias(n)
+            for n in ("n_in", "n_crit", "n_anom", "n_rating", "n_disc", "n_out")])
+    else:
+        rep = flagged.agg(*counts).select("*", rows.agg(n_out).scalar().alias("n_out"))
+    report = rep.withColumn("n_dup", F.expr("n_in - n_crit - n_anom - n_out")).select(F.expr(
         "stack(7, 'input', 0L, 0L, 'standardize_strings', 0L, 0L, "
         "'drop_missing_critical', n_crit, 0L, 'drop_anomalies', n_anom, 0L, "
         "'impute_median_rating', 0L, n_rating, 'impute_zero_discount', 0L, n_disc, "

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from salescope.functions.flags import parse_flag
@@ -115,13 +115,20 @@ def parse_ts(df: DataFrame) -> Column:
 
 @dataclass
 class LoadResult:
+    """``counts`` holds what was counted while the facts were staged: rows in
+    ``transactions`` and ``rejected``, and failures by rule."""
     star: Star
     rejected: DataFrame
+    counts: dict[str, int]
 
 
 def build_facts(clean: DataFrame, stores: DataFrame, products: DataFrame) -> LoadResult:
     """Transactions with resolved keys; rows whose timestamp does not parse or
-    whose store / product does not resolve go to ``rejected`` with a reason."""
+    whose store / product does not resolve go to ``rejected`` with a reason.
+
+    Both are staged in one write (a folder each), so the lookups run once and
+    ids stay as they were given; rows, rejects and broken rules are metrics
+    observed during that write."""
     df = with_defaults(clean).withColumn("_ts", parse_ts(clean))
     look = product_lookup(products)
     j = (df.join(stores.select(F.col("store_location").alias("Store_Location"), "store_id"),
@@ -140,7 +147,9 @@ def build_facts(clean: DataFrame, stores: DataFrame, products: DataFrame) -> Loa
         return (F.coalesce(F.col(name).cast(cast), F.lit(default)) if name in df.columns
                 else F.lit(default).cast(cast))
 
-    facts = j.filter(F.col("reject_reason").isNull()).select(
+    rows = j.select(
+        F.struct(*clean.columns).alias("raw"), "reject_reason",
+        F.col("reject_reason").isNotNull().alias("bad"),
         F.monotonically_increasing_id().alias("transaction_id"),
         F.col("_ts").alias("ts"), "store_id", "product_id",
         col_or("Discount_Percentage", 0.0, "double").alias("discount_percentage"),
@@ -151,15 +160,24 @@ def build_facts(clean: DataFrame, stores: DataFrame, products: DataFrame) -> Loa
          else F.lit(False)).alias("promotion_applied"),
         (parse_flag(F.col("Holiday_Flag")) if "Holiday_Flag" in df.columns
          else F.lit(False)).alias("holiday_flag"))
-    rejected = j.filter(F.col("reject_reason").isNotNull()).select(
-        *[c for c in clean.columns], "reject_reason")
-    return LoadResult(Star(stores, products, facts), rejected)
-
-
-def load_star(clean: DataFrame, materialize: bool = True) -> LoadResult:
-    """Dimensions, facts and rejects from cleaned rows.  The cleaned rows feed
-    four builds, so by default they are written once as a Parquet staging
-    table in the shared checkpoint folder first."""
+    fact_columns = [c for c in rows.columns if c not in ("raw", "reject_reason", "bad")]
+    seen = Observation()
+    rows = rows.observe(
+        seen, F.count_if(~F.col("bad")).alias("transactions"), F.count_if("bad").alias("rejected"),
+        *[F.count_if(~F.col("bad") & failed(p)).alias(n) for n, p in TRANSACTION_RULES])
+    staged = write_staging(rows.select(
+        "bad", F.when(F.col("bad"), F.struct("raw.*", "reject_reason")).alias("reject"),
+        F.when(~F.col("bad"), F.struct(*fact_columns)).alias("fact")), "facts", ["bad"])
+    counts = {n: seen.get.get(n, 0)
+              for n in ("transactions", "rejected", *[n for n, _ in TRANSACTION_RULES])}
+    return LoadResult(Star(stores, products, staged.where("NOT bad").select("fact.*")),
+                      staged.where("bad").select("reject.*"), counts)
+
+
+def load_star(clean: DataFrame, materialize: bool = False) -> LoadResult:
+    """Dimensions, facts and rejects from cleaned rows.  These feed four
+    builds; rows that ``clean_sales`` has not staged are written once with
+    ``materialize``."""
     if materialize:
         clean = write_staging(clean, "clean-rows")
     stores = build_stores(clean)
@@ -168,13 +186,12 @@ def load_star(clean: DataFrame, materialize: bool = True) -> LoadResult:
 
 
 def load_report(lr: LoadResult) -> DataFrame:
-    """(table, rows): row counts of the loaded star and of the rejects."""
-    st = lr.star
-    return st.stores.agg(F.count(F.lit(1)).alias("stores")).select(
-        "stores",
-        st.products.agg(F.count(F.lit(1))).scalar().alias("products"),
-        st.transactions.agg(F.count(F.lit(1))).scalar().alias("transactions"),
-        lr.rejected.agg(F.count(F.lit(1))).scalar().alias("rejected")).select(
+    """(table, rows): row counts of the loaded star and of the rejects.  The
+    facts were counted while they were written."""
+    n = F.count(F.lit(1))
+    return lr.star.stores.agg(n.alias("stores")).select(
+        "stores", lr.star.products.agg(n).scalar().alias("products"),
+        *[F.lit(lr.counts[c]).cast("long").alias(c) for c in ("transactions", "rejected")]).select(
         F.expr("stack(4, 'stores', stores, 'products', products, 'transactions', "
                "transactions, 'rejected', rejected) AS (table, rows)"))
 
@@ -200,18 +217,36 @@ TRANSACTION_RULES = [
 ]
 
 
+def failed(predicate: str) -> Column:
+    """True where a rule does not hold; a null (missing value) fails it."""
+    return ~F.coalesce(F.expr(predicate), F.lit(False))
+
+
 def validate(df: DataFrame, rules: list[tuple[str, str]]):
-    """(valid rows, rejected rows with an array of failed rule names).
-    A rule whose predicate is null (missing value) counts as failed."""
-    fails = F.array_compact(F.array(*[
-        F.when(~F.coalesce(F.expr(pred), F.lit(False)), F.lit(name)) for name, pred in rules]))
-    tagged = df.withColumn("failed_rules", fails)
+    """(valid rows, rejected rows with an array of failed rule names)."""
+    tagged = df.withColumn("failed_rules", F.array_compact(F.array(*[
+        F.when(failed(pred), F.lit(name)) for name, pred in rules])))
     return (tagged.filter(F.size("failed_rules") == 0).drop("failed_rules"),
             tagged.filter(F.size("failed_rules") > 0))
 
 
 def validation_summary(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """(rule, failures) for every rule, in one aggregate."""
-    aggs = [F.count_if(~F.coalesce(F.expr(p), F.lit(False))).alias(n) for n, p in rules]
+    aggs = [F.count_if(failed(p)).alias(n) for n, p in rules]
     stack = ", ".join(f"'{n}', `{n}`" for n, _ in rules)
     return df.agg(*aggs).select(F.expr(f"stack({len(rules)}, {stack}) AS (rule, failures)"))
+
+
+def validate_star(lr: LoadResult) -> DataFrame:
+    """(table, rule, failures) of all three tables: one aggregate over each
+    dimension, the facts' counts as taken while they were staged."""
+    facts = ", ".join(f"'{n}', {lr.counts[n]}L" for n, _ in TRANSACTION_RULES)
+    parts = {"stores": validation_summary(lr.star.stores, STORE_RULES),
+             "products": validation_summary(lr.star.products, PRODUCT_RULES),
+             "transactions": lr.star.stores.sparkSession.range(1).select(F.expr(
+                 f"stack({len(TRANSACTION_RULES)}, {facts}) AS (rule, failures)"))}
+    out = None
+    for name, df in parts.items():
+        df = df.select(F.lit(name).alias("table"), "rule", "failures")
+        out = df if out is None else out.unionByName(df)
+    return out

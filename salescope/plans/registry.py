@@ -843,7 +843,10 @@ def forecast_from_saved(spark, sf_dir):
 # ---------------------------------------------------------------- ETL
 from salescope.operators import clean as cln  # noqa: E402
 from salescope.operators import star_build as sb  # noqa: E402
-from salescope.sources.raw import DIRTY_SQL, dirty_sales  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from salescope.sources.raw import (  # noqa: E402
+    BROKEN_COLUMNS, DIRTY_SQL, broken_sales, dirty_sales)
 
 _ETL_CACHE: dict = {}
 
@@ -1010,6 +1013,62 @@ def load_report(spark, sf_dir):
     return sb.load_report(_etl(spark, sf_dir)[1])
 
 
+def broken_sql(select: str) -> str:
+    """The cleaning and load of the dirty rows, over the broken ones."""
+    ctes = etl_ctes().replace('CAST(c."Date" AS TIMESTAMP)', 'TRY_CAST(c."Date" AS TIMESTAMP)')
+    rows = f"broken AS ({BROKEN_COLUMNS} FROM dirty),\ns1 AS ("
+    ctes = ctes.replace("s1 AS (", rows, 1)
+    return ctes.replace("FROM dirty),\ns2", "FROM broken),\ns2", 1) + "\n" + select
+
+
+def _broken_load(spark, sf_dir):
+    return sb.load_star(cln.clean_sales(broken_sales(spark, sf_dir)).rows)
+
+
+@register("load_report_broken", broken_sql("""
+SELECT 'stores' AS "table", count(*) AS "rows" FROM dim_s
+UNION ALL SELECT 'products', count(*) FROM dim_p
+UNION ALL SELECT 'transactions', count(*) FROM facts WHERE ts IS NOT NULL
+UNION ALL SELECT 'rejected', count(*) FROM facts WHERE ts IS NULL"""))
+def load_report_broken(spark, sf_dir):
+    return sb.load_report(_broken_load(spark, sf_dir))
+
+
+@register("reject_rows", broken_sql("""
+SELECT r."Date", r."Store_Location", r."Product_Subcategory", CAST(r."Revenue" AS DOUBLE) AS "Revenue",
+       'unparsable_timestamp' AS reject_reason
+FROM clean r WHERE TRY_CAST(r."Date" AS TIMESTAMP) IS NULL"""))
+def reject_rows(spark, sf_dir):
+    return _broken_load(spark, sf_dir).rejected.select(
+        "Date", "Store_Location", "Product_Subcategory",
+        F.col("Revenue").cast("double").alias("Revenue"), "reject_reason")
+
+
+@register("validate_star", broken_sql("""
+SELECT 'stores' AS "table", * FROM (
+  SELECT 'store_location_required' AS rule,
+         count(*) FILTER (WHERE coalesce(store_location, '') = '') AS failures FROM dim_s
+  UNION ALL SELECT 'store_rating_range',
+         count(*) FILTER (WHERE store_rating IS NULL OR store_rating < 0 OR store_rating > 5) FROM dim_s)
+UNION ALL SELECT 'products', * FROM (
+  SELECT 'category_required', count(*) FILTER (WHERE coalesce(category, '') = '') FROM dim_p
+  UNION ALL SELECT 'unit_price_positive', count(*) FILTER (WHERE unit_price IS NULL OR unit_price <= 0) FROM dim_p
+  UNION ALL SELECT 'stock_non_negative', count(*) FILTER (WHERE stock_on_hand IS NULL OR stock_on_hand < 0) FROM dim_p)
+UNION ALL SELECT 'transactions', * FROM (
+  SELECT unnest([
+    {'rule': 'store_id_required', 'failures': count(*) FILTER (WHERE store_id IS NULL)},
+    {'rule': 'product_id_required', 'failures': count(*) FILTER (WHERE product_id IS NULL)},
+    {'rule': 'discount_range',
+     'failures': count(*) FILTER (WHERE discount_percentage < 0 OR discount_percentage > 100)},
+    {'rule': 'revenue_non_negative', 'failures': count(*) FILTER (WHERE revenue < 0)},
+    {'rule': 'customer_type_required', 'failures': count(*) FILTER (WHERE customer_type IS NULL)},
+    {'rule': 'payment_mode_required', 'failures': count(*) FILTER (WHERE payment_mode IS NULL)}],
+    recursive := true)
+  FROM facts WHERE ts IS NOT NULL)"""))
+def validate_star(spark, sf_dir):
+    return sb.validate_star(_broken_load(spark, sf_dir))
+
+
 @register("load_repeated", etl_sql("""
 SELECT s.store_location, count(*) AS transactions, count(DISTINCT f.product_id) AS products,
        CAST(sum(CAST(f.revenue AS DECIMAL(17,4))) AS DOUBLE) AS revenue

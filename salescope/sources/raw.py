@@ -89,6 +89,27 @@ def dirty_sales(spark: SparkSession, sf_dir: str, copies: bool = True) -> DataFr
     return once.withColumn("_copy", F.explode(n)).drop("_copy")
 
 
+def broken_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``dirty_sales`` with rows that break the rules of the load as well:
+    unparsable dates, ratings above 5, free products, discounts above 100."""
+    k = F.col("_row")
+    return dirty_sales(spark, sf_dir).withColumns({
+        "Date": F.when(k % 61 == 0, "not a date").otherwise(F.col("Date")),
+        "Store_Rating": F.when(F.col("Store_Location").contains("7"), F.col("Store_Rating") * 3)
+                         .otherwise(F.col("Store_Rating")),
+        "Unit_Price": F.when(k % 67 == 0, 0.0).otherwise(F.col("Unit_Price")),
+        "Discount_Percentage": F.when(k % 71 == 0, 150.0).otherwise(F.col("Discount_Percentage"))})
+
+
+BROKEN_COLUMNS = """
+SELECT * REPLACE (
+  CASE WHEN _row % 61 = 0 THEN 'not a date' ELSE "Date" END AS "Date",
+  CASE WHEN contains("Store_Location", '7') THEN "Store_Rating" * 3 ELSE "Store_Rating" END
+    AS "Store_Rating",
+  CASE WHEN _row % 67 = 0 THEN 0.0 ELSE "Unit_Price" END AS "Unit_Price",
+  CASE WHEN _row % 71 = 0 THEN 150.0 ELSE "Discount_Percentage" END AS "Discount_Percentage")
+"""
+
 DIRTY_SQL = """
 dirty_once AS (
   SELECT l_orderkey AS _row,
