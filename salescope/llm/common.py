@@ -8,8 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.session import materialize as stage
-from salescope.session import scratch_path, ship_package
+from salescope.session import materialize, scratch_path, ship_package
 
 __all__ = ["stage", "scratch_path", "ship_package", "table", "let", "ascii_lower", "words",
            "lit_or_empty", "bounded_broadcast", "WHITESPACE", "shuffle_partitions"]
@@ -24,6 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stage(df: DataFrame, name: str, by: list[str] = ()) -> DataFrame:
+    """``materialize``, after which the shuffle files behind ``df`` are given
+    back: nothing reads them once the rows are written, but Spark removes them
+    only when the driver collects garbage, by default every 30 minutes, so a
+    chain of staged steps would keep the files of all its steps on disk."""
+    out = materialize(df, name, by)
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row.
 
