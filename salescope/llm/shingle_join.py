@@ -39,6 +39,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,7 @@ from salescope.llm.common import bounded_broadcast, ship_package, stage, text_sl
 SEEDS = 3
 BUCKET_ROWS = 4096
 LEAF = 16
+SLICES = 4              # parts in which the prefixes are exploded and grouped
 CELLS = 4               # size cells per largest ratio of linked sizes
 SPAN = CELLS + 4         # (a reach of 0 to CELLS + 2 in the last digit)
 HOT_DOCS = 2000         # a shingle in more than 1 / HOT_DOCS of the documents comes last
@@ -475,6 +477,24 @@ def open_buckets(prefixes: DataFrame) -> DataFrame:
             .select(F.xxhash64("_who").alias("bucket"), "row", "label").distinct())
 
 
+def prefix_rows(ent: DataFrame, kept: DataFrame, labels: DataFrame, i: int,
+                percent: int) -> DataFrame:
+    """(s, cells, row, label) of the ``kept`` rows for one slice of the
+    shingles, where rows of several labels have the shingle.  A shingle is in
+    one slice as a whole, so slices are looked at one after the other and only
+    a part of the exploded prefixes is on disk at a time."""
+    placed = F.transform("prefix", lambda s, at: F.struct(at.alias("place"), s.alias("s")))
+    part = ent.select("row", "size", F.filter(
+        placed, lambda x: F.pmod(x["s"], F.lit(SLICES)) == i).alias("prefix"))
+    rows = (with_labels(part.where(F.size("prefix") > 0).join(kept, "row", "left_semi"), labels)
+            .select(F.inline("prefix"), "row", "size", "label")
+            .select("s", placed_cells(F.col("size"), F.col("place"), percent).alias("cells"),
+                    "row", "label"))
+    by_shingle = Window.partitionBy("s")
+    return rows.withColumn("_several", F.min("label").over(by_shingle)
+                           != F.max("label").over(by_shingle)).where("_several")
+
+
 def members(window=None):
     """Digest of the rows of a bucket: buckets with the same members, as two
     near-copies have for most of their shingles, are opened once."""
@@ -505,14 +525,10 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     near = stage(near, "links-seeds")
     labels = components(near)
 
-    prefixes = (with_labels(reps.select("row", "size", "prefix"), labels)
-                .select(F.posexplode("prefix").alias("place", "s"), "row", "size", "label")
-                .select("s", placed_cells(F.col("size"), F.col("place"), percent).alias("cells"),
-                        "row", "label"))
-    several = Window.partitionBy("s")
-    prefixes = prefixes.withColumn("_several", F.min("label").over(several)
-                                   != F.max("label").over(several)).where("_several")
-    maybe = stage(open_buckets(prefixes), "open-buckets")
+    kept = classes.select(F.col("rep").alias("row"))
+    opened = [stage(open_buckets(prefix_rows(ent, kept, labels, i, percent)), "open-buckets")
+              for i in range(SLICES)]
+    maybe = stage(reduce(DataFrame.unionByName, opened).distinct(), "open-buckets")
     for bits, times in (("short", SHORT), ("bits", WHOLE)):
         maybe = stage(candidate_members(maybe.join(ent.select("row", "size", bits), "row"),
                                         bits, percent, times), "candidates")
