@@ -53,7 +53,7 @@ from salescope.llm.common import bounded_broadcast, ship_package, stage, text_sl
 SEEDS = 3
 BUCKET_ROWS = 4096
 LEAF = 16
-SLICES = 4              # parts in which the prefixes are exploded and grouped
+SLICES = 8              # parts in which the prefixes are exploded and grouped
 CELLS = 4               # size cells per largest ratio of linked sizes
 SPAN = CELLS + 4         # (a reach of 0 to CELLS + 2 in the last digit)
 HOT_DOCS = 2000         # a shingle in more than 1 / HOT_DOCS of the documents comes last
@@ -160,7 +160,7 @@ def entries(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame
     longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, pack, last = WordHash(), zstandard.ZstdCompressor(level=1), late.value
+        hashes, pack, last = WordHash(), zstandard.ZstdCompressor(level=5), late.value
         for big in batches:
             for batch in text_slices(big, 2):
                 keys, sizes, seeds, prefixes, bits, short, zs = [], [], [], [], [], [], []
