@@ -49,6 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salescope.llm.common import bounded_broadcast, ship_package, stage, text_slices, utf8
+from salescope.session import delete_tables, recorded_tables
 
 SEEDS = 3
 BUCKET_ROWS = 4096
@@ -512,17 +513,19 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     reps = ent.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
     texts = ent.select("row", "z")      # only representatives are in buckets
 
-    seeds = stage(reps.select(F.explode("seeds").alias("s"), "row"), "seeds")
-    shared = seeds.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("row").alias("pivot"),
-                                    members().alias("who")).where("m > 1")
-    chunks = F.ceil(F.col("m") / BUCKET_ROWS).cast("int")
-    dealt = seeds.join(shared, "s").select("row", F.explode(
-        F.when(F.col("row") == F.col("pivot"), F.sequence(F.lit(0), chunks - 1))
-        .otherwise(F.array(F.pmod(F.xxhash64("row"), chunks).cast("int")))).alias("chunk"), "who")
-    dealt = stage(dealt.select(F.xxhash64("who", "chunk").alias("bucket"), "row",
-                               F.col("row").alias("label")).distinct(), "seed-buckets")
+    with recorded_tables() as dealt_out:
+        seeds = stage(reps.select(F.explode("seeds").alias("s"), "row"), "seeds")
+        shared = seeds.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("row").alias("pivot"),
+                                        members().alias("who")).where("m > 1")
+        chunks = F.ceil(F.col("m") / BUCKET_ROWS).cast("int")
+        dealt = seeds.join(shared, "s").select("row", F.explode(
+            F.when(F.col("row") == F.col("pivot"), F.sequence(F.lit(0), chunks - 1))
+            .otherwise(F.array(F.pmod(F.xxhash64("row"), chunks).cast("int")))).alias("chunk"), "who")
+        dealt = stage(dealt.select(F.xxhash64("who", "chunk").alias("bucket"), "row",
+                                   F.col("row").alias("label")).distinct(), "seed-buckets")
     near = link_buckets(texts.join(bounded_broadcast(dealt), "row"), n, percent)
     near = stage(near, "links-seeds")
+    delete_tables(docs.sparkSession, dealt_out)     # seeds and their buckets: read no more
     labels = components(near)
 
     kept = classes.select(F.col("rep").alias("row"))
