@@ -8,17 +8,25 @@ out, down to a uniform choice among the bytes never excluded.  Texts are
 ASCII-lower-cased, coded after ORDER zero bytes and ended by a byte that UTF-8
 never uses, so the scores of all texts are chances of one distribution.
 
-The model is a set of staged tables that grow with the corpus: one row per
-(context, byte) of each order, and per context the total, the number of bytes
-and the total of those bytes in the next shorter context, which is what the
-exclusion takes from it (whatever follows a context also follows each of its
-endings).  No table is collected or broadcast, but those of contexts of at
-most two bytes.
-
 The chance of a byte depends on its (ORDER + 1)-gram only.  The scan deals
 texts into groups of about GROUP_BYTES and sends each distinct gram of a group
-once, with its training count; the grams are joined with their costs, return
-to their group and are summed over its texts.
+once, with its training count.  Grams are dealt into buckets by a hash of the
+three bytes before the coded one, so a bucket holds all that was met of its
+contexts of three bytes and more.  They travel as packed rows, one per group
+and bucket: sorted, as differences, a few bytes per gram.
+
+The model is a staged table that grows with the corpus: the counts of every
+gram by bucket, summed from the groups.  Only contexts of at most two bytes
+are met in many buckets; their counts are summed over all and broadcast (at
+most 2^24 byte triples, of which UTF-8 leaves some five million).  A second
+pass over the buckets answers the groups with the costs of their grams, and
+each group sums them over its texts.  A task holds the counts of one bucket
+(there are at least BUCKETS, and no fewer than shuffle partitions) and one
+packed row of a group, or the texts and grams of one group.
+
+The exclusion takes from a context the total, in it, of the bytes that follow
+the next longer one (whatever follows a context also follows each of its
+endings).
 
 Base score: unigram words with add-one smoothing.  Words above 1 / HOT_SHARE of
 the training tokens (so at most HOT_SHARE) are scored by the scan; all others meet
@@ -36,19 +44,25 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salescope.llm.common import ship_package, stage, text_slices, utf8
+from salescope.llm.common import ship_package, shuffle_partitions, stage, text_slices, utf8
+from salescope.session import delete_tables, recorded_tables
 
 ORDER = 5
 END = b"\xff"
 HOT_SHARE = 1 << 18
 # Texts of a group share the rows of their grams: a group ends at either size.
 GROUP_BYTES, GROUP_GRAMS = 24 << 20, 2_000_000
+# Contexts of at most SHORT bytes are shared by all buckets; their counts are
+# merged in PARTS parts.
+BUCKETS, SHORT, PARTS = 512, 2, 32
 
 
 def held_out(doc_id: Column) -> Column:
@@ -88,6 +102,30 @@ def _merged(k: np.ndarray, n: np.ndarray, k2: np.ndarray, n2: np.ndarray):
     return both, np.bincount(at, np.concatenate([n, n2]), len(both)).astype(np.int64)
 
 
+def squeezed(a: np.ndarray) -> bytes:
+    """Numbers by byte planes, so that their empty high bytes cost nothing."""
+    return zstandard.compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes(), 1)
+
+
+def expanded(b: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(b), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def squeezed_keys(k: np.ndarray) -> bytes:
+    return squeezed(np.diff(k, prepend=0))
+
+
+def expanded_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(expanded(b, np.int64))
+
+
+def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
+    """By the SHORT + 1 bytes before the coded one."""
+    context = ((gram >> 8) & ((1 << (8 * (SHORT + 1))) - 1)).astype(np.uint64)
+    return ((context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)
+
+
 def _pack(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema,
@@ -96,17 +134,20 @@ def _pack(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (batch, texts), (batch, gram, n) and (token, n).  ``texts`` packs a
-    slice of lower-cased texts with row, doc_id and held_out; n counts training
-    texts only; b'' is the end token."""
+SCANNED = "batch long, texts binary, bucket int, grams binary, times binary, token binary, n long"
+
+
+def _scan(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (batch, texts), (batch, bucket, grams, times) and (token, n).
+    ``texts`` packs a slice of lower-cased texts with row, doc_id and held_out;
+    times and n count training texts only; b'' is the end token."""
     from pyspark import TaskContext
     first = TaskContext.get().partitionId() << 32
     words: Counter = Counter()
     keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
     group, held = 0, 0                  # texts of a group are counted in ``held`` bytes
-    types = {"batch": pa.int64(), "texts": pa.binary(), "gram": pa.int64(),
-             "token": pa.binary(), "n": pa.int64()}
+    types = {"batch": pa.int64(), "texts": pa.binary(), "bucket": pa.int32(),
+             "grams": pa.binary(), "times": pa.binary(), "token": pa.binary(), "n": pa.int64()}
 
     def rows(count, **have):
         return pa.RecordBatch.from_arrays(
@@ -114,10 +155,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=list(types))
 
     def group_rows(keys, sums):
-        for lo in range(0, len(keys), 1 << 16):
-            k = keys[lo:lo + (1 << 16)]
-            yield rows(len(k), batch=pa.array(np.full(len(k), first + group)),
-                       gram=pa.array(k), n=pa.array(sums[lo:lo + (1 << 16)]))
+        if not len(keys):
+            return
+        bucket = bucket_of(keys, buckets).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        keys, sums, bucket = keys[order], sums[order], bucket[order]
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(keys)]
+        spans = list(zip(cuts, cuts[1:]))
+        yield rows(len(spans), batch=pa.array(np.full(len(spans), first + group)),
+                   bucket=pa.array(bucket[cuts[:-1]]),
+                   grams=pa.array([squeezed_keys(keys[lo:hi]) for lo, hi in spans], pa.binary()),
+                   times=pa.array([squeezed(sums[lo:hi]) for lo, hi in spans], pa.binary()))
 
     def word_rows(w):
         return rows(len(w), token=pa.array(list(w), pa.binary()),
@@ -209,57 +257,158 @@ def _coded(counts, parent, depth, mine, others: int) -> np.ndarray:
     return np.log10(np.maximum(chance, 1e-300))
 
 
-def _last(c: str, size: int):
-    """The last ``size`` bytes of a gram or context."""
-    return F.col(c).bitwiseAND((1 << (8 * size)) - 1)
+# -------------------------------------------------------------- bucket passes
 
+def _summed(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their sums."""
+    k, at = np.unique(k, return_inverse=True)
+    return k, np.bincount(at, n, len(k)).astype(np.int64)
 
-def gram_costs(counts: DataFrame) -> DataFrame:
-    """gram and cost (log10 chance) for distinct grams (gram, n), where n is
-    the training count, 0 for grams that are only to be scored."""
-    level = {ORDER: counts.where("n > 0").select(F.col("gram").alias("key"), "n")}
-    for d in range(ORDER - 1, -1, -1):  # d bytes of context and the byte
-        level[d] = stage(level[d + 1].groupBy(_last("key", d + 1).alias("key"))
-                         .agg(F.sum("n").alias("n")), f"ppm-level-{d}")
-    # total and kinds of each context; shorter: the total of its bytes one order below.
-    node = {}
-    for d in range(ORDER, -1, -1):
-        rows = level[d].withColumn("below", F.lit(0).cast("long")) if d == 0 else \
-            level[d].withColumn("up", _last("key", d)).join(
-                level[d - 1].select(F.col("key").alias("up"), F.col("n").alias("below")), "up")
-        node[d] = stage(rows.groupBy(F.shiftrightunsigned("key", 8).alias("context")).agg(
-            F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"),
-            F.sum("below").alias("shorter")), f"ppm-nodes-{d}")
-    met = counts.where("n > 0").withColumn("context", F.shiftrightunsigned("gram", 8)) \
-        .join(node[ORDER].select("context", "total"), "context") \
-        .select("gram", F.log10((2.0 * F.col("n") - 1) / (2.0 * F.col("total"))).alias("cost"))
-    zero = F.lit(0).cast("long")
-    u = counts.where("n = 0").select(
-        "gram", F.lit(0.0).alias("passed"), zero.alias("less"), zero.alias("fewer"),
-        F.lit(None).cast("double").alias("cost"))
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
+    """Rows of a partition sorted by bucket, bucket by bucket."""
+    one_by_one = (r for b in batches for i in range(len(b)) for r in b.slice(i, 1).to_pylist())
+    return groupby(one_by_one, key=lambda r: r["bucket"])
+
+
+def _total(rows: Iterator[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of packed rows and the sums of their counts."""
+    k, n = [], []
+    for r in rows:
+        k.append(expanded_keys(r["grams"]))
+        n.append(expanded(r["times"], np.int64))
+        if len(k) > 1 and sum(map(len, k[1:])) > max(1 << 20, len(k[0])):
+            sums = _summed(np.concatenate(k), np.concatenate(n))
+            k, n = [sums[0]], [sums[1]]
+    return _summed(np.concatenate(k), np.concatenate(n))
+
+
+def _counted(bucket: int, k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([bucket], pa.int32()), pa.array([squeezed_keys(k)], pa.binary()),
+         pa.array([squeezed(n)], pa.binary())], names=["bucket", "grams", "times"])
+
+
+COUNTED = "bucket int, grams binary, times binary"
+
+
+def _sum_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per bucket its grams and training counts; then the counts that the task
+    has of byte triples (SHORT bytes of context and the coded one), in PARTS
+    rows with negative numbers."""
+    short = np.empty(0, np.int64), np.empty(0, np.int64)
+    for bucket, mine in _by_bucket(batches):
+        k, n = _total(mine)
+        yield _counted(bucket, k, n)
+        met = n > 0
+        short = _merged(*short, *_summed(k[met] & ((1 << (8 * (SHORT + 1))) - 1), n[met]))
+    for part in range(PARTS):
+        mine = short[0] % PARTS == part
+        if mine.any():
+            yield _counted(-1 - part, short[0][mine], short[1][mine])
+
+
+def _merge_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for bucket, mine in _by_bucket(batches):
+        yield _counted(bucket, *_total(mine))
+
+
+def _dealt(rows: DataFrame, *then) -> DataFrame:
+    """Rows in as many tasks as there are shuffle partitions, sorted by bucket."""
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "bucket") \
+               .sortWithinPartitions("bucket", *then)
+
+
+def _shorter_levels(k: np.ndarray, n: np.ndarray, top: int, least: int = 0) -> dict:
+    """Distinct endings (d bytes of context and the coded one) and counts for d
+    from ``top``, at which they are given, down to ``least``."""
+    level = {top: (k, n)}
+    for d in range(top - 1, least - 1, -1):
+        k, n = level[d + 1]
+        level[d] = _summed(k & ((1 << (8 * (d + 1))) - 1), n)
+    return level
+
+
+def _find(sorted_keys: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of k and whether they are there."""
+    if not len(sorted_keys):
+        return np.zeros(len(k), np.int64), np.zeros(len(k), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, k), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == k
+
+
+def _nodes(level: dict, d: int):
+    """Contexts of d bytes: their total, number of bytes, and the total of
+    those bytes in the context one byte shorter."""
+    k, n = level[d]
+    context, at = np.unique(k >> 8, return_inverse=True)
+    below = np.zeros(len(k))
+    if d:
+        below = level[d - 1][1][_find(level[d - 1][0], k & ((1 << (8 * d)) - 1))[0]]
+    return (context, np.bincount(at, n, len(context)), np.bincount(at, minlength=len(context)),
+            np.bincount(at, below, len(context)))
+
+
+def gram_costs(gram: np.ndarray, n: np.ndarray, short: dict) -> np.ndarray:
+    """log10 chances of the grams of a bucket, given their training counts (0
+    for grams that are only to be scored).  ``short`` holds the levels of up to
+    SHORT bytes of context, of all buckets."""
+    met = n > 0
+    level = {**_shorter_levels(gram[met], n[met], ORDER, SHORT + 1), **short}
+    cost = np.full(len(gram), np.nan)
+    todo = np.arange(len(gram))
+    passed, less, fewer = np.zeros(len(gram)), np.zeros(len(gram)), np.zeros(len(gram))
     for d in range(ORDER, -1, -1):
-        # Tables of at most 65,537 rows by their keys are broadcast: few keys, many rows.
-        nodes = F.broadcast(node[d]) if d <= 2 else node[d]
-        u = u.withColumn("context", F.shiftrightunsigned(_last("gram", d + 1), 8)) \
-             .join(nodes, "context", "left")
-        if d < ORDER:
-            found = F.broadcast(level[d]) if d <= 1 else level[d]
-            u = u.withColumn("key", _last("gram", d + 1)).join(found, "key", "left")
-        else:
-            u = u.withColumn("n", F.lit(None).cast("long"))
-        left = 2.0 * (F.col("total") - F.col("less"))
-        kinds = F.col("kinds") - F.col("fewer")
-        u = u.select(
-            "gram",
-            F.when(kinds > 0, F.col("passed") + F.log10(kinds / left))
-             .otherwise(F.col("passed")).alias("passed"),
-            F.coalesce("shorter", zero).alias("less"), F.coalesce("kinds", zero).alias("fewer"),
-            F.coalesce("cost", F.col("passed") + F.log10((2.0 * F.col("n") - 1) / left))
-             .alias("cost"))
-    rest = u.select("gram", F.coalesce(
-        "cost", F.col("passed") - F.log10(256.0 - F.col("fewer"))).alias("cost"))
-    return stage(met.unionByName(rest).withColumn("cost", F.col("cost").cast("float")),
-                 "ppm-costs")
+        context, total, kinds, shorter = _nodes(level, d)
+        key = gram[todo] & ((1 << (8 * (d + 1))) - 1)
+        at, there = _find(context, key >> 8)
+        if not len(context):
+            continue                    # nothing met: no escape, nothing excluded
+        left = 2.0 * (total[at] - less)
+        own, coded = _find(level[d][0], key)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cost[todo[coded]] = (passed + np.log10((2.0 * level[d][1][own] - 1) / left))[coded]
+            escaped = there & (kinds[at] > fewer)
+            passed = np.where(escaped, passed + np.log10((kinds[at] - fewer) / left), passed)
+        less, fewer = np.where(there, shorter[at], 0.0), np.where(there, kinds[at], 0.0)
+        todo, passed, less, fewer = todo[~coded], passed[~coded], less[~coded], fewer[~coded]
+    cost[todo] = passed - np.log10(256.0 - fewer)
+    return cost
+
+
+def bucket_sums(asked: DataFrame) -> DataFrame:
+    """The model: rows (bucket, grams, times); buckets below 0 are byte triples."""
+    return stage(_dealt(asked.select("bucket", "grams", "times"))
+                 .mapInArrow(_sum_buckets, COUNTED), "ppm-sums")
+
+
+def gram_answers(asked: DataFrame, sums: DataFrame) -> DataFrame:
+    """(batch, grams, costs) for the packed grams that the groups asked for."""
+    spark = asked.sparkSession
+    parts = _dealt(sums.where("bucket < 0")).mapInArrow(_merge_parts, COUNTED).collect()
+    k, n = (np.concatenate([np.empty(0, np.int64), *x]) for x in (
+        [expanded_keys(bytes(r["grams"])) for r in parts],
+        [expanded(bytes(r["times"]), np.int64) for r in parts]))
+    triples = spark.sparkContext.broadcast(_summed(k, n))      # at most 2^24, in PARTS rows
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short = _shorter_levels(*triples.value, SHORT)
+        for _, mine in _by_bucket(batches):
+            known = next(mine)          # nulls first: the row of the model
+            gram = expanded_keys(known["grams"])
+            cost = gram_costs(gram, expanded(known["times"], np.int64), short).astype(np.float32)
+            for r in mine:
+                mine_cost = cost[np.searchsorted(gram, expanded_keys(r["grams"]))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["batch"]], pa.int64()), pa.array([r["grams"]], pa.binary()),
+                     pa.array([squeezed(mine_cost)], pa.binary())],
+                    names=["batch", "grams", "costs"])
+
+    rows = sums.where("bucket >= 0").unionByName(
+        asked.select("batch", "bucket", "grams"), allowMissingColumns=True)
+    return stage(_dealt(rows.select("bucket", "batch", "grams", "times"),
+                        F.col("batch").asc_nulls_first())
+                 .mapInArrow(answered, "batch long, grams binary, costs binary"), "ppm-answers")
 
 
 # ------------------------------------------------------------------- scoring
@@ -294,7 +443,7 @@ def code_lengths(texts: list[bytes], costs: Costs) -> np.ndarray:
 def score_texts(rows: DataFrame, hot: dict[bytes, int], id_type: str) -> DataFrame:
     """doc_id, held_out, score, n_tokens, and the base score's parts: the sum
     over hot words, and the rest as token and count arrays.  ``rows`` are packed
-    texts and costs (gram, cost) of a batch each."""
+    texts, and packed grams with their costs, of a batch each."""
     spark = rows.sparkSession
     ship_package(spark)
     model = spark.sparkContext.broadcast(hot)
@@ -302,9 +451,10 @@ def score_texts(rows: DataFrame, hot: dict[bytes, int], id_type: str) -> DataFra
               "tokens array<binary>, times array<int>")
 
     def scored(part: list[pa.RecordBatch], known: dict[bytes, float]):
-        had = [x for x in (b.filter(b.column("gram").is_valid()) for b in part) if len(x)]
-        costs = Costs(np.concatenate([b.column("gram").to_numpy() for b in had]),
-                      np.concatenate([b.column("cost").to_numpy() for b in had]))
+        costs = Costs(*(np.concatenate([read(x.as_py()) for b in part
+                                        for x in b.column(c).drop_null()])
+                        for c, read in (("grams", expanded_keys),
+                                        ("costs", lambda x: expanded(x, np.float32)))))
         for mine in part:
             for packed in mine.column("texts").drop_null():
                 batch = pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
@@ -345,21 +495,27 @@ def score_texts(rows: DataFrame, hot: dict[bytes, int], id_type: str) -> DataFra
         if part:
             yield from scored(part, known)
 
-    return rows.select("batch", "texts", "gram", "cost") \
-               .repartition("batch").sortWithinPartitions("batch") \
+    return rows.select("batch", "texts", "grams", "costs") \
+               .repartition(shuffle_partitions(spark), "batch").sortWithinPartitions("batch") \
                .mapInArrow(run, f"row long, doc_id {id_type}, held_out boolean, {schema}")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
-    ship_package(docs.sparkSession)
+    spark = docs.sparkSession
+    ship_package(spark)
+    buckets = max(BUCKETS, shuffle_partitions(spark))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    scan = stage(
-        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id",
-                    held_out(F.col("doc_id")).alias("held_out"), "text")
-        .mapInArrow(_scan, "batch long, texts binary, gram long, token binary, n long"),
-        "ppm-scan")
-    asked = scan.where("gram IS NOT NULL").select("batch", "gram", "n")
-    costs = gram_costs(stage(asked.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-counts"))
+    with recorded_tables() as scanned:
+        scan = stage(
+            docs.select(F.monotonically_increasing_id().alias("row"), "doc_id",
+                        held_out(F.col("doc_id")).alias("held_out"), "text")
+            .mapInArrow(lambda batches: _scan(batches, buckets), SCANNED), "ppm-scan")
+    asked = scan.where("grams IS NOT NULL").select("batch", "bucket", "grams", "times")
+    with recorded_tables() as summed:
+        sums = bucket_sums(asked)
+    with recorded_tables() as answered:
+        answers = gram_answers(asked, sums)
+    delete_tables(spark, summed)        # read once, by the staged answers
     vocabulary = stage(scan.where("token IS NOT NULL").groupBy("token")
                        .agg(F.sum("n").alias("c")), "ppm-words")
     total, kinds = vocabulary.agg(F.sum("c"), F.count(F.lit(1))).first()
@@ -368,9 +524,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     hot = {bytes(r["token"]): r["c"] for r in
            vocabulary.where(F.col("c") * HOT_SHARE > total).collect()}
     texts = scan.where("texts IS NOT NULL").select("batch", "texts")
-    answers = asked.select("batch", "gram").join(costs, "gram")
     scored = stage(score_texts(texts.unionByName(answers, allowMissingColumns=True), hot,
                                id_type), "ppm-scored")
+    delete_tables(spark, scanned + answered)
     rest = (scored.select("row", F.explode(F.arrays_zip("tokens", "times")).alias("x"))
             .select("row", F.col("x.tokens").alias("token"), F.col("x.times").alias("times"))
             .join(vocabulary.where(F.col("c") * HOT_SHARE <= total), "token")
