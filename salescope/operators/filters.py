@@ -36,14 +36,25 @@ class FilterSpec:
         return dataclasses.replace(self, **{f: (0 if f == "days" else None) for f in fields})
 
 
+def newest_rows(transactions: DataFrame) -> DataFrame:
+    """Rows among which the newest is: of a written star, those of the newest
+    day.  The days are partition values, so finding the newest one reads no
+    column; only that day's folder is left to read."""
+    if "sale_date" not in transactions.columns:
+        return transactions
+    day = transactions.agg(F.max("sale_date").alias("m")).first()["m"]
+    return transactions.where(F.col("sale_date") == F.lit(day))
+
+
 def newest_timestamp(transactions: DataFrame):
-    """max(ts) over all transactions, ignoring every other filter.
+    """max(ts) over all transactions, ignoring every other filter; None
+    without rows.
 
     Resolved as one small aggregate so the cutoff becomes a literal: a literal
     predicate reaches the Parquet scan (row-group skipping, partition pruning
     on a date-partitioned fact table), a scalar subquery does not.
     """
-    return transactions.agg(F.max("ts").alias("m")).first()["m"]
+    return newest_rows(transactions).agg(F.max("ts").alias("m")).first()["m"]
 
 
 def lookback_predicate(transactions: DataFrame, days: int) -> Column | None:

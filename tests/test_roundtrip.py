@@ -42,6 +42,25 @@ def test_star_roundtrip_and_pruning(spark, tmp_path):
     assert spark.table(names[0]).count() == rep["stores"]
 
 
+def test_newest_timestamp_reads_one_day(spark, ref_star, tmp_path):
+    from salescope.operators.filters import newest_rows, newest_timestamp
+    recent = ref_star.transactions.where("ts >= '2024-03-21'")
+    path = str(tmp_path / "star")
+    write_star(ref_star._replace(transactions=recent), path)
+    tx = read_star(spark, path).transactions
+    assert newest_timestamp(tx) == newest_timestamp(ref_star.transactions)
+    # The newest day comes from partition values, ts from that day alone.
+    days = tx.agg(F.max("sale_date"))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in days
+    plan = newest_rows(tx).agg(F.max("ts"))._jdf.queryExecution().executedPlan().toString()
+    assert "sale_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "ReadSchema: struct<ts:timestamp>" in plan
+    day = tx.agg(F.max("sale_date")).first()[0]
+    folders = newest_rows(tx).select(F.col("_metadata.file_path")).distinct().collect()
+    assert folders and all(f"sale_date={day}" in r[0] for r in folders)
+    assert newest_timestamp(tx.limit(0)) is None
+
+
 def test_tree_model_roundtrip(spark, tmp_path):
     df = spark.range(200).selectExpr("cast(id % 10 as double) a", "cast(id % 3 as double) b",
                                      "cast(id % 10 as double) * 2 + cast(id % 3 as double) y")
