@@ -11,8 +11,10 @@ these vectors.  Their number is bounded by the product of the bins and levels,
 not by the rows.
 
 A tree grows best-first: of all leaves that with the largest gain is split
-next.  Up to TASK_VECTORS distinct vectors (checked) are sufficient statistics
-that one task holds, and it runs all rounds without a job per pass.  Beyond, a
+next.  Vectors that fill a table of up to TASK_CELLS cells (the codes of the
+widest column against the combinations of the others, both counted), or else up
+to TASK_VECTORS distinct vectors, are sufficient statistics that one task holds,
+and it runs all rounds without a job per pass.  Beyond, a
 pass over the distributed vectors computes histograms of gradients per (node, column, code) in
 Arrow batches, sums them by one shuffle and finds each node's best split on
 executors; what comes to the driver is one row per node and column.  One pass
@@ -42,6 +44,8 @@ MAX_BINS = 255
 MIN_ROWS = 20           # fewest rows of a leaf
 CUT_EVERY = 20          # trees between two written copies of the state
 TASK_VECTORS = 1 << 20  # most distinct vectors that one task may hold
+TASK_CELLS = 1 << 22    # most cells of a table of vectors that one task may hold
+CELLS_PER_VECTOR = 16   # a table with more cells for each vector is too sparse
 
 
 # ------------------------------------------------------------------- coding
@@ -426,6 +430,26 @@ def _grow(engine, leaves: int, step: float) -> Tree | None:
     return tree
 
 
+def distinct_rows(columns) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each distinct combination of the integer ``columns``, and the
+    number of every row's combination."""
+    key, size = np.zeros(len(columns[0]), np.int64), 1
+    for x in columns:
+        low = int(x.min())
+        width = int(x.max()) - low + 1
+        if size * width >= 1 << 62:
+            kinds, key = np.unique(key, return_inverse=True)
+            size = len(kinds)
+        key, size = key * width + (x - low), size * width
+    if size > 8 * len(key) + 1024:
+        _, first, place = np.unique(key, return_index=True, return_inverse=True)
+        return first, place.ravel()
+    first = np.full(size, -1)
+    first[key] = np.arange(len(key))
+    met = first >= 0
+    return first[met], (np.cumsum(met) - 1)[key]
+
+
 class Passes:
     """Sums by passes over a distributed state (codes, n, y, pred)."""
     ahead = True
@@ -511,7 +535,10 @@ class Arrays:
         return out
 
     def _best(self, rows: np.ndarray, hist: np.ndarray) -> dict:
-        out = {"gain": None, "g": float(self.g[rows].sum()), "n": float(self.n[rows].sum())}
+        return self._choose(float(self.g[rows].sum()), float(self.n[rows].sum()), hist)
+
+    def _choose(self, g: float, n: float, hist: np.ndarray) -> dict:
+        out = {"gain": None, "g": g, "n": n}
         gain, gl, nl = split_candidates(self.column, self.code, hist[0], hist[1], self.n_numeric,
                                         self.firsts, self.min_rows)
         at = int(np.argmax(np.where(self.open, gain, -1.0)))
@@ -520,18 +547,27 @@ class Arrays:
                        gl=float(gl[at]), nl=float(nl[at]))
         return out
 
+    def _root(self, rows) -> dict:
+        self.rows[0], self.hist[0] = rows, self._sums(rows)
+        return self._best(rows, self.hist[0])
+
     def root(self, tree: Tree):
-        self.rows[0] = np.arange(len(self.n))
-        self.hist[0] = self._sums(self.rows[0])
-        return self._best(self.rows[0], self.hist[0])
+        return self._root(np.arange(len(self.n)))
+
+    def _split(self, rows: np.ndarray, column: int, code: int) -> tuple:
+        low = self._low(rows, column, code)
+        return rows[low], rows[~low]
+
+    @staticmethod
+    def _weight(rows: np.ndarray) -> int:
+        return len(rows)
 
     def children(self, tree: Tree, parents: list[int], known: dict) -> dict:
         out = {}
         for j in parents:
-            k, rows = known[j], self.rows.pop(j)
-            low = self._low(rows, k["column"], k["code"])
-            pair = rows[low], rows[~low]
-            small = 0 if len(pair[0]) <= len(pair[1]) else 1
+            k = known[j]
+            pair = self._split(self.rows.pop(j), k["column"], k["code"])
+            small = 0 if self._weight(pair[0]) <= self._weight(pair[1]) else 1
             sums = self._sums(pair[small])
             rest = self.hist.pop(j) - sums
             hists = (sums, rest) if small == 0 else (rest, sums)
@@ -543,9 +579,89 @@ class Arrays:
         self.rows[child], self.hist[child] = self.next[parent][side]
 
 
-def _fit_in_task(codes: np.ndarray, n: np.ndarray, y: np.ndarray, base: float, rounds: int,
-                 step: float, leaves: int, n_numeric: int, *args) -> list[Tree]:
-    engine, pred, trees = Arrays(codes, n, y, n_numeric, *args), np.full(len(n), base), []
+class Cells(Arrays):
+    """The same sums over a dense table: a row for each combination of the
+    other columns' codes that is met, a column for each code of the ``wide``
+    column.  A node is a set of rows and a set of wide codes, so its histogram
+    is the row and column sums of a part of the table."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, y: np.ndarray, wide: int, *args):
+        self.wide = wide
+        others = np.delete(codes, wide, axis=1)
+        first, place = distinct_rows(others.T)
+        kinds, low = others[first], codes[:, wide].min()
+        width = int(codes[:, wide].max() - low + 1)
+        # One vector per row and one per wide code: the ranges of all columns.
+        ends = np.insert(kinds, wide, low, axis=1)
+        super().__init__(np.concatenate([ends, np.insert(kinds[:1].repeat(width, axis=0), wide,
+                                                         low + np.arange(width), axis=1)]),
+                         n, y, *args)
+        self.codes = ends
+        self.flat = [x[:len(ends)] for x in self.flat]
+        self.wide_codes = low + np.arange(width)
+        self.wide_at = int(np.flatnonzero(self.column == wide)[0])
+        at = place * width + codes[:, wide] - low
+        self.n, self.y = (np.bincount(at, x, len(ends) * width).reshape(-1, width)
+                          for x in (n, y))
+
+    def _part(self, table: np.ndarray, node: tuple) -> np.ndarray:
+        rows, cols = node
+        if len(cols) and cols[-1] - cols[0] + 1 == len(cols):
+            table, cols = table[:, cols[0]:cols[-1] + 1], None
+        if len(rows) < len(table):
+            table = table[rows]
+        return table if cols is None else table[:, cols]
+
+    def _split(self, node: tuple, column: int, code: int) -> tuple:
+        rows, cols = node
+        x = self.wide_codes[cols] if column == self.wide else self.codes[rows, column]
+        low = x <= code if column < self.n_numeric else x != code
+        if column == self.wide:
+            return (rows, cols[low]), (rows, cols[~low])
+        return (rows[low], cols), (rows[~low], cols)
+
+    def values(self, tree: Tree) -> np.ndarray:
+        out = np.empty(self.n.shape)
+
+        def put(node, value):
+            rows, cols = node
+            out[rows[:, None], cols] = value
+        for i, node in self.rows.items():
+            if tree.left[i] < 0:
+                put(node, tree.value[i])
+            else:
+                for part, child in zip(self._split(node, tree.column[i], tree.code[i]),
+                                       (tree.left[i], tree.right[i])):
+                    put(part, tree.value[child])
+        return out
+
+    def _sums(self, node: tuple) -> np.ndarray:
+        rows, cols = node
+        out = np.zeros((2, self.size))
+        for k, table in enumerate((self.g, self.n)):
+            part = self._part(table, node)
+            by_row = part.sum(axis=1)
+            for c, column in enumerate(self.flat):
+                if c != self.wide:
+                    out[k] += np.bincount(column[rows], by_row, self.size)
+            out[k, self.wide_at + cols] = part.sum(axis=0)
+        return out
+
+    def _best(self, node: tuple, hist: np.ndarray) -> dict:
+        hist[0][hist[1] == 0] = 0.0     # what a difference of sums leaves over
+        mine = self.column == self.wide
+        return self._choose(float(hist[0][mine].sum()), float(hist[1][mine].sum()), hist)
+
+    def root(self, tree: Tree):
+        return self._root((np.arange(len(self.codes)), np.arange(len(self.wide_codes))))
+
+    @staticmethod
+    def _weight(node: tuple) -> int:
+        return len(node[0]) * len(node[1])
+
+
+def _fit_in_task(engine: Arrays, base: float, rounds: int, step: float, leaves: int) -> list[Tree]:
+    pred, trees = np.full(engine.n.shape, base), []
     for r in range(rounds):
         engine.start(r, pred)
         tree = _grow(engine, leaves, step)
@@ -577,30 +693,40 @@ def _read_trees(rows) -> list[Tree]:
 
 def fit_leafwise(coding: Coding, vectors: DataFrame, rounds: int = 500, step: float = 0.05,
                  leaves: int = 31, min_rows: int = MIN_ROWS, fraction: float = 0.8,
-                 seed: int = 42, partitions: int = 4,
-                 most_vectors: int = TASK_VECTORS) -> LeafwiseModel:
+                 seed: int = 42, partitions: int = 4, most_vectors: int = TASK_VECTORS,
+                 most_cells: int = TASK_CELLS) -> LeafwiseModel:
     """Boosts regression trees (squared loss) on staged ``vectors`` (codes, n,
-    y).  ``fraction`` of the features, chosen by hash, are open to a tree.  Up
-    to ``most_vectors`` distinct vectors (counted) one task runs all rounds;
-    beyond, every pass is a job over the distributed vectors.  Both give the
-    same trees, up to the rounding of sums."""
+    y).  ``fraction`` of the features, chosen by hash, are open to a tree.  If
+    the vectors fill a table of at most ``most_cells`` cells, or are at most
+    ``most_vectors`` (both counted), one task runs all rounds; beyond, every
+    pass is a job over the distributed vectors.  All give the same trees, up to
+    the rounding of sums."""
     spark = vectors.sparkSession
     ship_package(spark)
     codes, n_numeric = coding.codes, len(coding.numeric)
     n_codes = len(codes)
-    kinds, n, y = vectors.agg(F.count(F.lit(1)), F.sum("n"), F.sum("y")).first()
+    kinds, n, y, *widths = vectors.agg(
+        F.count(F.lit(1)), F.sum("n"), F.sum("y"),
+        *[F.max(c) - F.min(c) + 1 for c in codes]).first()
     if not kinds:
         raise ValueError("no rows to fit on")
     base, args = y / n, (coding.firsts, min_rows, fraction, seed)
-    if kinds <= most_vectors:
+    wide = int(np.argmax(widths))
+    most = min(most_cells, CELLS_PER_VECTOR * kinds)
+    others = [c for c in codes if c != codes[wide]]
+    table = bool(others) and widths[wide] <= most \
+        and vectors.select(*others).distinct().count() * widths[wide] <= most
+    if table or kinds <= most_vectors:
         def run(batches):
             got = [b for b in batches if len(b)]
             m = np.concatenate([_matrix(b, n_codes) for b in got])
             w, t = (np.concatenate([b.column(n_codes + i).to_numpy() for b in got]) for i in (0, 1))
             # One order, however the vectors were written.
             order = np.lexsort(m.T)
-            trees = _fit_in_task(m[order], w[order], t[order], base, rounds, step, leaves,
-                                 n_numeric, *args)
+            m, w, t = m[order], w[order], t[order]
+            engine = Cells(m, w, t, wide, n_numeric, *args) if table \
+                else Arrays(m, w, t, n_numeric, *args)
+            trees = _fit_in_task(engine, base, rounds, step, leaves)
             rows = _node_rows(trees)
             if rows:
                 yield pa.RecordBatch.from_arrays(

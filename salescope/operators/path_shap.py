@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salescope.operators.leafwise import LeafwiseModel, Tree, _matrix
+from salescope.operators.leafwise import LeafwiseModel, Tree, _matrix, distinct_rows
 from salescope.session import ship_package
 
 BASE = "__base__"
+TABLE_FEATURES = 8      # a leaf of more features has only met patterns worked out
+CHUNK = 1 << 16         # rows explained together
 
 
 @dataclass
@@ -66,52 +68,127 @@ def leaf_paths(tree: Tree, index: dict[tuple[int, int], int], n_numeric: int) ->
 
 def path_weights(one: np.ndarray, zero: np.ndarray) -> np.ndarray:
     """For rows of ``one`` (0/1 per feature): the summed weights of all subsets
-    without each feature."""
+    without each feature.  ``zero`` is that of one leaf, or has a row per leaf;
+    then the result is leaves x rows x features."""
     rows, m = one.shape
-    w = np.zeros((rows, m + 1))
-    w[:, 0] = 1.0
+    zero = np.asarray(zero)
+    shape = zero.shape[:-1]
+    zero = zero[..., None, :]
+    w = np.zeros((*shape, rows, m + 1))
+    w[..., 0] = 1.0
     for size in range(1, m + 1):        # extend by feature size - 1
-        o, z = one[:, size - 1], zero[size - 1]
+        o, z = one[:, size - 1], zero[..., size - 1:size]
         k = np.arange(size)
-        grown = w[:, :size] * (o[:, None] * (k + 1) / (size + 1))
-        w[:, :size] *= z * (size - k) / (size + 1)
-        w[:, 1:size + 1] += grown
-    total = np.zeros((rows, m))
+        grown = w[..., :size] * (o[:, None] * (k + 1) / (size + 1))
+        w[..., :size] *= z * (size - k) / (size + 1)
+        w[..., 1:size + 1] += grown
+    total = np.zeros((*shape, rows, m))
     for f in range(m):                  # unwind it
-        o, z = one[:, f] > 0, zero[f]
-        n = w[:, m].copy()
+        o, z = one[:, f] > 0, zero[..., f]
+        n = w[..., m].copy()
         for j in range(m - 1, -1, -1):
             with_it = n * (m + 1) / (j + 1)
-            total[:, f] += np.where(o, with_it, w[:, j] * (m + 1) / (z * (m - j)))
-            n = w[:, j] - with_it * z * (m - j) / (m + 1)
+            total[..., f] += np.where(o, with_it, w[..., j] * (m + 1) / (z * (m - j)))
+            n = w[..., j] - with_it * z * (m - j) / (m + 1)
     return total
 
 
+def patterns(m: int) -> np.ndarray:
+    """Every 0/1 row of m features; row i has the bits of i."""
+    return ((np.arange(1 << m)[:, None] >> np.arange(m)) & 1).astype(float)
+
+
+def _alike(codes: np.ndarray, tree: Tree, n_numeric: int, ranks: list) -> tuple:
+    """A row of each kind that the tree's conditions tell apart, and the number
+    of every row's kind.  ``ranks``: per column its distinct codes and where
+    every row's code stands among them."""
+    column, code, inner = (np.array(x) for x in (tree.column, tree.code, tree.left))
+    classes = []
+    for c in np.unique(column[inner >= 0]):
+        cuts = np.unique(code[(inner >= 0) & (column == c)])
+        values, place = ranks[c]
+        k = np.searchsorted(cuts, values)
+        if c >= n_numeric:      # a level of its own, or one of the others
+            k = np.where(cuts[np.minimum(k, len(cuts) - 1)] == values, k + 1, 0)
+        classes.append(k[place])
+    return distinct_rows(classes)
+
+
+def explain(codes: np.ndarray, trees: list[Tree], paths: list[list[Path]], width: int,
+            n_numeric: int) -> tuple[np.ndarray, np.ndarray]:
+    """SHAP values, features x rows, and the sum of the trees' values.  Each
+    tree is worked out for one row of every kind that it tells apart."""
+    phi, total = np.zeros((width, len(codes))), np.zeros(len(codes))
+    if not len(codes):
+        return phi, total
+    ranks = [np.unique(x, return_inverse=True) for x in codes.T]
+    for tree, leaves in zip(trees, paths):
+        if tree.left[0] < 0:
+            total += tree.value[0]
+            continue
+        first, kind = _alike(codes, tree, n_numeric, ranks)
+        few = codes[first]
+        total += np.array(tree.value)[tree.walk(few, n_numeric)][kind]
+        for f, x in _tree_values(few, tree, leaves, n_numeric).items():
+            phi[f] += x[kind]
+    return phi, total
+
+
 def contributions(codes: np.ndarray, trees: list[Tree], paths: list[list[Path]], width: int,
                   n_numeric: int) -> np.ndarray:
     """SHAP values, features x rows."""
-    phi = np.zeros((width, len(codes)))
-    for tree, leaves in zip(trees, paths):
-        column, code = np.array(tree.column), np.array(tree.code)
-        x = codes[:, column].T
-        low = np.where((column < n_numeric)[:, None], x <= code[:, None], x != code[:, None])
-        for leaf in leaves:
-            if not leaf.features:
-                continue
-            followed = np.ones((len(leaf.features), len(codes)), bool)
+    return explain(codes, trees, paths, width, n_numeric)[0]
+
+
+def _tree_values(codes: np.ndarray, tree: Tree, leaves: list[Path], n_numeric: int) -> dict:
+    """SHAP values of one tree, by feature."""
+    column, code = np.array(tree.column), np.array(tree.code)
+    inner = np.flatnonzero(np.array(tree.left) >= 0)
+    low = {i: codes[:, column[i]] <= code[i] if column[i] < n_numeric
+           else codes[:, column[i]] != code[i] for i in inner}
+    # Leaves with equally many features share the work on all their patterns.
+    by_size: dict[int, list[Path]] = {}
+    for leaf in leaves:
+        by_size.setdefault(len(leaf.features), []).append(leaf)
+    phi = {f: np.zeros(len(codes)) for leaf in leaves for f in leaf.features}
+    for m, alike in by_size.items():
+        shared = None
+        if m <= TABLE_FEATURES:
+            one = patterns(m)
+            zero = np.array([leaf.zero for leaf in alike])
+            shared = path_weights(one, zero) * (one - zero[:, None]) \
+                * np.array([leaf.value for leaf in alike])[:, None, None]
+        for number, leaf in enumerate(alike):
+            followed = np.ones((m, len(codes)), bool)
             for k, conditions in enumerate(leaf.conditions):
                 for node, left in conditions:
                     followed[k] &= low[node] if left else ~low[node]
-            # Equal patterns share a result.
-            bits = (followed << np.arange(len(leaf.features))[:, None]).sum(axis=0)
-            kinds, at = np.unique(bits, return_inverse=True)
-            one = ((kinds[:, None] >> np.arange(len(leaf.features))) & 1).astype(float)
-            value = path_weights(one, leaf.zero) * (one - leaf.zero) * leaf.value
+            if shared is not None:
+                at, value = np.zeros(len(codes), np.int64), shared[number]
+                for k in range(m):
+                    at += followed[k].astype(np.int64) << k
+            else:               # the patterns that are met
+                kinds, at = distinct_rows(followed.astype(np.int64))
+                one = followed[:, kinds].T.astype(float)
+                value = path_weights(one, leaf.zero) * (one - leaf.zero) * leaf.value
             for k, f in enumerate(leaf.features):
-                phi[f] += value[at, k]
+                phi[f] += value[:, k].take(at)
     return phi
 
 
+def chunks(batches, rows: int | None = None):
+    """The batches, joined to at least ``rows`` rows where there are as many."""
+    rows = rows or CHUNK
+    held = []
+    for b in batches:
+        held.append(b)
+        if sum(len(x) for x in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(len(x) for x in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 class PathExplainer:
     """Distributed SHAP values of a leaf-wise model."""
 
@@ -128,7 +205,9 @@ class PathExplainer:
         self.shared = model.spark.sparkContext.broadcast((model.trees, self.paths))
 
     def _spread(self, rows: DataFrame) -> DataFrame:
-        return rows.repartition(int(self.model.spark.conf.get("spark.sql.shuffle.partitions")))
+        """Spread by ranges of the codes, so that rows of a task are alike."""
+        return rows.repartitionByRange(
+            int(self.model.spark.conf.get("spark.sql.shuffle.partitions")), *self.model.coding.codes)
 
     def _named(self) -> DataFrame:
         """number, feature of the features that are split on."""
@@ -150,7 +229,7 @@ class PathExplainer:
 
         def run(batches):
             trees, paths = shared.value
-            for b in batches:
+            for b in chunks(batches):
                 n = b.column(len(codes)).to_numpy()
                 phi = contributions(_matrix(b, len(codes)), trees, paths, width, n_numeric)
                 yield pa.RecordBatch.from_arrays(
@@ -169,34 +248,34 @@ class PathExplainer:
 
     def row_values(self, coded: DataFrame, id_col: str, keep: list[str] = ()) -> DataFrame:
         """id, ``keep`` columns, prediction, base_value and ``values``: a row's
-        contribution of each feature that is split on, by the feature's number."""
+        contribution of each feature that is split on, by the feature's number.
+        Rows with equal codes share them, so they are worked out once for each
+        distinct vector of codes and joined to the rows."""
         codes, shared, width, n_numeric = (self.model.coding.codes, self.shared, len(self.used),
                                            self.n_numeric)
-        base, start = self.base_value, self.model.base
-        names = [id_col, *keep]
-        types = ", ".join(f"{c} {coded.schema[c].dataType.simpleString()}" for c in names)
+        start = self.model.base
+        types = ", ".join(f"{c} {coded.schema[c].dataType.simpleString()}" for c in codes)
 
         def run(batches):
             trees, paths = shared.value
-            for b in batches:
-                m = _matrix(b, len(codes))
-                phi = contributions(m, trees, paths, width, n_numeric)
-                total = np.full(len(m), start)
-                for t in trees:
-                    total += np.array(t.value)[t.walk(m, n_numeric)]
+            for b in chunks(batches):
+                phi, total = explain(_matrix(b, len(codes)), trees, paths, width, n_numeric)
                 lists = pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(m) + 1, dtype=np.int32) * width), pa.array(phi.T.ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns[len(codes):], pa.array(total), pa.array(np.full(len(m), base)), lists],
-                    names=[*names, "prediction", "base_value", "values"])
-        return coded.select(*codes, *names).mapInArrow(
-            run, f"{types}, prediction double, base_value double, values array<double>")
+                    pa.array(np.arange(len(b) + 1, dtype=np.int32) * width), pa.array(phi.T.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total + start), lists],
+                                                 names=[*codes, "prediction", "values"])
+        kinds = self._spread(coded.select(*codes).distinct()).mapInArrow(
+            run, f"{types}, prediction double, values array<double>")
+        return coded.select(*codes, id_col, *keep).join(kinds.hint("shuffle_hash"), codes).select(
+            id_col, *keep, "prediction", F.lit(self.base_value).alias("base_value"), "values")
 
     def long(self, coded: DataFrame, id_col: str) -> DataFrame:
         """id, feature, shap_value, with a ``__base__`` row per id."""
         rows = self.row_values(coded, id_col).select(
             id_col, "base_value", F.posexplode("values").alias("number", "shap_value"))
-        named = rows.join(self._named().select("number", "feature"), "number") \
+        # One row per feature that the model splits on.
+        names = F.broadcast(self._named().where("number IS NOT NULL").select("number", "feature"))
+        named = rows.join(names, "number") \
             .select(id_col, "feature", "shap_value")
         base = coded.select(id_col, F.lit(BASE).alias("feature"),
                             F.lit(self.base_value).alias("shap_value"))
