@@ -445,7 +445,10 @@ bins AS (SELECT col, row_number() OVER (PARTITION BY col ORDER BY upper)::INTEGE
 
 
 def _coded(spark, sf_dir):
-    rows = drv.driver_rows(star_from_tpch(spark, sf_dir), FilterSpec())
+    from salescope.session import materialize, ship_package
+    ship_package(spark)
+    # Read for the bins, the levels and the codes: joined and written once.
+    rows = materialize(drv.driver_rows(star_from_tpch(spark, sf_dir), FilterSpec()), "driver-rows")
     coding, plain = drv.driver_coding(rows)
     return coding, plain
 

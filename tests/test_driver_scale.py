@@ -85,3 +85,11 @@ def test_equal_rows_are_explained_once(dense, spark):
     off = F.abs(F.aggregate("values", F.col("base_value"), lambda s, x: s + x) - F.col("prediction"))
     got = rows.agg(F.count(F.lit(1)), F.countDistinct("id", "copy"), F.max(off)).first()
     assert got[0] == got[1] == 3 * coded.count() and got[2] < 1e-8
+
+
+def test_coding_reads_the_joined_rows_once(spark):
+    """Bins, levels and codes read a staged copy, without the joins."""
+    from salescope.plans.registry import _coded
+    coding, plain = _coded(spark, "/root/testdata/sf0.001")
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plain.count() > 0
