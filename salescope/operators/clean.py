@@ -28,7 +28,7 @@ ORDER = "_row"
 
 # Cleaned text that means "missing".
 UNKNOWN = "Unknown"
-MISSING_AFTER_TITLE = ("Nan", "None", "")
+MISSING_TEXT = ("nan", "none", "")      # in any case
 
 
 def string_columns(df: DataFrame, exclude=()) -> list[str]:
@@ -37,9 +37,11 @@ def string_columns(df: DataFrame, exclude=()) -> list[str]:
 
 
 def standardize_text(c: Column) -> Column:
-    """null → Unknown, strip, title-case, missing spellings → Unknown."""
-    v = title_case(strip_all(F.coalesce(c, F.lit(UNKNOWN))))
-    return F.when(v.isin(*MISSING_AFTER_TITLE), F.lit(UNKNOWN)).otherwise(v)
+    """null → Unknown, strip, title-case, missing spellings → Unknown.  The
+    lambda binds the stripped text, so it is worked out and cased once a row."""
+    stripped = strip_all(F.coalesce(c, F.lit(UNKNOWN)))
+    return F.transform(F.array(stripped), lambda s: F.when(
+        F.lower(s).isin(*MISSING_TEXT), F.lit(UNKNOWN)).otherwise(title_case(s)))[0]
 
 
 def standardize_strings(df: DataFrame) -> DataFrame:

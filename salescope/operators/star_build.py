@@ -77,8 +77,9 @@ def build_stores(clean: DataFrame) -> DataFrame:
     s = df.groupBy("Store_Location").agg(F.min(ORDER).alias("_first"),
                                          rating.cast("double").alias("store_rating"))
     s = dense_index(s, ["_first", "Store_Location"], "store_id")
-    return s.select("store_id", F.col("Store_Location").alias("store_location"),
-                    "store_rating")
+    # Staged: of known size, so the facts' lookup can broadcast a small one.
+    return write_staging(s.select("store_id", F.col("Store_Location").alias("store_location"),
+                                  "store_rating"), "stores")
 
 
 def build_products(clean: DataFrame) -> DataFrame:
@@ -87,12 +88,11 @@ def build_products(clean: DataFrame) -> DataFrame:
     df = with_defaults(clean)
     p = df.groupBy(*PRODUCT_COLS).agg(F.min(ORDER).alias("_first"))
     p = dense_index(p, ["_first"] + PRODUCT_COLS, "product_id")
-    return p.select("product_id",
-                    F.col("Product_Category").alias("category"),
-                    F.col("Product_Subcategory").alias("subcategory"),
-                    F.col("Brand").alias("brand"),
-                    F.col("Unit_Price").cast("double").alias("unit_price"),
-                    F.coalesce(F.col("Stock_On_Hand").cast("int"), F.lit(0)).alias("stock_on_hand"))
+    return write_staging(p.select(
+        "product_id", F.col("Product_Category").alias("category"),
+        F.col("Product_Subcategory").alias("subcategory"), F.col("Brand").alias("brand"),
+        F.col("Unit_Price").cast("double").alias("unit_price"),
+        F.coalesce(F.col("Stock_On_Hand").cast("int"), F.lit(0)).alias("stock_on_hand")), "products")
 
 
 def product_lookup(products: DataFrame) -> DataFrame:
