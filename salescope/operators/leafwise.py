@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 import os
 from dataclasses import dataclass, field
 
@@ -106,8 +107,24 @@ def level_dictionary(df: DataFrame, strings: list[str]) -> DataFrame:
         (F.col("id") == F.col("low")).alias("first"))
 
 
-def _number_below(edges: Column, x: Column) -> Column:
-    return F.size(F.filter(edges, lambda e: e < x))
+def edge_groups(edges: list[float]) -> list[list[float]]:
+    """The edges in groups of about the root of their number."""
+    step = math.isqrt(max(len(edges) - 1, 0)) + 1
+    return [edges[i:i + step] for i in range(0, len(edges), step)]
+
+
+def _number_below(edges: list[float], x: Column) -> Column:
+    """How many of the sorted edges are below x: only the group that x falls
+    into is looked at, after the groups' last edges."""
+    if not edges:
+        return F.lit(0)
+    groups = edge_groups(edges)
+    every = F.array(*[F.array(*map(F.lit, g)) for g in groups])
+    lasts = F.array(*[F.lit(g[-1]) for g in groups[:-1]]).cast("array<double>")
+    at = F.size(F.filter(lasts, lambda e: e < x))
+    # A lambda variable, so that the group is looked for once.
+    return F.transform(F.array(at), lambda k: k * len(groups[0]) + F.size(
+        F.filter(F.get(every, k), lambda e: e < x)))[0]
 
 
 @dataclass
@@ -130,9 +147,8 @@ class Coding:
         out = df
         for i, (c, up) in enumerate(zip(self.numeric, self.uppers)):
             x = F.col(c).cast("double")
-            edges = F.array(*map(F.lit, up)) if up else F.array().cast("array<double>")
             out = out.withColumn(f"c{i}", F.when(x.isNull(), F.lit(0)).otherwise(
-                F.least(_number_below(edges, x), F.lit(max(len(up) - 1, 0))) + 1).cast("int"))
+                F.least(_number_below(up, x), F.lit(max(len(up) - 1, 0))) + 1).cast("int"))
         for j, c in enumerate(self.strings):
             name = f"c{len(self.numeric) + j}"
             mine = self.levels.where(F.col("column") == j).select(

@@ -93,3 +93,16 @@ def test_coding_reads_the_joined_rows_once(spark):
     coding, plain = _coded(spark, "/root/testdata/sf0.001")
     plan = plain._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plain.count() > 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 16, 17, 212, 255])
+def test_codes_look_at_one_group_of_edges(spark, n):
+    """A row is compared with some 2 sqrt(n) of n edges, and gets the number of
+    all that are below it."""
+    edges = [float(i * i) for i in range(n)]
+    groups = lw.edge_groups(edges)
+    assert sum(groups, []) == edges and len(groups) + max(map(len, groups), default=0) <= 33
+    xs = sorted({x + d for x in edges for d in (-0.5, 0.0, 0.5)} | {-1.0, 1e9, float("inf")})
+    got = spark.createDataFrame([(x,) for x in [*xs, float("nan")]], "x double").select(
+        "x", lw._number_below(edges, F.col("x")).alias("k")).collect()
+    assert [r["k"] for r in got] == [sum(e < x for e in edges) for x in xs] + [n]
