@@ -14,8 +14,8 @@ anchor as payload; equal suffixes with equal payload of a run are one entry.  A
 merges its runs with a loser tree that carries every contender's common prefix
 with the last winner: prefixes already known to agree are never compared again,
 and the merged common prefix lengths delimit the groups of equal blocks.  In a
-group, windows equal at equal offset from the anchor are counted over all
-entries; those met twice are covered.
+group, windows equal at equal offset from the anchor are found by the classes
+of their two parts; those met twice are covered.
 
 Cases: a null text counts as empty; texts shorter than SPAN lose nothing;
 texts are read whole, matches never cross documents; overlapping and
@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +47,7 @@ FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB
            0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 RUN_BYTES = 48 << 20
 FEW = 16        # entries of a group that are compared pair by pair
+CELLS = 1 << 20 # entries times offsets that are looked at together
 
 
 def rolling(a: np.ndarray) -> np.ndarray:
@@ -243,38 +243,51 @@ def pairwise(group: list) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def by_classes(group: list) -> tuple[np.ndarray, np.ndarray]:
+    """As ``pairwise``, for many entries.  Windows at one offset are equal if
+    their parts after the anchor and before it are: entries stand in the order
+    of the first, and in another order of the second, so that neighbours'
+    common lengths number the classes of either part."""
+    m = len(group)
+    right, left, times = (np.array([len(x[i]) for x in group]) for i in (1, 2, 3))
+    shared = np.array([x[0] for x in group])
+    back = [x[2][::-1] for x in group]
+    order = np.array(sorted(range(m), key=back.__getitem__))
+    before = np.array([0] + [common(back[a], back[b], 0) for a, b in zip(order, order[1:])])
+    least, most = np.full(m, SPAN), np.full(m, -1)
+    step = max(1, CELLS // m)
+    for at in range(0, SPAN - BLOCK + 1, step):
+        offset = np.arange(at, min(at + step, SPAN - BLOCK + 1))[:, None]
+        key = np.empty((len(offset), m), np.int64)
+        key[:, order] = np.cumsum(before < offset, axis=1)
+        key += np.cumsum(shared < SPAN - offset, axis=1) * (m + 1)
+        whole = (right >= SPAN - offset) & (left >= offset)
+        key = np.where(whole, key, -1 - np.arange(m))       # like no other
+        by_key = np.argsort(key, axis=1)
+        key = np.take_along_axis(key, by_key, 1)
+        same = key[:, 1:] == key[:, :-1]
+        met = np.zeros(key.shape, bool)
+        met[:, 1:] |= same
+        met[:, :-1] |= same
+        hit = np.empty(key.shape, bool)
+        np.put_along_axis(hit, by_key, met, 1)
+        hit |= whole & (times > 1)
+        least = np.minimum(least, np.where(hit, offset, SPAN).min(axis=0))
+        most = np.maximum(most, np.where(hit, offset, -1).max(axis=0))
+    return least, most
+
+
 def covered(group: list) -> Iterator[tuple[int, int, int]]:
-    """(row, start, end) of the repeated windows of entries with one block."""
+    """(row, start, end) of the repeated windows of entries with one block.
+    Neighbouring windows overlap: only a gap of SPAN or more would part them,
+    and offsets span less."""
     if len(group) == 1 and len(group[0][3]) < 2:
         return
-    if len(group) <= FEW:
-        spread = pairwise(group)
-        for (_, right, left, occ), (least, most) in zip(group, spread):
-            if most >= least:
-                for row, pos in occ.tolist():
-                    yield row, pos - most, pos - least + SPAN
-        return
-
-    def windows(right: bytes, left: bytes):
-        text = left + right
-        for o in range(max(0, SPAN - len(right)), min(len(left), SPAN - BLOCK) + 1):
-            yield o, text[len(left) - o:len(left) - o + SPAN]
-
-    seen: Counter = Counter()
-    for _, right, left, occ in group:
-        for o, w in windows(right, left):
-            seen[hash((o, w))] += len(occ)
-    for _, right, left, occ in group:
-        if len(occ) > 1:
-            offsets = [o for o, _ in windows(right, left)]
-        else:
-            offsets = [o for o, w in windows(right, left) if seen[hash((o, w))] > 1]
-        if not offsets:
-            continue
-        # Neighbouring windows overlap: only a gap of SPAN or more would part
-        # them, and offsets span less.
-        for row, pos in occ.tolist():
-            yield row, pos - offsets[-1], pos - offsets[0] + SPAN
+    spread = pairwise(group) if len(group) <= FEW else zip(*(x.tolist() for x in by_classes(group)))
+    for (_, _, _, occ), (least, most) in zip(group, spread):
+        if most >= least:
+            for row, pos in occ.tolist():
+                yield row, pos - most, pos - least + SPAN
 
 
 # --------------------------------------------------------------------- the job

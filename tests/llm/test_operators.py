@@ -382,3 +382,35 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert rows and 7 not in ids            # contaminated
     assert not ids & {35, 36, 37}           # copies of document 5
     assert not ids & {0, 1, 2, 3, 4}        # too short
+
+
+def test_large_groups_compare_windows_themselves(monkeypatch):
+    """Not their hashes: the same as every pair of entries, and as every window."""
+    from salescope.llm import suffix_dedup as sd
+    monkeypatch.setattr(sd, "hash", lambda x: 0, raising=False)
+    monkeypatch.setattr(sd, "CELLS", 500, raising=False)
+    rng = random.Random(11)
+    block = bytes(rng.choice(b"xyz") for _ in range(sd.BLOCK))
+
+    def grown(n):
+        return bytes(rng.choice(b"aaaaaaaaab") for _ in range(n))
+    tails, heads = ([grown(sd.SPAN) for _ in range(4)] for _ in range(2))
+    rows = []
+    for i in range(60):
+        cut, at = rng.randrange(sd.SPAN), rng.randrange(sd.SPAN)
+        right = (block + rng.choice(tails)[:cut] + grown(sd.SPAN))[:rng.choice([sd.SPAN, sd.SPAN, 90])]
+        left = (grown(sd.SPAN) + rng.choice(heads)[sd.SPAN - at:])[-rng.choice([160, 160, 30]):]
+        rows.append((right, left, i, 1000))
+    rows = sorted(rows + [(*rows[0][:2], 60, 1000)])
+    group = list(sd.merge_runs([sd.read_run(*sd.front_code(rows))]))
+    assert len(group) > sd.FEW
+    seen = Counter((o, (left + right)[len(left) - o:len(left) - o + sd.SPAN])
+                   for right, left, _, _ in rows
+                   for o in range(max(0, sd.SPAN - len(right)), min(len(left), sd.SPAN - sd.BLOCK) + 1))
+    want = []
+    for right, left, row, pos in rows:
+        met = [o for o in range(max(0, sd.SPAN - len(right)), min(len(left), sd.SPAN - sd.BLOCK) + 1)
+               if seen[o, (left + right)[len(left) - o:len(left) - o + sd.SPAN]] > 1]
+        if met:
+            want.append((row, pos - met[-1], pos - met[0] + sd.SPAN))
+    assert 2 < len(want) < len(rows) and sorted(sd.covered(group)) == sorted(want)
