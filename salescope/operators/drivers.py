@@ -4,6 +4,7 @@ and the plain-language booster / reducer explanation built on it."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,9 +60,9 @@ def driver_coding(rows: DataFrame) -> tuple[Coding, DataFrame]:
 
 @dataclass
 class DriverModel:
-    """``matrix``: every row with its codes, in the order of transaction_id;
-    ``vectors``: distinct codes with the number of rows and sum of the target."""
-    matrix: DataFrame
+    """``plain``: every row as it is coded; ``vectors``: distinct codes with the
+    number of rows and sum of the target."""
+    plain: DataFrame
     vectors: DataFrame
     model: LeafwiseModel
     explainer: PathExplainer
@@ -70,6 +71,16 @@ class DriverModel:
     def coding(self) -> Coding:
         return self.model.coding
 
+    @cached_property
+    def matrix(self) -> DataFrame:
+        """Every row with its codes, in the order of transaction_id.  Written on
+        first use: the model and the means of its SHAP values need the vectors
+        only.  Rows are put in order before they are coded, as the ranges are
+        found by a look at what is to be ordered."""
+        n = int(self.plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return materialize(self.coding.encode(self.plain.repartitionByRange(n, ID))
+                           .sortWithinPartitions(ID), "driver-matrix")
+
     def feature_frame(self) -> DataFrame:
         return self.coding.features().select("feature_index", "feature", "source", "level")
 
@@ -83,18 +94,16 @@ def fit_drivers(star: Star, spec: FilterSpec, rounds: int = 500, step_size: floa
                 max_leaves: int = 31, max_depth: int | None = None, seed: int = 42,
                 min_rows: int = 20, feature_fraction: float = 0.8) -> DriverModel:
     """Leaf-wise boosted trees on every filtered row; ``max_depth`` d allows at
-    most 2^d leaves.  Rows are read once and written with their codes."""
+    most 2^d leaves.  Rows are joined and written once, coded as they are
+    collapsed to vectors."""
     rows = materialize(driver_rows(star, spec, with_id=True), "driver-rows")
     if rows.isEmpty():
         raise ValueError("no data for the selected filters")
     coding, plain = driver_coding(rows)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    matrix = materialize(coding.encode(plain).repartitionByRange(n, ID)
-                         .sortWithinPartitions(ID), "driver-matrix")
-    vectors = materialize(collapse(matrix, coding.codes, TARGET), "driver-vectors")
+    vectors = materialize(collapse(coding.encode(plain), coding.codes, TARGET), "driver-vectors")
     leaves = max_leaves if max_depth is None else min(max_leaves, 2 ** max_depth)
     model = fit_leafwise(coding, vectors, rounds, step_size, leaves, min_rows, feature_fraction, seed)
-    return DriverModel(matrix, vectors, model, PathExplainer(model))
+    return DriverModel(plain, vectors, model, PathExplainer(model))
 
 
 def sample_by_id(df: DataFrame, n: int, seed: int = 42, id_col: str = ID) -> DataFrame:
@@ -109,7 +118,7 @@ def shap_stats(dm: DriverModel, sample_rows: int | None = None, seed: int = 42)
     """feature_index, feature, source, level, mean_shap, mean_abs_shap over all
     rows (default) or over a repeatable sample of ``sample_rows`` rows."""
     vectors = dm.vectors if not sample_rows else collapse(
-        sample_by_id(dm.matrix, sample_rows, seed), dm.coding.codes, TARGET)
+        dm.coding.encode(sample_by_id(dm.plain, sample_rows, seed)), dm.coding.codes, TARGET)
     return dm.explainer.feature_stats(vectors)
 
 
@@ -186,6 +195,11 @@ def local_explanation(dm: DriverModel, ids: list[int]) -> DataFrame:
     return dm.explainer.long(dm.lookup(ids), ID)
 
 
+def all_explanations(dm: DriverModel) -> DataFrame:
+    """The same of every transaction; their distinct codes are the vectors."""
+    return dm.explainer.long(dm.coding.encode(dm.plain), ID, dm.vectors)
+
+
 def analyze_drivers(star: Star, spec: FilterSpec = FilterSpec(), **fit_args) -> dict:
     dm = fit_drivers(star, spec, **fit_args)
     imp = global_importance(dm)

@@ -246,11 +246,13 @@ class PathExplainer:
             F.coalesce("mean_shap", zero).alias("mean_shap"),
             F.coalesce("mean_abs_shap", zero).alias("mean_abs_shap"))
 
-    def row_values(self, coded: DataFrame, id_col: str, keep: list[str] = ()) -> DataFrame:
+    def row_values(self, coded: DataFrame, id_col: str, keep: list[str] = (),
+                   vectors: DataFrame | None = None) -> DataFrame:
         """id, ``keep`` columns, prediction, base_value and ``values``: a row's
         contribution of each feature that is split on, by the feature's number.
         Rows with equal codes share them, so they are worked out once for each
-        distinct vector of codes and joined to the rows."""
+        distinct vector of codes and joined to the rows.  ``vectors``: these,
+        where they are known."""
         codes, shared, width, n_numeric = (self.model.coding.codes, self.shared, len(self.used),
                                            self.n_numeric)
         start = self.model.base
@@ -264,19 +266,18 @@ class PathExplainer:
                     pa.array(np.arange(len(b) + 1, dtype=np.int32) * width), pa.array(phi.T.ravel()))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total + start), lists],
                                                  names=[*codes, "prediction", "values"])
-        kinds = self._spread(coded.select(*codes).distinct()).mapInArrow(
+        distinct = coded.select(*codes).distinct() if vectors is None else vectors.select(*codes)
+        kinds = self._spread(distinct).mapInArrow(
             run, f"{types}, prediction double, values array<double>")
         return coded.select(*codes, id_col, *keep).join(kinds.hint("shuffle_hash"), codes).select(
             id_col, *keep, "prediction", F.lit(self.base_value).alias("base_value"), "values")
 
-    def long(self, coded: DataFrame, id_col: str) -> DataFrame:
-        """id, feature, shap_value, with a ``__base__`` row per id."""
-        rows = self.row_values(coded, id_col).select(
-            id_col, "base_value", F.posexplode("values").alias("number", "shap_value"))
+    def long(self, coded: DataFrame, id_col: str, vectors: DataFrame | None = None) -> DataFrame:
+        """id, feature, shap_value, with a ``__base__`` row per id.  The base
+        follows a row's values, so that the rows are read once."""
+        rows = self.row_values(coded, id_col, vectors=vectors).select(id_col, F.posexplode(
+            F.concat("values", F.array("base_value"))).alias("number", "shap_value"))
         # One row per feature that the model splits on.
-        names = F.broadcast(self._named().where("number IS NOT NULL").select("number", "feature"))
-        named = rows.join(names, "number") \
-            .select(id_col, "feature", "shap_value")
-        base = coded.select(id_col, F.lit(BASE).alias("feature"),
-                            F.lit(self.base_value).alias("shap_value"))
-        return named.unionByName(base)
+        names = self._named().where("number IS NOT NULL").select("number", "feature").unionByName(
+            self.model.spark.createDataFrame([(len(self.used), BASE)], "number int, feature string"))
+        return rows.join(F.broadcast(names), "number").select(id_col, "feature", "shap_value")

@@ -1099,8 +1099,7 @@ def load_repeated(spark, sf_dir):
 
 @register("local_explanation")
 def local_explanation(spark, sf_dir):
-    dm = _driver_model(spark, sf_dir)
-    return dm.explainer.long(dm.matrix, drv.ID)
+    return drv.all_explanations(_driver_model(spark, sf_dir))
 
 
 @register("gain_importance")

@@ -106,3 +106,42 @@ def test_codes_look_at_one_group_of_edges(spark, n):
     got = spark.createDataFrame([(x,) for x in [*xs, float("nan")]], "x double").select(
         "x", lw._number_below(edges, F.col("x")).alias("k")).collect()
     assert [r["k"] for r in got] == [sum(e < x for e in edges) for x in xs] + [n]
+
+
+def test_rows_are_ordered_by_id_only_for_lookups(ref_star):
+    """The model and the means of its SHAP values write the vectors, not a copy
+    of every row; the sample is coded after it is taken."""
+    from salescope.operators import drivers as drv
+    from salescope.operators.filters import FilterSpec
+    from salescope.session import recorded_tables
+    with recorded_tables() as paths:
+        dm = drv.fit_drivers(ref_star, FilterSpec(), rounds=3)
+        assert dm.model.importance("split").count() > 0 and drv.explain_entries(dm).count() > 0
+        sampled = drv.shap_stats(dm, 50)
+        assert sampled.count() == dm.feature_frame().count()
+        assert not [p for p in paths if "driver-matrix" in p]
+        kept = drv.sample_by_id(dm.matrix, 50).select(drv.ID).collect()
+        assert [p for p in paths if "driver-matrix" in p]
+    assert sorted(kept) == sorted(drv.sample_by_id(dm.plain, 50).select(drv.ID).collect())
+    assert dm.matrix.count() == dm.plain.count() == dm.vectors.agg(F.sum("n")).first()[0]
+
+
+def test_every_row_is_explained_from_one_read(ref_star):
+    """The given vectors' values and the base are joined to the rows in one
+    pass: as many rows as by looking each up, and the same values."""
+    from salescope.operators import drivers as drv
+    from salescope.operators.filters import FilterSpec
+    dm = drv.fit_drivers(ref_star, FilterSpec(), rounds=3)
+    out = drv.all_explanations(dm)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transaction_id#") and len(
+        [x for x in plan.splitlines() if "Relation [" in x and "transaction_id#" in x]) == 1
+    width = len(dm.explainer.used) + 1
+    assert out.count() == width * dm.plain.count()
+    ids = [r[0] for r in dm.plain.select(drv.ID).distinct().limit(20).collect()]
+    one = drv.local_explanation(dm, ids)
+    got = out.where(F.col(drv.ID).isin(ids)).groupBy(drv.ID, "feature").agg(F.sum("shap_value").alias("v"))
+    want = one.groupBy(drv.ID, "feature").agg(F.sum("shap_value").alias("w"))
+    both = got.join(want, [drv.ID, "feature"], "full")
+    assert both.count() == want.count()
+    assert both.where("v IS NULL OR w IS NULL OR abs(v - w) > 1e-9").count() == 0
