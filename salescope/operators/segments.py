@@ -112,23 +112,30 @@ def default_estimator(k: int, seed: int, max_iter: int):
                   predictionCol="raw_cluster")
 
 
+def staged_metrics(star: Star, spec: FilterSpec) -> DataFrame:
+    """One row per store, read by the bounds, every restart and the assignment
+    of each fit: written once to the shared checkpoint folder so the fact join
+    and aggregation run a single time."""
+    checkpoint_dir(star.transactions.sparkSession)
+    return store_metrics(star, spec).checkpoint(eager=True)
+
+
 def segment_stores(star: Star, n_clusters: int = 4, days: int = 0,
                    category: str | None = None, n_init: int = 10, seed: int = 42,
-                   max_iter: int = 300, make_estimator=None) -> SegmentResult:
+                   max_iter: int = 300, make_estimator=None,
+                   metrics: DataFrame | None = None) -> SegmentResult:
     """Fit k-means ``n_init`` times (all restarts share each pass, k-means||
     initialisation), keep the lowest cost, then rename clusters so that id 0
     has the highest centroid revenue before labelling.
 
     ``make_estimator(k, seed, max_iter)`` may return any MLlib clustering
     estimator whose model has ``clusterCenters()`` and ``summary.trainingCost``
-    (e.g. ``BisectingKMeans``)."""
+    (e.g. ``BisectingKMeans``).  ``metrics``: those of the same filters, where
+    ``staged_metrics`` has worked them out."""
     if n_clusters < 1:
         raise ValueError("n_clusters must be >= 1")
-    # One row per store, read by the bounds, every restart and the
-    # assignment: written once to the shared checkpoint folder so the fact
-    # join and aggregation run a single time.
-    checkpoint_dir(star.transactions.sparkSession)
-    metrics = store_metrics(star, FilterSpec(days=days, category=category)).checkpoint(eager=True)
+    if metrics is None:
+        metrics = staged_metrics(star, FilterSpec(days=days, category=category))
     scaled = assemble(min_max_scale(metrics, FEATURES), SCALED).persist()
     n = scaled.count()
     if n == 0:

@@ -57,3 +57,22 @@ def test_more_clusters_than_points(spark):
     df = materialize(spark.createDataFrame([(i, 1.0, 1.0) for i in range(5)], "id long, x double, y double"), "p")
     fit = fused_kmeans(df, COLS, "id", 3, restarts=2)[0]
     assert fit.inertia == 0 and fit.centres.shape == (3, 2)
+
+
+def test_inertia_for_several_k_reads_the_facts_once(spark, monkeypatch):
+    """The metrics per store are worked out once for all numbers of segments,
+    and give the inertia of a fit on its own."""
+    from salescope.operators import segments as seg
+    from salescope.operators.filters import FilterSpec
+    from salescope.plans.registry import segment_inertia
+    from salescope.sources.star import star_from_tpch
+    calls, plain = [], seg.store_metrics
+
+    def counted(*args):
+        calls.append(args)
+        return plain(*args)
+    monkeypatch.setattr(seg, "store_metrics", counted)
+    got = {r["n_clusters"]: r["inertia"] for r in segment_inertia(spark, "/root/testdata/sf0.001").collect()}
+    assert len(calls) == 1 and sorted(got) == [2, 4, 8]
+    alone = seg.segment_stores(star_from_tpch(spark, "/root/testdata/sf0.001"), n_clusters=4).inertia
+    assert abs(alone - got[4]) < 1e-9 * max(1.0, alone)
