@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 # ("e-wallet o'brien" -> "E-Wallet O'Brien"); Spark's initcap only splits on
 # spaces.  Runs of letters / non-letters are cased separately.
 _TOKENS = r"(\p{L}+|[^\p{L}]+)"
+# Printable ASCII whose letters follow a letter, a space or nothing: there
+# initcap gives the same.
+_PLAIN = r"^(?:[A-Za-z ]++|[!-@\[-`{-~]++(?![A-Za-z]))*+\z"
+_SPACES = " \t\n\x0b\f\r"
 
 
 def title_case(c: Column) -> Column:
-    return F.array_join(
-        F.transform(F.regexp_extract_all(c, F.lit(_TOKENS), 1), lambda t: F.initcap(t)), "")
+    runs = F.transform(F.regexp_extract_all(c, F.lit(_TOKENS), 1), lambda t: F.initcap(t))
+    return F.when(c.rlike(_PLAIN), F.initcap(c)).otherwise(F.array_join(runs, ""))
 
 
 def strip_all(c: Column) -> Column:
     """Remove leading/trailing whitespace of every kind (not only spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(_SPACES))
 
 
 def feature_display_name(feature: Column, source: Column | None = None,

@@ -39,17 +39,24 @@ def string_columns(df: DataFrame, exclude=()) -> list[str]:
 def standardize_text(c: Column) -> Column:
     """null → Unknown, strip, title-case, missing spellings → Unknown.  The
     lambda binds the stripped text, so it is worked out and cased once a row."""
-    stripped = strip_all(F.coalesce(c, F.lit(UNKNOWN)))
-    return F.transform(F.array(stripped), lambda s: F.when(
+    return F.transform(F.array(_present(c)), lambda s: F.when(
         F.lower(s).isin(*MISSING_TEXT), F.lit(UNKNOWN)).otherwise(title_case(s)))[0]
 
 
+def _present(c: Column) -> Column:
+    return strip_all(F.coalesce(c, F.lit(UNKNOWN)))
+
+
 def standardize_strings(df: DataFrame) -> DataFrame:
-    """Text columns except the critical ones (a null date must stay null so
-    the critical-field rule can drop it)."""
-    cols = set(string_columns(df, exclude=CRITICAL + (ORDER,)))
-    return df.select(*[standardize_text(F.col(c)).alias(c) if c in cols else F.col(c)
-                       for c in df.columns])
+    """``standardize_text`` of the text columns except the critical ones (a null
+    date must stay null so the critical-field rule can drop it).  A projection
+    per step: each result is worked out once a row, by generated code."""
+    cols = string_columns(df, exclude=CRITICAL + (ORDER,))
+    missing = [t.capitalize() for t in MISSING_TEXT]
+    for step in (_present, title_case,
+                 lambda t: F.when(t.isin(*missing), F.lit(UNKNOWN)).otherwise(t)):
+        df = df.withColumns({c: step(F.col(c)) for c in cols}) if cols else df
+    return df
 
 
 def critical_missing(df: DataFrame) -> Column:
@@ -118,13 +125,20 @@ def clean_sales(raw: DataFrame, materialize: bool = True) -> CleanResult:
     """Run the cleaning steps; ``rows`` keeps ``_row`` as the first position
     at which each distinct cleaned row appeared.
 
-    With ``materialize`` the standardised, flagged input and the cleaned rows
-    are each written once as Parquet staging tables in the shared checkpoint
-    folder, and the report's counts are metrics observed while they are
-    written, so nothing is scanned for the report.  Without it all is lazy and
-    the report runs its own aggregates.
+    With ``materialize`` the distinct standardised rows are written once as a
+    Parquet staging table in the shared checkpoint folder (``_staged_clean``),
+    and the report's counts are metrics observed while it is written, so
+    nothing is scanned for the report.  Without it all is lazy and the report
+    runs its own aggregates.
     """
     std = standardize_strings(raw)
+    data_cols = [c for c in raw.columns if c != ORDER]
+    if materialize:
+        rows, median, found = _staged_clean(std, data_cols)
+        rep = raw.sparkSession.range(1).select(*[
+            F.lit(found.get(n) or 0).cast("long").alias(n)
+            for n in ("n_in", "n_crit", "n_anom", "n_rating", "n_disc", "n_out")])
+        return CleanResult(rows, _report(rep), median)
     flagged = std.withColumn("_crit", critical_missing(std)).withColumn(
         "_anom", ~F.col("_crit") & anomalous(std))
     fine = ~F.col("_crit") & ~F.col("_anom")
@@ -136,11 +150,7 @@ def clean_sales(raw: DataFrame, materialize: bool = True) -> CleanResult:
     counts = [F.count(F.lit(1)).alias("n_in"), F.count_if("_crit").alias("n_crit"),
               F.count_if("_anom").alias("n_anom"), filled(MEDIAN_FILL).alias("n_rating"),
               filled(ZERO_FILL).alias("n_disc")]
-    seen = Observation()
-    if materialize:
-        flagged = write_staging(flagged.observe(seen, *counts), "clean-flagged")
     kept = flagged.filter(fine)
-    data_cols = [c for c in raw.columns if c != ORDER]
     if MEDIAN_FILL in raw.columns:
         median = exact_median(kept, MEDIAN_FILL)
         kept = kept.withColumn(MEDIAN_FILL, F.coalesce(F.col(MEDIAN_FILL), median.scalar()))
@@ -153,22 +163,61 @@ def clean_sales(raw: DataFrame, materialize: bool = True) -> CleanResult:
     # a million times moves once per task.
     rows = kept.groupBy(*data_cols).agg(F.min(ORDER).alias(ORDER)).select(ORDER, *data_cols)
     n_out = F.count(F.lit(1)).alias("n_out")
-    if materialize:
-        left = Observation()
-        rows = write_staging(rows.observe(left, n_out), "clean-rows")
-        found = {**seen.get, **left.get}
-        rep = raw.sparkSession.range(1).select(*[
-            F.lit(found.get(n, 0)).cast("long").alias(n)
-            for n in ("n_in", "n_crit", "n_anom", "n_rating", "n_disc", "n_out")])
-    else:
-        rep = flagged.agg(*counts).select("*", rows.agg(n_out).scalar().alias("n_out"))
-    report = rep.withColumn("n_dup", F.expr("n_in - n_crit - n_anom - n_out")).select(F.expr(
+    rep = flagged.agg(*counts).select("*", rows.agg(n_out).scalar().alias("n_out"))
+    return CleanResult(rows, _report(rep), median)
+
+
+def _staged_clean(std: DataFrame, data_cols: list[str]) -> tuple[DataFrame, DataFrame, dict]:
+    """(cleaned rows, median, counts) of standardised rows.
+
+    Rows are collapsed before anything is written: equal ones to one, with
+    their number and first position, missing discounts filled.  The median is
+    taken over these with their numbers.  Filling it in can only make rows
+    equal to those whose rating is the median, so only these and the filled
+    ones are collapsed again.  The counts are observed in the tasks that write,
+    each of which counts once however often a lost stage is run again."""
+    spark = std.sparkSession
+    std = std.withColumn("_no_discount", F.col(ZERO_FILL).isNull()).withColumn(
+        ZERO_FILL, F.coalesce(F.col(ZERO_FILL), F.lit(0.0))) if ZERO_FILL in data_cols \
+        else std.withColumn("_no_discount", F.lit(False))
+    kinds = std.groupBy(*data_cols).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if("_no_discount").alias("_d"),
+        F.min(ORDER).alias(ORDER))
+    crit = critical_missing(kinds)
+    anom = ~crit & anomalous(kinds)
+    fine = ~crit & ~anom
+    no_rating = F.col(MEDIAN_FILL).isNull() if MEDIAN_FILL in data_cols else F.lit(False)
+    seen, left = Observation(), Observation()
+    staged = write_staging(kinds.observe(
+        seen, F.sum("_n").alias("n_in"), F.sum(F.when(crit, F.col("_n"))).alias("n_crit"),
+        F.sum(F.when(anom, F.col("_n"))).alias("n_anom"),
+        F.sum(F.when(fine & no_rating, F.col("_n"))).alias("n_rating"),
+        F.sum(F.when(fine, F.col("_d"))).alias("n_disc"),
+        F.count_if(fine).alias("n_out")), "clean-kinds")
+    found, kept, out = seen.get, staged.where(fine), [ORDER, *data_cols]
+    if MEDIAN_FILL not in data_cols:
+        return kept.select(*out), spark.createDataFrame([(None,)], "median double"), found
+    median = median_from_counts(kept.where(~no_rating).groupBy(F.col(MEDIAN_FILL).alias("v"))
+                                .agg(F.sum("_n").alias("n")))
+    value = median.first()["median"]
+    fill = F.lit(value).cast(median.schema["median"].dataType)
+    alike = no_rating | F.coalesce(F.col(MEDIAN_FILL) == fill, F.lit(False))
+    again = kept.where(alike).withColumn(MEDIAN_FILL, F.coalesce(F.col(MEDIAN_FILL), fill)) \
+        .groupBy(*data_cols).agg(F.min(ORDER).alias(ORDER), F.count(F.lit(1)).alias("_n"))
+    again = write_staging(again.observe(left, F.sum(F.col("_n") - 1).alias("merged"))
+                          .select(*out), "clean-filled")
+    found = {**found, "n_out": (found.get("n_out") or 0) - (left.get.get("merged") or 0)}
+    return (kept.where(~alike).select(*out).unionByName(again),
+            spark.createDataFrame([(value,)], median.schema), found)
+
+
+def _report(rep: DataFrame) -> DataFrame:
+    return rep.withColumn("n_dup", F.expr("n_in - n_crit - n_anom - n_out")).select(F.expr(
         "stack(7, 'input', 0L, 0L, 'standardize_strings', 0L, 0L, "
         "'drop_missing_critical', n_crit, 0L, 'drop_anomalies', n_anom, 0L, "
         "'impute_median_rating', 0L, n_rating, 'impute_zero_discount', 0L, n_disc, "
         "'drop_exact_duplicates', n_dup, 0L) AS (step, rows_removed, cells_filled)"),
         "n_in", "n_out")
-    return CleanResult(rows, report, median)
 
 
 def downcast(df: DataFrame, exclude=MONEY) -> DataFrame:
