@@ -117,8 +117,9 @@ def sample_by_id(df: DataFrame, n: int, seed: int = 42, id_col: str = ID) -> Dat
 def shap_stats(dm: DriverModel, sample_rows: int | None = None, seed: int = 42) -> DataFrame:
     """feature_index, feature, source, level, mean_shap, mean_abs_shap over all
     rows (default) or over a repeatable sample of ``sample_rows`` rows."""
-    vectors = dm.vectors if not sample_rows else collapse(
-        dm.coding.encode(sample_by_id(dm.plain, sample_rows, seed)), dm.coding.codes, TARGET)
+    vectors = dm.vectors if not sample_rows else materialize(collapse(
+        dm.coding.encode(sample_by_id(dm.plain, sample_rows, seed)), dm.coding.codes, TARGET),
+        "driver-sample")
     return dm.explainer.feature_stats(vectors)
 
 

@@ -204,10 +204,14 @@ class PathExplainer:
             for v, c, left in zip(t.value, t.cover, t.left) if left < 0)
         self.shared = model.spark.sparkContext.broadcast((model.trees, self.paths))
 
-    def _spread(self, rows: DataFrame) -> DataFrame:
-        """Spread by ranges of the codes, so that rows of a task are alike."""
-        return rows.repartitionByRange(
-            int(self.model.spark.conf.get("spark.sql.shuffle.partitions")), *self.model.coding.codes)
+    def _spread(self, rows: DataFrame, staged: bool = True) -> DataFrame:
+        """Spread by ranges of the codes, so that rows of a task are alike.  A
+        task works out every tree for each kind of row that it meets, which are
+        about as many for few rows as for a chunk: a task per chunk of rows that
+        are ``staged`` and so can be counted, whatever the setting for shuffles."""
+        tasks = -(-rows.count() // CHUNK) if staged \
+            else int(self.model.spark.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartitionByRange(max(1, tasks), *self.model.coding.codes)
 
     def _named(self) -> DataFrame:
         """number, feature of the features that are split on."""
@@ -252,7 +256,7 @@ class PathExplainer:
         contribution of each feature that is split on, by the feature's number.
         Rows with equal codes share them, so they are worked out once for each
         distinct vector of codes and joined to the rows.  ``vectors``: these,
-        where they are known."""
+        where they are known, staged."""
         codes, shared, width, n_numeric = (self.model.coding.codes, self.shared, len(self.used),
                                            self.n_numeric)
         start = self.model.base
@@ -267,7 +271,7 @@ class PathExplainer:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total + start), lists],
                                                  names=[*codes, "prediction", "values"])
         distinct = coded.select(*codes).distinct() if vectors is None else vectors.select(*codes)
-        kinds = self._spread(distinct).mapInArrow(
+        kinds = self._spread(distinct, vectors is not None).mapInArrow(
             run, f"{types}, prediction double, values array<double>")
         return coded.select(*codes, id_col, *keep).join(kinds.hint("shuffle_hash"), codes).select(
             id_col, *keep, "prediction", F.lit(self.base_value).alias("base_value"), "values")

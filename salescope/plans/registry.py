@@ -424,7 +424,7 @@ def explain_summary(spark, sf_dir):
 @register("shap_values")
 def shap_values(spark, sf_dir):
     dm = _driver_model(spark, sf_dir)
-    return dm.explainer.row_values(dm.matrix, drv.ID)
+    return dm.explainer.row_values(dm.matrix, drv.ID, vectors=dm.vectors)
 
 
 # Parts of the driver model that SQL can state: bins, level ids, the first
@@ -561,7 +561,7 @@ def prediction_checks(spark, sf_dir):
     error is below that of the mean."""
     from pyspark.sql import functions as F
     dm = _driver_model(spark, sf_dir)
-    rows = dm.explainer.row_values(dm.matrix, drv.ID, [drv.TARGET])
+    rows = dm.explainer.row_values(dm.matrix, drv.ID, [drv.TARGET], dm.vectors)
     off = F.abs(F.aggregate("values", F.col("base_value"), lambda s, x: s + x) - F.col("prediction"))
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("prediction"), 3).alias("mean_prediction"),
                     F.count_if(off > 1e-6 * F.abs("prediction") + 1e-6).alias("not_additive"),

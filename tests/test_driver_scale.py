@@ -145,3 +145,16 @@ def test_every_row_is_explained_from_one_read(ref_star):
     both = got.join(want, [drv.ID, "feature"], "full")
     assert both.count() == want.count()
     assert both.where("v IS NULL OR w IS NULL OR abs(v - w) > 1e-9").count() == 0
+
+
+def test_a_task_explains_a_chunk_of_rows(dense, spark):
+    """Not one task per shuffle partition: each works out every tree anew."""
+    coding, coded, vectors = dense
+    m = lw.fit_leafwise(coding, vectors, rounds=3, leaves=8)
+    ex = ps.PathExplainer(m)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        assert ex._spread(vectors).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
