@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from salescope.functions.text import feature_display_name, money
 from salescope.operators.features import bools_to_int, one_hot_drop_first
-from salescope.operators.filters import FilterSpec, enriched
+from salescope.operators.filters import FilterSpec, enriched, staged_rows
 from salescope.operators.leafwise import Coding, LeafwiseModel, collapse, fit_coding, fit_leafwise
 from salescope.operators.path_shap import PathExplainer
-from salescope.session import materialize
+from salescope.session import materialize, release_shuffles
 from salescope.sources.star import Star
 
 DRIVER_COLUMNS = ["discount_percentage", "customer_type", "payment_mode",
@@ -96,11 +96,13 @@ def fit_drivers(star: Star, spec: FilterSpec, rounds: int = 500, step_size: floa
     """Leaf-wise boosted trees on every filtered row; ``max_depth`` d allows at
     most 2^d leaves.  Rows are joined and written once, coded as they are
     collapsed to vectors."""
-    rows = materialize(driver_rows(star, spec, with_id=True), "driver-rows")
+    rows = staged_rows(star, spec, [ID, *DRIVER_COLUMNS], "driver-rows")
+    rows = rows.withColumn(TARGET, F.col(TARGET).cast("double"))
     if rows.isEmpty():
         raise ValueError("no data for the selected filters")
     coding, plain = driver_coding(rows)
     vectors = materialize(collapse(coding.encode(plain), coding.codes, TARGET), "driver-vectors")
+    release_shuffles(rows.sparkSession)
     leaves = max_leaves if max_depth is None else min(max_leaves, 2 ** max_depth)
     model = fit_leafwise(coding, vectors, rounds, step_size, leaves, min_rows, feature_fraction, seed)
     return DriverModel(plain, vectors, model, PathExplainer(model))
@@ -196,6 +198,12 @@ def local_explanation(dm: DriverModel, ids: list[int]) -> DataFrame:
     return dm.explainer.long(dm.lookup(ids), ID)
 
 
+def all_values(dm: DriverModel) -> DataFrame:
+    """transaction_id, prediction, base_value and values of every transaction.
+    The rows are coded as they are read; only look-ups need them in order."""
+    return dm.explainer.row_values(dm.coding.encode(dm.plain), ID, vectors=dm.vectors)
+
+
 def all_explanations(dm: DriverModel) -> DataFrame:
     """The same of every transaction; their distinct codes are the vectors."""
     return dm.explainer.long(dm.coding.encode(dm.plain), ID, dm.vectors)

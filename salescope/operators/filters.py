@@ -14,9 +14,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salescope.session import delete_tables, materialize, recorded_tables, release_shuffles
 from salescope.sources.star import JOINED_ATTRIBUTES, Star
 
 MAX_OVERVIEW_DAYS = 9999
+MAX_BROADCAST_STORES = 500_000      # stores sent to every executor at most
 
 
 @dataclass(frozen=True)
@@ -94,7 +96,13 @@ def enriched(star: Star, spec: FilterSpec, columns: list[str] | None = None) ->
     planner can shrink (and, when small enough, broadcast) that side; the
     look-back predicate lands on the fact scan.
     """
-    tx = fact_rows(star, columns)
+    tx, stores, products = _filtered(star, spec, fact_rows(star, columns))
+    df = tx.join(stores, "store_id", "inner").join(products, "product_id", "inner")
+    return df.select(*columns) if columns else df
+
+
+def _filtered(star: Star, spec: FilterSpec, tx: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facts, stores and products that the spec leaves."""
     stores = star.stores
     products = star.products
     preds = []
@@ -107,8 +115,41 @@ def enriched(star: Star, spec: FilterSpec, columns: list[str] | None = None) ->
         products = products.filter(F.col("category") == spec.category)
     if preds:
         tx = tx.filter(reduce(lambda a, b: a & b, preds))
-    df = tx.join(stores, "store_id", "inner").join(products, "product_id", "inner")
-    return df.select(*columns) if columns else df
+    return tx, stores, products
+
+
+def staged_rows(star: Star, spec: FilterSpec, columns: list[str], name: str) -> DataFrame:
+    """The rows of ``enriched``, written.  A join that shuffles the facts is
+    written before the next begins, as the shuffle files of all joins of one job
+    are kept until its end; each step holds only the columns that are still
+    needed.  Stores are sent to all executors if they are counted to be few."""
+    looked_up = star.parts is not None and set(columns) & set(JOINED_ATTRIBUTES)
+    tx, stores, products = _filtered(star, spec, star.parts.lines if looked_up
+                                     else fact_rows(star, columns))
+    late = star.parts.late if looked_up else {}
+    few = stores.limit(MAX_BROADCAST_STORES + 1).count() <= MAX_BROADCAST_STORES
+    steps = [(products, "product_id", "inner", True), (stores, "store_id", "inner", not few)]
+    if looked_up:
+        steps.append((star.parts.attributes, star.parts.key, "left", True))
+
+    def write(rows: DataFrame, before: list[str]) -> tuple[DataFrame, list[str]]:
+        with recorded_tables() as paths:
+            out = materialize(rows, name)
+        release_shuffles(rows.sparkSession)
+        delete_tables(rows.sparkSession, before)
+        return out, paths
+
+    rows, paths, shuffled = tx, [], False
+    wanted = set(columns) | {x for c in columns if c in late for x in late[c][1]}
+    for i, (side, key, how, shuffles) in enumerate(steps):
+        if shuffled and shuffles:
+            rows, paths = write(rows, paths)
+        keys = {k for _, k, *_ in steps[i:]}
+        side = side.select(*[c for c in side.columns if c == key or c in wanted])
+        rows = rows.select(*[c for c in rows.columns if c in wanted | keys])
+        rows = rows.join(side if shuffles else F.broadcast(side), key, how)
+        shuffled |= shuffles
+    return write(rows.select(*[late[c][0].alias(c) if c in late else c for c in columns]), paths)[0]
 
 
 def check_overview_days(days: int) -> None:

@@ -423,8 +423,7 @@ def explain_summary(spark, sf_dir):
 
 @register("shap_values")
 def shap_values(spark, sf_dir):
-    dm = _driver_model(spark, sf_dir)
-    return dm.explainer.row_values(dm.matrix, drv.ID, vectors=dm.vectors)
+    return drv.all_values(_driver_model(spark, sf_dir))
 
 
 # Parts of the driver model that SQL can state: bins, level ids, the first

@@ -111,7 +111,7 @@ def recorded_tables():
     try:
         yield paths
     finally:
-        _RECORDED.remove(paths)
+        _RECORDED[:] = [p for p in _RECORDED if p is not paths]     # lists may be equal
 
 
 def delete_tables(spark: SparkSession, paths: list[str]) -> None:
@@ -135,3 +135,10 @@ def materialize(df, name: str, by: list[str] = ()):
         paths.append(path)
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Gives back the shuffle files of what has been written: nothing reads
+    them any more, but Spark removes them only when the driver collects garbage,
+    by default every 30 minutes."""
+    spark._jvm.System.gc()

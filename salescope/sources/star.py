@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salescope.sources.tables import table
@@ -23,6 +23,16 @@ from salescope.sources.tables import table
 REVENUE_TYPE = "decimal(17,4)"
 
 
+class Parts(NamedTuple):
+    """The fact rows before their look-up: ``lines`` have ``key``, by which
+    ``attributes`` are looked up.  ``late`` columns are made of key and other
+    columns of a line after the joins, so that fewer bytes are shuffled."""
+    lines: DataFrame
+    attributes: DataFrame
+    key: str
+    late: dict[str, tuple[Column, list[str]]]
+
+
 class Star(NamedTuple):
     stores: DataFrame
     products: DataFrame
@@ -31,6 +41,8 @@ class Star(NamedTuple):
     # joins (customer_type, payment_mode).  Queries that do not read those
     # columns use it and skip the joins.
     narrow: DataFrame | None = None
+    # Optional: the rows of ``transactions`` as lines and looked-up attributes.
+    parts: Parts | None = None
 
 
 # Fact attributes that come from joined tables in the driver-table mapping.
@@ -100,13 +112,31 @@ def transactions_narrow(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(*LINE_COLUMNS).select(*_fact_columns([]))
 
 
+def transaction_parts(lineitem: DataFrame, orders: DataFrame, customer: DataFrame) -> Parts:
+    """The rows of :func:`transactions_view` before the look-up.  Customers are
+    looked up per order, of which there are fewer than lines; a left join on
+    the order's own column gives the same rows before the lines' join as after."""
+    o = orders.select("o_orderkey", "o_custkey", "o_orderpriority")
+    c = customer.select("c_custkey", "c_mktsegment")
+    attributes = o.join(c, o.o_custkey == c.c_custkey, "left").select(
+        F.col("o_orderkey").alias("order_key"), F.col("c_mktsegment").alias("customer_type"),
+        F.col("o_orderpriority").alias("payment_mode"))
+    _, *rest = _fact_columns([])        # transaction_id is made late
+    lines = lineitem.select(*LINE_COLUMNS).select(
+        F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"), *rest)
+    return Parts(lines, attributes, "order_key", {"transaction_id": (
+        F.col("order_key") * 10 + F.col("line"), ["order_key", "line"])})
+
+
 def star_from_tpch(spark: SparkSession, sf_dir: str) -> Star:
     li = table(spark, sf_dir, "lineitem")
+    looked_up = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     return Star(
         stores_view(table(spark, sf_dir, "supplier")),
         products_view(table(spark, sf_dir, "part")),
-        transactions_view(li, table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")),
-        transactions_narrow(li))
+        transactions_view(li, *looked_up),
+        transactions_narrow(li),
+        transaction_parts(li, *looked_up))
 
 
 def read_star(spark: SparkSession, path: str) -> Star:
