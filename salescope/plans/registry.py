@@ -1114,7 +1114,7 @@ def explain_entries_sampled(spark, sf_dir):
 
 @register("forecast_coefficients")
 def forecast_coefficients(spark, sf_dir):
-    daily = fcst.daily_series(star_from_tpch(spark, sf_dir), FilterSpec(), PANEL_KEYS)
+    daily = fcst.daily_series(star_from_tpch(spark, sf_dir), FilterSpec(), PANEL_KEYS, stage=True)
     return fcst.fit_coefficients(daily, PANEL_KEYS)
 
 

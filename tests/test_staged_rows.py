@@ -79,3 +79,29 @@ def test_every_row_has_values_without_a_copy_in_order(spark, monkeypatch):
     assert n == star_from_tpch(spark, SMALL).narrow.count() and worst < 1e-6
     assert not [p for p in paths if "driver-matrix" in p]
     assert len([p for p in held(paths) if "driver-rows" in p]) == 1
+
+
+@pytest.mark.parametrize("most_stores", [500_000, 0])
+def test_coefficients_are_fitted_from_written_days(spark, monkeypatch, most_stores):
+    """The fit's shuffle is the only one left to do: joined rows and days are
+    written in turn, and the rows deleted.  Same coefficients."""
+    from salescope.plans import registry
+    monkeypatch.setattr(fl, "MAX_BROADCAST_STORES", most_stores)
+    with recorded_tables() as paths:
+        got = registry.forecast_coefficients(spark, SMALL)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert [p.split("/")[-1][:12] for p in held(paths)] == ["daily-series"]
+    daily = fc.daily_series(star_from_tpch(spark, SMALL), fl.FilterSpec(), KEYS)
+    want = {r["series"]: r for r in fc.fit_coefficients(daily, KEYS).collect()}
+    rows = got.collect()
+    assert len(rows) == len(want) > 1 and all(r == want[r["series"]] for r in rows)
+
+
+def test_staged_days_are_the_days(spark, ref_star):
+    """Also of extra regressors, and without keys."""
+    for keys, regs in ([], None), (KEYS, None), (["category"], {"d": F.max("discount_percentage")}):
+        want = fc.daily_series(ref_star, fl.FilterSpec(), keys, regs)
+        got = fc.daily_series(ref_star, fl.FilterSpec(), keys, regs, stage=True)
+        assert got.dtypes == want.dtypes and got.count() == want.count()
+        assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
